@@ -26,7 +26,7 @@ FIELDS = ("trial", "status", "accuracy")
 STATUSES = ("keep", "discard", "crash")
 #: A header is copied this often, and lines pick a copy, so that one huge file spreads over tasks.
 SALTS = 16
-_INNER = ""  # stands for a separator inside quotes while a line is cut
+_INNER = "\ue001"  # stands for a separator inside quotes while a line is cut
 
 _DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
