@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import lookalikes
+from auditloom.llm import lookalikes, sentences
 from auditloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,20 @@ def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.consistent_texts(table(spark, folder, "prepared_papers"), "paper_id", ["raw_text", "analysis_text"])
 
 
+def _markdown_papers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "prepared_papers").where("media_type = 'text/markdown'")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_markdown_papers(spark, folder), "paper_id", "analysis_text").drop("sentence")
+
+
+def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_markdown_papers(spark, folder), "paper_id", "analysis_text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_texts": p1_texts}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_sentences": p3_sentences}
 
 
 def oracle_sql() -> dict[str, str]:
