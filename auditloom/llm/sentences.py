@@ -24,8 +24,10 @@ from auditloom.llm.lookalikes import TWINS
 
 CUT, GAP = "\ue000", "\ue002"
 Z = "[\u00ad\u200b-\u200d\u2060\ufeff]*+"
+Z1 = "[\u00ad\u200b-\u200d\u2060\ufeff]?"
 _WS = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + CUT + GAP
 S = f"[{_WS}]"
+_SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))) + CUT + GAP
 _MARKS = ".!?\u2026\u3002\uff01\uff1f\uff0e\u061f\u0964\u0965\u06d4"
 _MASKS = "".join(chr(0xE010 + i) for i in range(len(_MARKS)))
 _CLOSERS = "\"'\u201c\u201d\u2019\u00bb\u203a)\\]\uff09\u300d\u300f\u3011\u300b"
@@ -57,20 +59,28 @@ def _looks() -> dict[str, str]:
 _LOOKS = _looks()
 
 
-def as_seen(word: str) -> str:
-    """A pattern for the word in any width and with look-alike letters; a full stop may be followed by spaces."""
-    parts = []
-    for c in word:
-        if c == ".":
-            parts.append(f"[.\uff0e]{S}?")
-            continue
-        wide = chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else ""
-        parts.append("[" + "".join(dict.fromkeys(_LOOKS.get(c, c) + wide)) + "]")
-    return Z.join(parts)
+def _seen(char: str) -> str:
+    """A class for the character in any width and as any look-alike; a full stop may be followed by a space."""
+    if char == ".":
+        return f"[.\uff0e]{S}?"
+    wide = chr(ord(char) + 0xFEE0) if "!" <= char <= "~" else ""
+    return "[" + "".join(dict.fromkeys(_LOOKS.get(char, char) + wide)) + "]"
 
 
 def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(as_seen(w) for w in sorted(words, key=len, reverse=True)) + ")"
+    """A pattern for any of the words as they look, by common beginnings, so that few branches are tried."""
+    trie: dict = {}
+    for word in words:
+        at = trie
+        for char in word:
+            at = at.setdefault(_seen(char), {})
+        at[""] = {}
+
+    def build(node: dict) -> str:
+        branches = [k if set(v) == {""} else f"{k}{Z1}{build(v)}" if "" not in v else f"{k}(?:{Z1}{build({x: y for x, y in v.items() if x})})?" for k, v in node.items()]
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return build(trie)
 
 
 _EDGE = f"(?<![\\p{{L}}\\p{{N}}\\p{{M}}.\uff0e])"
@@ -112,7 +122,6 @@ def blocks_of(text: Column) -> Column:
     """Blocks, each with the mark that ends it: heading and table lines, list items, paragraphs."""
     plain = F.regexp_replace(text, F.lit("[\ue000-\ue01f]"), F.lit("\ufffd"))
     cut = _replace(without_code(plain), f"\\n(?=[ \\t\\r]*(?:\\n|\\z)|[#|]|{_LIST})", CUT)
-    cut = _replace(cut, f"(^|[\\n{CUT}])([#|][^\\n{CUT}]*)\\n", f"$1$2{CUT}")
     return F.split(cut, f"(?<={CUT})", -1)
 
 
@@ -130,12 +139,19 @@ def _quotations(block: Column) -> Column:
 
 
 def masked(block: Column) -> Column:
-    """The block with every mark that ends no sentence masked."""
-    out = _replace(block, f"{_EDGE}({_any(TITLES + LINKS)}{Z}){_STOP}", f"$1{_MASK_STOP}")
-    out = _replace(out, f"{_EDGE}({_any(COUNTED)}{Z}){_STOP}(?={Z}{S}*+{Z}\\p{{Nd}})", f"$1{_MASK_STOP}")
-    out = _replace(out, f"{_EDGE}(\\p{{Lu}}{Z}){_STOP}(?={Z}{S}++{Z}\\p{{Lu}})", f"$1{_MASK_STOP}")
-    out = _replace(out, f"{_EDGE}({_any(ARTICLES)}{Z}{S}{Z}\\p{{Nd}}{{1,3}}{Z}){_STOP}(?={Z}{S}++{Z}\\p{{Lu}})", f"$1{_MASK_STOP}")
-    return _quotations(out)
+    """The block with every mark that ends no sentence masked; each pattern starts at the full stops before a space."""
+    here = f"{_STOP}(?={Z}{S})"
+    capital, digit = f"(?={Z}{S}++{Z}\\p{{Lu}})", f"(?={Z}{S}*+{Z}\\p{{Nd}})"
+    words = "|".join(
+        (
+            f"(?<={_EDGE}{_any(TITLES + LINKS)}{Z1}{_STOP})",
+            f"(?<={_EDGE}{_any(COUNTED)}{Z1}{_STOP}){digit}",
+            f"(?<={_EDGE}\\p{{Lu}}{Z1}{_STOP}){capital}",
+            f"(?<={_EDGE}{_any(ARTICLES)}{Z1}{S}{Z1}\\p{{Nd}}{{1,3}}{Z1}{_STOP}){capital}",
+            f"(?<={_EDGE}\\p{{L}}{Z1}{_STOP})(?={S}\\p{{L}}{Z1}{_STOP})",
+        )
+    )
+    return _quotations(_replace(block, f"{here}(?:{words})", _MASK_STOP))
 
 
 def pieces_of(block: Column) -> Column:
@@ -158,13 +174,13 @@ def sentences(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sent_start, sent_end, sentence): every sentence once per key."""
     rows = frame.select(F.col(key).alias("k"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("k", "row", F.posexplode(blocks_of(F.col("text"))).alias("b", "block"))
-    prose = ~F.col("block").rlike("^[#|]")
-    marker = F.when(prose, F.regexp_extract("block", _MARKER, 0)).otherwise(F.col("block"))
+    marker = F.when(F.col("block").rlike("^[#|]"), F.regexp_extract("block", f"^[^\\n{CUT}]*[\\n{CUT}]?", 0)).otherwise(F.regexp_extract("block", _MARKER, 0))
     rows = rows.select("k", "row", "b", marker.alias("marker"), F.col("block"))
     body = masked(F.substring("block", F.length("marker") + 1, F.length("block")))
     rows = rows.select("k", "row", "b", F.posexplode(F.concat(F.array("marker"), pieces_of(body))).alias("i", "piece"))
-    inner = F.regexp_replace(F.regexp_replace("piece", F.lit(f"^{S}+"), F.lit("")), F.lit(f"{S}+$"), F.lit(""))
-    rows = rows.select("k", "row", "b", "i", F.length("piece").alias("n"), F.length(F.regexp_extract("piece", f"^{S}*", 0)).alias("lead"), restored(inner).alias("sentence"))
+    space = F.lit(_SPACES)
+    bare = F.trim("piece", space)
+    rows = rows.select("k", "row", "b", "i", F.length("piece").alias("n"), (F.length("piece") - F.length(F.ltrim("piece", space))).alias("lead"), F.length(bare).alias("m"), restored(bare).alias("sentence"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("row").orderBy("b", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("start", (before + F.col("lead")).cast("int")).where("i > 0 AND sentence != ''")
-    return placed.select(F.col("k").alias(key), F.col("start").alias("sent_start"), (F.col("start") + F.length("sentence")).cast("int").alias("sent_end"), "sentence").dropDuplicates([key, "sent_start", "sent_end"])
+    placed = rows.withColumn("start", (before + F.col("lead")).cast("int")).where("i > 0 AND m > 0")
+    return placed.select(F.col("k").alias(key), F.col("start").alias("sent_start"), (F.col("start") + F.col("m")).cast("int").alias("sent_end"), "sentence").dropDuplicates([key, "sent_start", "sent_end"])
