@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import lookalikes, sentences
+from auditloom.llm import lookalikes, residue, sentences
 from auditloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,24 @@ def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(_markdown_papers(spark, folder), "paper_id", "analysis_text")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.affected(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text")
+
+
+def p5_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text")
+
+
+def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.excluded(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text").select("paper_id", "media_type").dropDuplicates(["paper_id"])
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_sentences": p3_sentences}
+    return {
+        "p1_found": p1_found, "p1_texts": p1_texts,
+        "p3_found": p3_found, "p3_sentences": p3_sentences,
+        "p5_found": p5_found, "p5_residue": p5_residue, "p5_kept": p5_kept,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
