@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import lookalikes, residue, sentences
+from auditloom.llm import lookalikes, residue, scanned, sentences
 from auditloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,21 @@ def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(_markdown_papers(spark, folder), "paper_id", "analysis_text")
 
 
+def _repair(spark: SparkSession, folder: str) -> scanned.Repair:
+    papers = table(spark, folder, "prepared_papers")
+    pages = table(spark, folder, "pdf_conversions").select(F.lit("markdown").alias("field_name"), F.col("conversion_id").alias("record_id"), F.col("markdown").alias("text"))
+    prepared = papers.where("media_type = 'application/pdf'").select(F.lit("analysis_text").alias("field_name"), F.col("paper_id").alias("record_id"), F.col("analysis_text").alias("text"))
+    return scanned.Repair(pages.unionByName(prepared), papers.where("media_type = 'text/markdown'").select(F.col("analysis_text").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repair(spark, folder).findings()
+
+
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return _repair(spark, folder).paragraphs()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.affected(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text")
 
@@ -53,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_texts": p1_texts,
         "p3_found": p3_found, "p3_sentences": p3_sentences,
+        "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found, "p5_residue": p5_residue, "p5_kept": p5_kept,
     }
 
