@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import lookalikes, residue, scanned, sentences, spans
+from auditloom.llm import leakage, lookalikes, residue, scanned, sentences, spans
 from auditloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
     return residue.excluded(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text").select("paper_id", "media_type").dropDuplicates(["paper_id"])
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), leakage.Items(table(spark, folder, "eval_items")))
+
+
+def p7_asked_again(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.asked_again(table(spark, folder, "documents"), leakage.Items(table(spark, folder, "eval_items")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_amounts(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -74,6 +82,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found, "p3_sentences": p3_sentences,
         "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found, "p5_residue": p5_residue, "p5_kept": p5_kept,
+        "p7_found": p7_found, "p7_asked_again": p7_asked_again,
         "p8_found": p8_found,
     }
 
