@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import leakage, lookalikes, residue, scanned, sentences, spans
+from auditloom.llm import leakage, lookalikes, packing, residue, scanned, sentences, spans
 from auditloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,15 @@ def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
     return residue.excluded(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text").select("paper_id", "media_type").dropDuplicates(["paper_id"])
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"), table(spark, folder, "context_windows"))
+
+
+def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
+    windows = table(spark, folder, "context_windows")
+    return packing.usage(packing.containers(table(spark, folder, "documents"), windows), windows)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), leakage.Items(table(spark, folder, "eval_items")))
 
@@ -82,6 +91,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found, "p3_sentences": p3_sentences,
         "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found, "p5_residue": p5_residue, "p5_kept": p5_kept,
+        "p6_containers": p6_containers, "p6_usage": p6_usage,
         "p7_found": p7_found, "p7_asked_again": p7_asked_again,
         "p8_found": p8_found,
     }
