@@ -151,9 +151,10 @@ def _anchor_rows(length: int):
 
 def in_two(rows: DataFrame) -> DataFrame:
     """The rows (print, key, place) whose print another key has, too."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).repartition("print", "salt")
-    ends = salted.groupBy("print", "salt").agg(F.min(F.struct("key", "place")).alias("low"), F.max(F.struct("key", "place")).alias("high"))
-    both = ends.groupBy("print").agg(F.min("low.key").alias("low"), F.max("high.key").alias("high")).where("low < high")
+    # the filter that a join would add to its side only is set before the exchange, so that both sides share one
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).where("print IS NOT NULL AND salt IS NOT NULL").repartition("print", "salt")
+    ends = salted.groupBy("print", "salt").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("place").alias("place")).where("place >= 0")
+    both = ends.groupBy("print").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     spread = both.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return salted.join(spread, ["print", "salt"]).select("print", "key", "place")
 
@@ -191,7 +192,7 @@ def _compared(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     keys = marked.select("key").distinct()
     if keys.count() <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(keys), "key", "left_semi")
-    return in_two(texts.join(jobs, "key").mapInPandas(_window_rows(length), _ROWS).distinct()).select("key", "place").distinct()
+    return in_two(texts.join(jobs, "key").mapInPandas(_window_rows(length), _ROWS)).select("key", "place").distinct()
 
 
 def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
