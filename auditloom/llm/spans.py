@@ -57,41 +57,38 @@ def _codes(text: str) -> np.ndarray:
 def anchors(codes: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
     """Where symbols start after all rounds. codes: texts one after another; ends: the last place of each."""
     symbol = _mix(codes.astype(np.uint64) + np.uint64(1))
-    size = np.ones(len(codes), dtype=np.int32)
-    start = np.arange(len(codes), dtype=np.int64)
-    last = np.zeros(len(codes), dtype=bool)
-    last[ends] = True
+    size = np.ones(len(codes), dtype=np.int32)  # negative at the end of a text
+    size[ends] = -1
     for r in range(ROUNDS):
         before = len(symbol)
         equal = symbol[1:] == symbol[:-1]
-        equal &= ~last[:-1]
+        equal &= size[:-1] > 0
         if equal.any():
             first = np.flatnonzero(np.concatenate(([True], ~equal)))
             times = np.diff(np.append(first, len(symbol)))
-            named = (times > 1) & (times * size[first] <= longest)
+            named = (times > 1) & (times * np.abs(size[first]) <= longest)
             at, k = first[named], times[named]
             symbol[at] = _mix(symbol[at] + k.astype(np.uint64) * _C)
-            last[at] = last[at + k - 1]
-            size[at] *= k.astype(np.int32)
+            size[at] = np.abs(size[at]) * k.astype(np.int32) * np.sign(size[at + k - 1])
             keep = np.ones(len(symbol), dtype=bool)
-            inner = np.repeat(at, k - 1) + 1 + (np.arange(int((k - 1).sum())) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1))
-            keep[inner] = False
-            symbol, size, start, last = symbol[keep], size[keep], start[keep], last[keep]
-        right = ((symbol >> np.uint64(17 + 3 * (r % 8))) & np.uint64(1)).astype(bool) if r < 8 else (_mix(symbol + np.uint64(r)) >> np.uint64(63)).astype(bool)
-        pair = ~right[:-1] & right[1:]
-        pair &= ~last[:-1]
-        pair &= size[:-1] + size[1:] <= longest
+            keep[np.repeat(at, k - 1) + 1 + (np.arange(int((k - 1).sum())) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1))] = False
+            symbol, size = symbol[keep], size[keep]
+        right = (symbol & np.uint64(1 << (17 + 3 * r))) != 0
+        whole = np.abs(size)
+        pair = right[1:] & ~right[:-1]
+        pair &= size[:-1] > 0
+        pair &= whole[:-1] + whole[1:] <= longest
         at = np.flatnonzero(pair)
         if len(at):
             symbol[at] = _mix((symbol[at] ^ (symbol[at] >> np.uint64(31))) * _C + symbol[at + 1])
-            size[at] += size[at + 1]
-            last[at] = last[at + 1]
+            size[at] = (size[at] + whole[at + 1]) * np.sign(size[at + 1])
             keep = np.ones(len(symbol), dtype=bool)
             keep[at + 1] = False
-            symbol, size, start, last = symbol[keep], size[keep], start[keep], last[keep]
+            symbol, size = symbol[keep], size[keep]
         if len(symbol) == before:
             break
-    return start
+    size = np.abs(size).astype(np.int64)
+    return np.cumsum(size) - size
 
 
 class _Prints:
@@ -159,24 +156,32 @@ def in_two(rows: DataFrame) -> DataFrame:
     return salted.join(spread, ["print", "salt"]).select("print", "key", "place")
 
 
+LEFT, RIGHT = 1, 2
+
+
 def _spread(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """The rows with a mark whether prints holds their print; prints (print), distinct."""
+    """The rows with the marks that prints holds for their print; prints (print, marks), distinct."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    marks = prints.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("mark"))
-    return salted.join(marks, ["print", "salt"], "left").select("print", "key", "place", F.coalesce("mark", F.lit(False)).alias("dense"))
+    marks = prints.select("print", "marks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(marks, ["print", "salt"], "left").select("print", "key", "place", F.coalesce("marks", F.lit(0)).alias("marks"))
 
 
 def _window_rows(length: int):
-    """Windows at the anchors, and all that start up to half a span length before the dense ones."""
-    half = length // 2
+    """Windows at the anchors, and all that may be the first shared one before a left anchor or the last one of a right anchor.
+
+    The first starts up to half a span length before the anchor, for all of its print is shared. The
+    last ends before the next anchor's print does, which is at most a fifth of the span length later."""
+    half, longest = length // 2, length // 5
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text, jobs in zip(batch["key"], batch["text"], batch["jobs"]):
                 codes = _codes(text)
                 at = np.array([j["place"] for j in jobs], dtype=np.int64)
-                dense = at[np.array([j["dense"] for j in jobs], dtype=bool)]
-                windows = np.unique(np.concatenate((at, (dense[:, None] + np.arange(-half, 1)).ravel())))
+                marks = np.array([j["marks"] for j in jobs], dtype=np.int64)
+                left = (at[marks & LEFT > 0][:, None] + np.arange(-half, 1)).ravel()
+                right = (at[marks & RIGHT > 0][:, None] + np.arange(-half, longest - half + 1)).ravel()
+                windows = np.unique(np.concatenate((at, left, right)))
                 windows = windows[(windows >= 0) & (windows + length <= len(codes))]
                 yield pd.DataFrame({"print": _Prints(codes).of(windows, length), "key": np.full(len(windows), key), "place": windows.astype(np.int32)})
 
@@ -188,7 +193,7 @@ _ROWS = "print long, key long, place int"
 
 def _compared(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
     """(key, place): the windows around the marked anchors that two texts have."""
-    jobs = marked.groupBy("key").agg(F.collect_list(F.struct("place", "dense")).alias("jobs"))
+    jobs = marked.groupBy("key").agg(F.collect_list(F.struct("place", "marks")).alias("jobs"))
     keys = marked.select("key").distinct()
     if keys.count() <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(keys), "key", "left_semi")
@@ -207,18 +212,21 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     found = in_two(texts.mapInPandas(_anchor_rows(length), _ROWS)).distinct().checkpoint()
     order = Window.partitionBy("key").orderBy("place")
     before, after = F.col("place") - F.lag("place").over(order), F.lead("place").over(order) - F.col("place")
-    gaps = found.withColumn("before", before).withColumn("after", after)
-    edges = gaps.where(f"before IS NULL OR before > {longest} OR after IS NULL OR after > {longest}").select("print").distinct()
-    marked = _spread(found, edges).checkpoint()
+    left, right = before.isNull() | (before > longest), after.isNull() | (after > longest)
+    edges = found.withColumn("marks", left.cast("int") * LEFT + right.cast("int") * RIGHT).where("marks > 0")
+    marked = _spread(found, edges.groupBy("print").agg(F.bit_or("marks").alias("marks"))).checkpoint()
     shared = _compared(texts, marked, length).checkpoint()
     settled = marked.join(shared.withColumn("sure", F.lit(True)), ["key", "place"], "left").withColumn("sure", F.col("sure").isNotNull())
-    following = settled.withColumn("after", after).withColumn("sure_b", F.lead("sure").over(order)).withColumn("dense_b", F.lead("dense").over(order))
-    near = Window.partitionBy("key").orderBy("place").rangeBetween(-(half + longest), 0)
-    open_ = (F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~F.col("dense_b")
-    late = following.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("open", F.max("open").over(near)).where("open").select("print").distinct().checkpoint()
+    # between two anchors nothing is open if both windows are shared or all windows there have been compared
+    full = F.min(F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.col("place"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    ends = F.min(F.when(F.col("marks").bitwiseAND(RIGHT) > 0, F.col("place"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    following = settled.withColumn("after", after).withColumn("sure_b", F.coalesce(F.lead("sure").over(order), F.lit(False))).withColumn("full", full).withColumn("ends", ends)
+    open_ = (F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~F.coalesce(F.col("full") <= F.col("place") + half, F.lit(False)) & ~F.coalesce((F.col("ends") <= F.col("place") + half) & ~F.col("sure_b"), F.lit(False))
+    reach = Window.partitionBy("key").orderBy("place").rangeBetween(-(half + longest), 0)
+    late = following.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("open", F.max("open").over(reach)).where("open").select("print", F.lit(LEFT).alias("marks")).distinct().checkpoint()
     if late.isEmpty():
         return shared
-    return shared.unionByName(_compared(texts, _spread(found, late).where("dense"), length)).distinct()
+    return shared.unionByName(_compared(texts, _spread(found, late).where("marks > 0"), length)).distinct()
 
 
 def shared_amounts(frame: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
