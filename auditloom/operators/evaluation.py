@@ -40,9 +40,10 @@ def manifest_errors(manifest: DataFrame) -> DataFrame:
     bad = F.array_compact(F.array(
         *[F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in fields],
         F.when(~F.coalesce(F.col("sha256"), F.lit("")).rlike("^[0-9a-f]{64}$"), F.lit("sha256 is no digest")),
-        F.when(F.count("*").over(Window.partitionBy("arxiv_id")) > 1, F.lit("arxiv_id is repeated")),
+        F.when(F.col("times") > 1, F.lit("arxiv_id is repeated")),
     ))
-    return manifest.withColumn("error", F.explode(bad)).select("arxiv_id", "error")
+    counted = manifest.withColumn("times", F.count("*").over(Window.partitionBy("arxiv_id")))
+    return counted.select("arxiv_id", F.explode(bad).alias("error"))
 
 
 def identity(content: Column) -> Column:

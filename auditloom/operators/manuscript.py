@@ -20,19 +20,20 @@ def _before(offset: int = -1) -> Window:
 def fence_spans(lines: Column) -> Column:
     """Pairs (from, to) of 1-based lines in fenced code: opened by three or more marks, closed by as many of the same."""
     marks = F.filter(
-        F.transform(lines, lambda t, i: F.struct((i + 1).alias("at"), F.regexp_extract(t, P.FENCE, 1).alias("mark"))), lambda m: m["mark"] != ""
+        F.transform(lines, lambda t, i: F.named_struct(F.lit("at"), i + 1, F.lit("mark"), F.regexp_extract(t, P.FENCE, 1))), lambda m: m["mark"] != ""
     )
-    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("mark"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    state_ = lambda at, mark, spans: F.named_struct(F.lit("open"), at, F.lit("mark"), mark, F.lit("spans"), spans)
+    span = lambda a, b: F.array(F.named_struct(F.lit("a"), a, F.lit("b"), b))
+    start = state_(F.lit(0), F.lit(""), F.array().cast("array<struct<a:int,b:int>>"))
 
     def step(state: Column, m: Column) -> Column:
-        opens = F.struct(m["at"].alias("open"), m["mark"].alias("mark"), state["spans"].alias("spans"))
-        closes = F.struct(F.lit(0).alias("open"), F.lit("").alias("mark"), F.concat(state["spans"], F.array(F.struct(state["open"].alias("a"), m["at"].alias("b")))).alias("spans"))
+        opens = state_(m["at"], m["mark"], state["spans"])
+        closes = state_(F.lit(0), F.lit(""), F.concat(state["spans"], span(state["open"], m["at"])))
         same = (F.left(m["mark"], F.lit(1)) == F.left(state["mark"], F.lit(1))) & (F.length(m["mark"]) >= F.length(state["mark"]))
         return F.when(state["open"] == 0, opens).when(same, closes).otherwise(state)
 
     def done(state: Column) -> Column:
-        rest = F.array(F.struct(state["open"].alias("a"), F.size(lines).alias("b")))
-        return F.when(state["open"] > 0, F.concat(state["spans"], rest)).otherwise(state["spans"])
+        return F.when(state["open"] > 0, F.concat(state["spans"], span(state["open"], F.size(lines)))).otherwise(state["spans"])
 
     return F.aggregate(marks, start, step, done)
 

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import audits, claims, evaluation, evidence, ledger, manuscript, sanitation, tracing
+from auditloom.session import checkpoint_dir
 
 
 class Audit:
     """papers: (doc_id, text), raw or sanitized; ledgers: (doc_id, path, line, raw); registry: (cite_key, cite_status, cite_title).
 
-    Every stage is a lazy table; what several stages read is planned once and reused by Spark."""
+    Every stage is a table that is planned when it is asked for. What several stages read is
+    written once to the shared folder of checkpoints, which also keeps the plans short."""
 
     def __init__(self, papers: DataFrame, ledgers: DataFrame, registry: DataFrame | None = None, sanitize: bool = True) -> None:
         self.raw = papers
@@ -21,6 +23,10 @@ class Audit:
         self.ledgers = ledgers
         self.registry = registry
 
+    def _kept(self, frame: DataFrame) -> DataFrame:
+        checkpoint_dir(frame.sparkSession)
+        return frame.checkpoint()
+
     # parsing
     @cached_property
     def lines(self) -> DataFrame:
@@ -32,15 +38,15 @@ class Audit:
 
     @cached_property
     def placed(self) -> DataFrame:
-        return manuscript.section_of_lines(self.lines)
+        return self._kept(manuscript.section_of_lines(self.lines))
 
     @cached_property
     def tables(self) -> DataFrame:
-        return manuscript.table_lines(self.lines)
+        return self._kept(manuscript.table_lines(self.lines))
 
     @cached_property
     def numbers(self) -> DataFrame:
-        return manuscript.numbers(self.placed, self.tables)
+        return self._kept(manuscript.numbers(self.placed, self.tables))
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -53,7 +59,7 @@ class Audit:
     # evidence
     @cached_property
     def leaves(self) -> DataFrame:
-        return ledger.leaves(self.ledgers)
+        return self._kept(ledger.leaves(self.ledgers))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -62,19 +68,19 @@ class Audit:
     @cached_property
     def labelled(self) -> DataFrame:
         fields = tracing.default_fields(self.papers).unionByName(tracing.ledger_fields(self.leaves)).distinct()
-        return tracing.labelled(self.numbers, self.tables, fields)
+        return self._kept(tracing.labelled(self.numbers, self.tables, fields))
 
     @cached_property
     def result_values(self) -> DataFrame:
-        return tracing.labelled(self.numbers, self.tables, tracing.default_fields(self.papers))
+        return self._kept(tracing.labelled(self.numbers, self.tables, tracing.default_fields(self.papers)))
 
     @cached_property
     def ledger_trace(self) -> DataFrame:
-        return tracing.ledger_trace(self.labelled, self.leaves, self.records)
+        return self._kept(tracing.ledger_trace(self.labelled, self.leaves, self.records))
 
     @cached_property
     def arithmetic(self) -> DataFrame:
-        return tracing.arithmetic(self.placed, self.result_values)
+        return self._kept(tracing.arithmetic(self.placed, self.result_values))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -99,7 +105,7 @@ class Audit:
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return out
+        return self._kept(out)
 
     # results
     @cached_property
