@@ -39,3 +39,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows in a batch that Python gets, for rows that hold whole texts; a setting of the cluster's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
