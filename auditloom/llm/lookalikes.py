@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.session import small_batches
+
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 #: Letters that look the same, fixed values: latin, and its twins in the other alphabets.
 TWINS = {
@@ -195,6 +197,7 @@ def token_repairs(texts: DataFrame, key: list[str]) -> DataFrame:
 
 def _apply(texts: DataFrame, key: list[str], how, name: str) -> DataFrame:
     """Texts without any suspect token are done where they stand; the others meet their replacements."""
+    small_batches(texts.sparkSession)
     stepped = texts.select(*key, "text", _first_step("text").alias("s"))
     none = F.lit(None).cast("array<string>")
     clean = stepped.where(F.col("s").isNull() | (F.coalesce(F.size("s.tokens"), F.lit(0)) == 0)).select(*key, "text", how(F.col("s.text"), none, none).alias(name))
@@ -203,10 +206,22 @@ def _apply(texts: DataFrame, key: list[str], how, name: str) -> DataFrame:
     return clean.unionByName(fixed)
 
 
+def _once(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, at, text): a row for each text column; two equal ones are a single row with at -1."""
+    equal = F.col(columns[0]).eqNullSafe(F.col(columns[-1])) if len(columns) == 2 else F.lit(False)
+    one = F.array(F.struct(F.lit(-1).alias("at"), F.col(columns[0]).alias("text")))
+    return frame.select(F.col(key), F.inline(F.when(equal, one).otherwise(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("text")) for i, c in enumerate(columns)]))))
+
+
+def _each(frame: DataFrame, columns: list[str]) -> DataFrame:
+    every = F.array(*[F.lit(i) for i in range(len(columns))])
+    return frame.withColumn("at", F.explode(F.when(F.col("at") < 0, every).otherwise(F.array("at"))))
+
+
 def consistent_texts(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, field_name, text): every text column in its consistent form, once per key and field."""
-    texts = frame.select(F.col(key), F.posexplode(F.array(*columns)).alias("at", "text"))
-    return _apply(texts, [key, "at"], _repaired, "form").dropDuplicates([key, "at"]).select(key, _name(columns).alias("field_name"), F.col("form").alias("text"))
+    forms_ = _apply(_once(frame, key, columns), [key, "at"], _repaired, "form").dropDuplicates([key, "at"])
+    return _each(forms_, columns).select(key, _name(columns).alias("field_name"), F.col("form").alias("text"))
 
 
 def _name(columns: list[str]) -> Column:
@@ -215,9 +230,6 @@ def _name(columns: list[str]) -> Column:
 
 def same_look(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(field_name, key, stored, look): digests of each text as stored and as seen, once per key and field."""
-    equal = F.col(columns[0]).eqNullSafe(F.col(columns[-1])) if len(columns) == 2 else F.lit(False)
-    once = F.when(equal, F.array(F.struct(F.lit(-1).alias("at"), F.col(columns[0]).alias("text")))).otherwise(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
-    texts = frame.select(F.col(key), F.inline(once)).where(F.col("text").isNotNull())
+    texts = _once(frame, key, columns).where(F.col("text").isNotNull())
     looks = _apply(texts, [key, "at"], _repaired_digest, "look").select(key, "at", F.md5("text").alias("stored"), "look")
-    every = F.array(*[F.lit(i) for i in range(len(columns))])
-    return looks.withColumn("at", F.explode(F.when(F.col("at") < 0, every).otherwise(F.array("at")))).dropDuplicates([key, "at"]).select(_name(columns).alias("field_name"), key, "stored", "look")
+    return _each(looks, columns).dropDuplicates([key, "at"]).select(_name(columns).alias("field_name"), key, "stored", "look")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.session import checkpoint_dir
+from auditloom.session import checkpoint_dir, small_batches
 
 GROUP = 50_000
 #: The windows are a list on the driver, of so many at most.
@@ -119,6 +119,7 @@ def containers(documents: DataFrame, windows: DataFrame, path: str | None = None
     if len(capacities) > WINDOWS:
         raise ValueError(f"more than {WINDOWS} windows")
     checkpoint_dir(spark)
+    small_batches(spark)
     counted = sizes(documents, path or tokenizer_file(spark)).checkpoint()
     groups = max(1, -(-counted.count() // group))
     listed = F.array(*[F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(c).cast("int").alias("capacity")) for w, c in capacities]) if capacities else F.array().cast("array<struct<window_id:int,capacity:int>>")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.session import checkpoint_dir
+from auditloom.session import checkpoint_dir, small_batches
 
 SALTS = 8
 ROUNDS = 14
@@ -208,6 +208,7 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     step anchors near one whose window isn't shared become dense in the same way."""
     texts = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= length))
     checkpoint_dir(frame.sparkSession)
+    small_batches(frame.sparkSession)
     half, longest = length // 2, length // 5
     found = in_two(texts.mapInPandas(_anchor_rows(length), _ROWS)).distinct().checkpoint()
     order = Window.partitionBy("key").orderBy("place")
