@@ -27,7 +27,9 @@ def last_name(path: Column) -> Column:
 def parsed(ledger: DataFrame) -> DataFrame:
     """(doc_id, path, line, v, problem): problem is null for objects; blank lines are skipped."""
     ledger.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    rows = ledger.where("raw IS NOT NULL AND trim(raw) != ''").withColumn("v", F.try_parse_json("raw"))
+    # the reader stops at the end of a value; as the one element of an array and the one member of an object nothing follows it
+    alone = F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "raw", F.lit("}"))).isNotNull()
+    rows = ledger.where("raw IS NOT NULL AND trim(raw) != ''").withColumn("v", F.when(alone, F.try_parse_json("raw")))
     object_ = F.expr("schema_of_variant(v) LIKE 'OBJECT%'")
     return rows.select("doc_id", "path", "line", "v", F.when(F.col("v").isNull(), "invalid JSON").when(~object_, "not an object").alias("problem"))
 
