@@ -115,7 +115,7 @@ SELECT doc_id, sha256(array_to_string(list_transform(p, lambda x: CASE WHEN star
     "claim_junk": "SELECT DISTINCT claim_id, length(regexp_replace(claim_text, '[^|]', '', 'g')) >= 2 OR len(regexp_extract_all(claim_text, '[A-Za-z]{2,}')) < 3 AS junk FROM claims",
     "claim_refs": "WITH r AS (SELECT cite_key, max(cite_status) AS status FROM citation_registry GROUP BY 1), c AS (SELECT DISTINCT claim_id, unnest(refs) AS cite_key FROM claims) SELECT coalesce(status, 'unavailable') AS status, count(*) AS refs, count(DISTINCT claim_id) AS claims FROM c LEFT JOIN r USING (cite_key) GROUP BY 1",
     "ledger_malformed": f"WITH {LEDGER} SELECT doc_id, CASE WHEN ok THEN 'not an object' ELSE 'invalid JSON' END AS problem, count(*) AS n FROM filled WHERE NOT ok OR json_type(CASE WHEN ok THEN raw ELSE 'null' END) != 'OBJECT' GROUP BY 1, 2",
-    "ledger_leaves": f"WITH {LEDGER}, {LEAVES} SELECT doc_id, name, count(*) AS n, round(sum(number), 3) AS total, max(number) AS highest FROM leaves WHERE number IS NOT NULL GROUP BY 1, 2",
+    "ledger_leaves": f"WITH {LEDGER}, {LEAVES} SELECT doc_id, name, count(*) AS n, sum(round(number * 1000)::BIGINT)::BIGINT AS thousandths, max(number) AS highest FROM leaves WHERE number IS NOT NULL GROUP BY 1, 2",
     "ledger_roles": f"WITH {LEDGER}, {RECORDS} SELECT doc_id, role, count(*) AS n FROM records GROUP BY 1, 2",
     "metric_ranges": f"""WITH {LEDGER}, {RECORDS}, {LEAVES} SELECT doc_id, {_LABEL.format('name')} AS metric, role, count(*) AS n, min(number) AS low, max(number) AS high FROM leaves JOIN records USING (doc_id, path, line)
 WHERE number IS NOT NULL AND {_LABEL.format('name')} NOT IN ('{"', '".join(P.NON_METRIC_FIELDS)}') GROUP BY 1, 2, 3""",

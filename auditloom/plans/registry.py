@@ -185,7 +185,7 @@ def ledger_malformed(spark, folder):
 
 def ledger_leaves(spark, folder):
     rows = ledger.leaves(ledgers(spark, folder)).where("number IS NOT NULL")
-    return rows.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.round(F.sum("number"), 3).alias("total"), F.max("number").alias("highest"))
+    return rows.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.sum(F.round(F.col("number") * 1000).cast("bigint")).alias("thousandths"), F.max("number").alias("highest"))
 
 
 def ledger_roles(spark, folder):
