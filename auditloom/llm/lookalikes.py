@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.llm.frames import batch
 from auditloom.session import small_batches
 
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
@@ -90,7 +91,9 @@ def _letter(char: str) -> str:
     if not char.isalpha():
         return ""
     point = ord(char)
-    return "latin" if point < 0x370 or 0x1E00 <= point < 0x1F00 else "greek" if point < 0x400 else "cyrillic" if point < 0x530 else "armenian"
+    if point < 0x370 or 0x1E00 <= point < 0x1F00:
+        return "latin"
+    return "greek" if point < 0x400 else "cyrillic" if point < 0x530 else "armenian" if point < 0x590 else ""
 
 
 def _script(char: str) -> str:
@@ -151,17 +154,17 @@ def _first_step(texts: pd.Series) -> pd.DataFrame:
         plain = one_width(text)
         script = document_script(plain) if _OTHER.search(plain) else "latin"
         rows.append((plain, script, suspects(plain, script)))
-    return pd.DataFrame(rows, columns=["text", "script", "tokens"])
+    return batch(rows, ["text", "script", "tokens"])
 
 
 def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts within a batch of the tokens that need no repair."""
-    for batch in batches:
+    for part in batches:
         counts: Counter = Counter()
-        for text in batch["text"].dropna():
+        for text in part["text"].dropna():
             counts.update(_TOKEN.findall(one_width(text)))
         kept = {t: n for t, n in counts.items() if t.isascii() or len({_script(c) for c in unicodedata.normalize("NFD", t) if _letter(c)}) <= 1}
-        yield pd.DataFrame({"form": list(kept), "n": list(kept.values())}, columns=["form", "n"])
+        yield batch(list(kept.items()), ["form", "n"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

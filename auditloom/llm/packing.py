@@ -135,7 +135,7 @@ def containers(documents: DataFrame, windows: DataFrame, path: str | None = None
         frame = frame.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
         boxes = packed(frame["tokens"].tolist(), int(frame["capacity"].iloc[0]))
         bucket = int(frame["bucket"].iloc[0])
-        return pd.DataFrame({"window_id": frame["window_id"], "container": [f"group {bucket} container {b}" for b in boxes], "doc_id": frame["doc_id"], "piece": frame["piece"], "tokens": frame["tokens"]})
+        return pd.DataFrame({"window_id": frame["window_id"], "container": pd.Series([f"group {bucket} container {b}" for b in boxes], index=frame.index, dtype=object), "doc_id": frame["doc_id"], "piece": frame["piece"], "tokens": frame["tokens"]})
 
     together = rest.groupBy("window_id", "bucket").applyInPandas(pack, "window_id int, container string, doc_id long, piece int, tokens int")
     return full.unionByName(together)

@@ -160,10 +160,9 @@ LEFT, RIGHT = 1, 2
 
 
 def _spread(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """The rows with the marks that prints holds for their print; prints (print, marks), distinct."""
+    """The rows with what prints tells of their print; prints (print, ...), distinct."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    marks = prints.select("print", "marks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(marks, ["print", "salt"], "left").select("print", "key", "place", F.coalesce("marks", F.lit(0)).alias("marks"))
+    return salted.join(prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["print", "salt"]).drop("salt")
 
 
 def _window_rows(length: int):
@@ -203,9 +202,11 @@ def _compared(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
 def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
     """(key, place): places in each text whose next length characters another text has, enough of them to cover every shared span.
 
-    An anchor is dense in all texts that share it when in one of them it is the first or
-    last of its row; then windows are compared at every place before it. In the third
-    step anchors near one whose window isn't shared become dense in the same way."""
+    All windows before an anchor are compared, in all texts that share it, when in one of
+    them it is the first of its row, and those that may be the last when it is the last of
+    its row. In the third step that is done for anchors near a pair of which a window isn't
+    shared, and near the first of a row; but not where a compared anchor follows so soon
+    that it has seen all windows, in the same set of texts all along."""
     texts = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= length))
     checkpoint_dir(frame.sparkSession)
     small_batches(frame.sparkSession)
@@ -214,20 +215,29 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     order = Window.partitionBy("key").orderBy("place")
     before, after = F.col("place") - F.lag("place").over(order), F.lead("place").over(order) - F.col("place")
     left, right = before.isNull() | (before > longest), after.isNull() | (after > longest)
-    edges = found.withColumn("marks", left.cast("int") * LEFT + right.cast("int") * RIGHT).where("marks > 0")
-    marked = _spread(found, edges.groupBy("print").agg(F.bit_or("marks").alias("marks"))).checkpoint()
+    edges = found.withColumn("marks", left.cast("int") * LEFT + right.cast("int") * RIGHT)
+    groups = edges.groupBy("print").agg(F.bit_or("marks").alias("marks"), F.struct(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n")).alias("texts"))
+    marked = _spread(found, groups).checkpoint()
     shared = _compared(texts, marked, length).checkpoint()
-    settled = marked.join(shared.withColumn("sure", F.lit(True)), ["key", "place"], "left").withColumn("sure", F.col("sure").isNotNull())
-    # between two anchors nothing is open if both windows are shared or all windows there have been compared
-    full = F.min(F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.col("place"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    ends = F.min(F.when(F.col("marks").bitwiseAND(RIGHT) > 0, F.col("place"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    following = settled.withColumn("after", after).withColumn("sure_b", F.coalesce(F.lead("sure").over(order), F.lit(False))).withColumn("full", full).withColumn("ends", ends)
-    open_ = (F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~F.coalesce(F.col("full") <= F.col("place") + half, F.lit(False)) & ~F.coalesce((F.col("ends") <= F.col("place") + half) & ~F.col("sure_b"), F.lit(False))
+    rows = marked.join(shared.withColumn("sure", F.lit(True)), ["key", "place"], "left").withColumn("sure", F.col("sure").isNotNull())
+    rest = order.rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("key").orderBy("place").rangeBetween(0, half + longest)
+    begun = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("starts", left)
+    rows = rows.select(
+        "*", after.alias("after"), F.coalesce(F.lead("sure").over(order), F.lit(False)).alias("sure_b"),
+        F.min(F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.col("place"))).over(rest).alias("full"), F.min(F.when(F.col("marks").bitwiseAND(RIGHT) > 0, F.col("place"))).over(rest).alias("ends"),
+        (F.min("texts").over(ahead) == F.max("texts").over(ahead)).alias("alike"), F.last(F.when(F.col("starts"), F.struct("place", "texts")), True).over(begun).alias("first"),
+    )
+    soon = lambda c: F.coalesce(F.col(c) <= F.col("place") + half, F.lit(False))
+    seen = F.col("alike") & (soon("full") | (soon("ends") & ~F.col("sure_b")))
+    open_ = F.coalesce((F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~seen, F.lit(False))
+    other = F.coalesce((F.col("place") - F.col("first.place") <= half) & (F.col("texts") != F.col("first.texts")), F.lit(False))
     reach = Window.partitionBy("key").orderBy("place").rangeBetween(-(half + longest), 0)
-    late = following.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("open", F.max("open").over(reach)).where("open").select("print", F.lit(LEFT).alias("marks")).distinct().checkpoint()
+    late = rows.withColumn("open", open_).withColumn("other", other).withColumn("open", F.max("open").over(reach)).where("open OR other").select("print", F.lit(LEFT).alias("marks")).distinct().checkpoint()
     if late.isEmpty():
         return shared
-    return shared.unionByName(_compared(texts, _spread(found, late).where("marks > 0"), length)).distinct()
+    return shared.unionByName(_compared(texts, _spread(found, late), length)).distinct()
 
 
 def shared_amounts(frame: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
