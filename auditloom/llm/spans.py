@@ -166,21 +166,15 @@ def _spread(rows: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def _window_rows(length: int):
-    """Windows at the anchors, and all that may be the first shared one before a left anchor or the last one of a right anchor.
-
-    The first starts up to half a span length before the anchor, for all of its print is shared. The
-    last ends before the next anchor's print does, which is at most a fifth of the span length later."""
-    half, longest = length // 2, length // 5
+    """The windows that start from low to high places after each anchor."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text, jobs in zip(batch["key"], batch["text"], batch["jobs"]):
                 codes = _codes(text)
-                at = np.array([j["place"] for j in jobs], dtype=np.int64)
-                marks = np.array([j["marks"] for j in jobs], dtype=np.int64)
-                left = (at[marks & LEFT > 0][:, None] + np.arange(-half, 1)).ravel()
-                right = (at[marks & RIGHT > 0][:, None] + np.arange(-half, longest - half + 1)).ravel()
-                windows = np.unique(np.concatenate((at, left, right)))
+                at, low, high = (np.array([j[c] for j in jobs], dtype=np.int64) for c in ("place", "low", "high"))
+                n = high - low + 1
+                windows = np.unique(np.repeat(at + low - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
                 windows = windows[(windows >= 0) & (windows + length <= len(codes))]
                 yield pd.DataFrame({"print": _Prints(codes).of(windows, length), "key": np.full(len(windows), key), "place": windows.astype(np.int32)})
 
@@ -190,10 +184,10 @@ def _window_rows(length: int):
 _ROWS = "print long, key long, place int"
 
 
-def _compared(texts: DataFrame, marked: DataFrame, length: int) -> DataFrame:
-    """(key, place): the windows around the marked anchors that two texts have."""
-    jobs = marked.groupBy("key").agg(F.collect_list(F.struct("place", "marks")).alias("jobs"))
-    keys = marked.select("key").distinct()
+def _compared(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
+    """(key, place): the windows that two texts have, of those in the ranges (key, place, low, high)."""
+    jobs = ranges.groupBy("key").agg(F.collect_list(F.struct("place", "low", "high")).alias("jobs"))
+    keys = ranges.select("key").distinct()
     if keys.count() <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(keys), "key", "left_semi")
     return in_two(texts.join(jobs, "key").mapInPandas(_window_rows(length), _ROWS)).select("key", "place").distinct()
@@ -218,14 +212,19 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     edges = found.withColumn("marks", left.cast("int") * LEFT + right.cast("int") * RIGHT)
     groups = edges.groupBy("print").agg(F.bit_or("marks").alias("marks"), F.struct(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n")).alias("texts"))
     marked = _spread(found, groups).checkpoint()
-    shared = _compared(texts, marked, length).checkpoint()
+    # the first shared window before a left anchor starts up to half a span length before it, for all of the anchor's print is shared;
+    # the last one before a right anchor ends before the next anchor's print does, at most a fifth of the span length later
+    span = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    spans = F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.array(span(-half, 0))).when(F.col("marks") > 0, F.array(span(-half, longest - half), span(0, 0))).otherwise(F.array(span(0, 0)))
+    shared = _compared(texts, marked.select("key", "place", F.inline(spans)), length).checkpoint()
     rows = marked.join(shared.withColumn("sure", F.lit(True)), ["key", "place"], "left").withColumn("sure", F.col("sure").isNotNull())
-    rest = order.rowsBetween(1, Window.unboundedFollowing)
-    ahead = Window.partitionBy("key").orderBy("place").rangeBetween(0, half + longest)
+    # all anchors that tell of a window between two of a row are in that row, or the first of the next
+    rows = rows.withColumn("starts", left).withColumn("after", after).withColumn("row", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("key", "row").orderBy("place")
+    rest, ahead = order.rowsBetween(1, Window.unboundedFollowing), order.rangeBetween(0, half + longest)
     begun = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("starts", left)
     rows = rows.select(
-        "*", after.alias("after"), F.coalesce(F.lead("sure").over(order), F.lit(False)).alias("sure_b"),
+        "*", F.coalesce(F.lead("sure").over(order), F.lit(False)).alias("sure_b"),
         F.min(F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.col("place"))).over(rest).alias("full"), F.min(F.when(F.col("marks").bitwiseAND(RIGHT) > 0, F.col("place"))).over(rest).alias("ends"),
         (F.min("texts").over(ahead) == F.max("texts").over(ahead)).alias("alike"), F.last(F.when(F.col("starts"), F.struct("place", "texts")), True).over(begun).alias("first"),
     )
@@ -233,11 +232,16 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     seen = F.col("alike") & (soon("full") | (soon("ends") & ~F.col("sure_b")))
     open_ = F.coalesce((F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~seen, F.lit(False))
     other = F.coalesce((F.col("place") - F.col("first.place") <= half) & (F.col("texts") != F.col("first.texts")), F.lit(False))
-    reach = Window.partitionBy("key").orderBy("place").rangeBetween(-(half + longest), 0)
-    late = rows.withColumn("open", open_).withColumn("other", other).withColumn("open", F.max("open").over(reach)).where("open OR other").select("print", F.lit(LEFT).alias("marks")).distinct().checkpoint()
+    rows = rows.withColumn("open", open_).withColumn("other", other)
+    reach = order.rangeBetween(-(half + longest), 0)
+    low = F.least(F.min(F.when(F.col("open"), F.col("place"))).over(reach), F.when(F.col("other"), F.col("first.place") - half))
+    high = F.greatest(F.max(F.when(F.col("open"), F.col("place") + F.col("after"))).over(reach), F.when(F.col("other"), F.col("first.place")))
+    late = rows.select("print", "place", low.alias("low"), high.alias("high")).where("low IS NOT NULL AND high IS NOT NULL")
+    late = late.select("print", F.greatest(F.col("low") - F.col("place"), F.lit(-half)).alias("low"), F.least(F.col("high") - F.col("place"), F.lit(0)).alias("high")).where("low <= high")
+    late = late.groupBy("print").agg(F.min("low").alias("low"), F.max("high").alias("high")).checkpoint()
     if late.isEmpty():
         return shared
-    return shared.unionByName(_compared(texts, _spread(found, late), length)).distinct()
+    return shared.unionByName(_compared(texts, _spread(found, late).select("key", "place", "low", "high"), length)).distinct()
 
 
 def shared_amounts(frame: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
