@@ -153,7 +153,8 @@ def in_two(rows: DataFrame) -> DataFrame:
     ends = salted.groupBy("print", "salt").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("place").alias("place")).where("place >= 0")
     both = ends.groupBy("print").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     spread = both.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(spread, ["print", "salt"]).select("print", "key", "place")
+    # the many rows are not sorted: each partition keeps the few shared prints in a table
+    return salted.join(spread.hint("shuffle_hash"), ["print", "salt"]).select("print", "key", "place")
 
 
 LEFT, RIGHT = 1, 2
