@@ -4,7 +4,7 @@ Each round names runs of equal symbols and then pairs of a left and a right symb
 whether a symbol is left or right is a bit of its name, and a name is a hash of the
 names of its parts. So names are the same in every text and on every executor without
 any exchange, and equal substrings come out with the same symbols but near their ends.
-Symbols grow to at most a fifth of the span length; where they start is an anchor.
+Symbols grow to at most a quarter of the span length; where they start is an anchor.
 
 The text behind an anchor is fingerprinted over half the span length; fingerprints
 that stand in two records are shared anchors, and any shared span holds some. Around
@@ -128,7 +128,7 @@ def _pieces(keys: list, texts: list, least: int) -> Iterator[tuple[list, list]]:
 
 
 def _anchor_rows(length: int):
-    half, longest = length // 2, length // 5
+    half, longest = length // 2, length // 4
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,7 +205,7 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     texts = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= length))
     checkpoint_dir(frame.sparkSession)
     small_batches(frame.sparkSession)
-    half, longest = length // 2, length // 5
+    half, longest = length // 2, length // 4
     found = in_two(texts.mapInPandas(_anchor_rows(length), _ROWS)).distinct().checkpoint()
     order = Window.partitionBy("key").orderBy("place")
     before, after = F.col("place") - F.lag("place").over(order), F.lead("place").over(order) - F.col("place")
@@ -214,7 +214,7 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     groups = edges.groupBy("print").agg(F.bit_or("marks").alias("marks"), F.struct(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n")).alias("texts"))
     marked = _spread(found, groups).checkpoint()
     # the first shared window before a left anchor starts up to half a span length before it, for all of the anchor's print is shared;
-    # the last one before a right anchor ends before the next anchor's print does, at most a fifth of the span length later
+    # the last one before a right anchor ends before the next anchor's print does, at most a quarter of the span length later
     span = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
     spans = F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.array(span(-half, 0))).when(F.col("marks") > 0, F.array(span(-half, longest - half), span(0, 0))).otherwise(F.array(span(0, 0)))
     shared = _compared(texts, marked.select("key", "place", F.inline(spans)), length).checkpoint()
