@@ -42,6 +42,8 @@ GRAMMARS = {
     "to do": r"(?:(?<=^)|(?<=[\n.!?]\s)|(?<=\n))(?:[-*]\s+)?(?:T[O0]D[O0]|FIXME)\s*:|\bTBD\b(?=\s+(?:after|by|before|when|later)|\s*[.,;:]|\s*$)",
 }
 PLACEHOLDER = "(?U)(?:" + "|".join(GRAMMARS.values()) + ")"
+#: How any of them begins; a block without that is not searched further.
+_SIGNS = r"\{\{|\$\{|\{[A-Z0-9]|<<|%%|@@|~[a-z]|\[\[|\[\s*(?i:insert|add|enter|fill|your)|goes\s+here\]|<\s*(?i:your|insert|enter)|___|\?\?\?|T[O0]D[O0]|FIXME|TBD"
 _QUOTED = "[\"“„«'][^\"“”«»\n]{0,20}$"
 _TUTORIAL = r"(?i)\b(?:placeholders?|templates?|jinja|syntax|renders?|rendered|substitut\w+|variables?)\b"
 
@@ -52,6 +54,12 @@ LOREM = (
     "proident sunt culpa officia deserunt mollit anim laborum porta vitae lectus massa arcu nibh congue"
 ).split()
 
+#: Two stock words, four words of the keyboard's rows, or a word three times, close together; a block without that is no filler.
+_STOCK = (
+    r"(?i)\b(?:" + "|".join(LOREM) + r")\b[^\p{L}]+(?:\p{L}+[^\p{L}]+)?(?:" + "|".join(LOREM) + r")\b"
+    r"|\b(?:[asdfjklqwer]{2,}[\s.,]+){4}|\b(\p{L}{2,})[\s.,]+\1[\s.,]+\1\b"
+)
+
 #: What servers, viewers and forms say; fixed values. Each is found anywhere in a block.
 PHRASES = """
 could not be found on this server|do not have permission to view|sign in with your institution|log in to continue reading|scripts are blocked on this page|needs javascript to display
@@ -85,28 +93,30 @@ _SCRIPTS = r"(?i)(?:javascript|скрипт|脚本|スクリプト|스크립트|
 
 _SINGLE = {"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "@": "a", "5": "s", "f": "t", "c": "e"}
 _PAIRS = (("m", "rn"), ("n", "ri"), ("d", "ei"), ("u", "ii"), ("h", "ii"), ("b", "ii"))
-_WIDE = {chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}
+#: Characters that the folded spelling lacks: spaces, hyphens, invisible ones.
+_DROPPED = "\t\n\x0b\x0c\r -\u00a0\u00ac\u00ad\u2010\u200b\u200c\u200d\u2060\ufeff\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _table() -> tuple[str, str]:
-    """Every single replacement, from upper and lower case, in one translation."""
-    def end(char: str) -> str:
-        char = TO_LATIN.get(char, char).lower()
-        char = TO_LATIN.get(char, char)
-        return _SINGLE.get(char, char)
-
-    keys = [*_SINGLE, *TO_LATIN, *_WIDE, *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    pairs = {k: end(_WIDE.get(k, k)) for k in keys}
-    return "".join(pairs), "".join(pairs.values())
+    """Every replacement of a single character, and at the end those that are dropped, in one translation."""
+    pairs = {}
+    for point in (*range(0x21, 0x17F), *range(0x370, 0x590), *range(0xFF01, 0xFF5F)):
+        char = chr(point)
+        plain = chr(point - 0xFEE0) if point >= 0xFF01 else char
+        low = TO_LATIN.get(plain, plain).lower()
+        low = TO_LATIN.get(low, low)
+        end = _SINGLE.get(low, low)
+        if end != char and len(end) == 1 and char not in _DROPPED:
+            pairs[char] = end
+    return "".join(pairs) + _DROPPED, "".join(pairs.values())
 
 
 _FROM, _TO = _table()
-_DROPPED = "[\\s\u00ad¬‐\u200b-\u200d\u2060\ufeff\u00a0\u2000-\u200a\u202f\u205f\u3000-]+"
 
 
 def folded(text: Column) -> Column:
     """The spelling in which phrases are compared."""
-    out = F.translate(F.lower(F.regexp_replace(text, F.lit(_DROPPED), F.lit(""))), _FROM, _TO)
+    out = F.translate(text, _FROM, _TO)
     for a, b in _PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -114,7 +124,8 @@ def folded(text: Column) -> Column:
 
 def folded_text(text: str) -> str:
     """The same for one string."""
-    out = re.sub(_DROPPED, "", text).lower().translate(str.maketrans(_FROM, _TO))
+    n = len(_TO)
+    out = text.translate(str.maketrans(_FROM[:n], _TO, _FROM[n:]))
     for a, b in _PAIRS:
         out = out.replace(a, b)
     return out
@@ -148,7 +159,8 @@ def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
 
 def kind_of(block: Column) -> Column:
     """placeholder, filler or message; null for content."""
-    found = F.regexp_extract(block, PLACEHOLDER, 0)
+    none = F.lit("")
+    found = F.when(block.rlike(_SIGNS), F.regexp_extract(block, PLACEHOLDER, 0)).otherwise(none)
     before = F.left(block, F.instr(block, found) - 1)
     share = F.length(F.array_join(F.regexp_extract_all(block, F.lit(PLACEHOLDER), F.lit(0)), "")) / F.length(block)
     tutorial = before.rlike(_QUOTED) | (block.rlike(_TUTORIAL) & (share < 0.5))
@@ -157,7 +169,7 @@ def kind_of(block: Column) -> Column:
     lorem = F.size(F.filter(words, lambda w: w.isin(*LOREM)))
     mash = F.size(F.filter(words, lambda w: w.rlike("^[asdfjklqwer]+$")))
     distinct = F.size(F.array_distinct(words))
-    filler = ((n >= 4) & (lorem >= 0.5 * n)) | ((n >= 6) & (mash >= 0.9 * n)) | ((n >= 6) & (distinct <= 0.25 * n))
+    filler = F.when(block.rlike(_STOCK), ((n >= 4) & (lorem >= 0.5 * n)) | ((n >= 6) & (mash >= 0.9 * n)) | ((n >= 6) & (distinct <= 0.25 * n))).otherwise(False)
     titles = F.regexp_replace(F.regexp_replace(block, F.lit("<[^>\n]*>"), F.lit("\n")), F.lit("\n+"), F.lit("\n"))
     return (
         F.when((found != "") & ~tutorial, "placeholder")
