@@ -107,6 +107,8 @@ CORE_SECTIONS = {
     "Limitations and Conclusion": r"(?i)\blimitations?\b|\bconclusion\b",
     "Self-Review": r"(?i)\bself[- ]review\b",
 }
+OFFICIAL_MARKER = r"(?i)Track\s*1\s*[—:-]\s*AI Scientist Submission"
+WRAPPER_SECTION = r"(?i)\bagent workflow\b"
 PAGE_COUNT = r"(?i)(?:page count|pages?)\s*[:=]\s*(\d+)\b"
 ANY_CHECKBOX = r"^\s*[-*+]\s+\[([^\]])\]\s+(.+)$"
 LEADING_CHECKBOX = r"^\s*[-*+]\s+\[([ xX])\]\s+(.+?)\s*$"
@@ -150,11 +152,26 @@ RIGOR_CHECKLIST = {
 RELATED_WORK_TITLE = r"(?i)\b(?:related\s+work|prior\s+work|previous\s+work|background|literature\s+review|references|bibliography)\b"
 NOVELTY = (
     r"(?i)\b(?:we\s+(?:are|were)\s+the\s+first\b|(?:is|are)\s+the\s+first\s+(?:method|approach|work|paper|model|system|framework|algorithm|technique)\s+to\b|for\s+the\s+first\s+time\b"
-    r"|to\s+(?:the\s+)?best\s+of\s+our\s+knowledge\b|(?:new\s+)?state[-\s]of[-\s]the[-\s]art\b|\bSOTA\b|best[-\s]performing\b|advanc(?:e|es|ing)\s+the\s+state\b)"
+    r"|to\s+(?:the\s+)?best\s+of\s+our\s+knowledge\b|(?:new\s+)?state[-\s]of[-\s]the[-\s]art\b|\bSOTA\b|best[-\s]performing\b|advanc(?:e|es|ing)\s+the\s+state\b"
+    r"|(?:we\s+(?:propose|present|introduce|develop|design|devise|offer)|our)\s+(?:[a-z]+[\s,]+){0,4}?(?:novel|new)\s+(?:method|approach|framework|architecture|algorithm|technique|model|network|module|paradigm|formulation|objective|loss|scheme)"
+    r"|(?:a|the|this)\s+(?:novel|new)\s+(?:method|approach|framework|architecture|algorithm|technique|model|network|module|paradigm|formulation)\s+(?:that|which|for|to|is|we|,))"
 )
 SUPERIORITY = (
     r"(?i)\b(?:outperform(?:s|ed|ing)?|surpass(?:es|ed|ing)?|beat(?:s|en|ing)?|exceed(?:s|ed|ing)?|superior|better)\b[^.!?]{0,48}?\b(?:baselines?|state[-\s]of[-\s]the[-\s]art|sota|prior|previous|existing"
-    r"|competing|other\s+(?:methods?|models?|systems?|approaches|networks?))\b"
+    r"|competing|other\s+(?:methods?|models?|systems?|approaches|networks?)|all\s+(?:[a-z]+\s+){0,3}?(?:methods?|models?|systems?|approaches|baselines?|networks?))\b"
+)
+LOOSE_SUPERIORITY = (
+    r"(?i)\b(?:we|our\s+(?:method|approach|model|system|framework|technique|algorithm|results?|work))\b[^.!?]{0,32}?"
+    r"\b(?:outperform(?:s|ed|ing)?|surpass(?:es|ed|ing)?|(?:is|are)\s+superior\s+to|(?:is|are|performs?|do(?:es)?)\s+better\s+than)\b"
+)
+HYPOTHETICAL_CLAIM = (
+    r"(?i)\b(?:plan(?:s|ned)?|aim(?:s|ed)?|hope(?:s|d)?|intend(?:s|ed)?|expect(?:s|ed)?|seek(?:s)?|going|will|would|could|might|may|shall)\s+to\s+(?:[a-z]+\s+){0,2}?"
+    r"\b(?:outperform\w*|surpass\w*|beat\w*|exceed\w*|be\s+(?:novel|superior|the\s+first)|achiev\w*\s+state|propose|present|introduce)\b"
+)
+COMPARATOR = r"(?i)\bbaselines?\b|\b(?:compared\s+(?:to|with)|relative\s+to|versus|vs\.?|against)\s+(?:the\s+)?[A-Za-z][\w.-]*"
+AUTHOR_YEAR = (
+    r"[\(\[][A-Z][A-Za-z.'’-]+(?:\s+(?:et\s+al\.?|and|&|[A-Z][A-Za-z.'’-]+))*,?\s+(?:18|19|20)\d{2}[a-z]?[\)\]]"
+    r"|[A-Z][A-Za-z.'’-]+\s+et\s+al\.?\s*\((?:18|19|20)\d{2}[a-z]?\)|\[[A-Z][A-Za-z]+(?:etal)?\d{2,4}[a-z]?\]"
 )
 NEGATED_CLAIM = r"(?i)\b(?:not|never|n't|no\s+longer|do(?:es)?\s+not|did\s+not)\s+(?:[a-z]+\s+){0,2}?\b(?:novel|state[-\s]of[-\s]the[-\s]art|sota|outperform\w*|surpass\w*|beat\w*|exceed\w*|superior|better\s+than|first\s+to)\b"
 VARIANCE = r"(?i)\b(?:variance|std(?:ev|\.)?|standard[- ]deviation|confidence[- ]interval|error[- ]bars?|seeds?|stderr|averaged|deviation|±)\b|\b\d+\s+(?:runs?|seeds?|trials?)\b|\bmultiple\s+(?:runs?|seeds?|trials?)\b"

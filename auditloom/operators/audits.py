@@ -46,6 +46,12 @@ def section_groups(sections: DataFrame) -> DataFrame:
     return flags.unpivot("doc_id", [F.col(f"`{n}`") for n in P.CORE_SECTIONS], "section_group", "present")
 
 
+def wrapper_missing(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id): papers in the official wrapper that lack the section which goes with it."""
+    wrapped = lines.where(F.col("text").rlike(P.OFFICIAL_MARKER)).select("doc_id").distinct()
+    return wrapped.join(sections.where(F.col("title").rlike(P.WRAPPER_SECTION)).select("doc_id"), "doc_id", "left_anti")
+
+
 def page_counts(lines: DataFrame) -> DataFrame:
     """(doc_id, page_count, declarations, conflicting): the first declared number of pages."""
     told = lines.select("doc_id", "line", F.regexp_extract("text", P.PAGE_COUNT, 1).alias("n")).where("n != ''")
@@ -104,17 +110,27 @@ def broken_promises(lines: DataFrame, most: int = 3) -> DataFrame:
 
 
 def positioning(placed: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc_id, has_related_work, citation_count, positioned, claims): how a paper places itself among others."""
-    cites = [P.NUMERIC_CITE, P.ARXIV, P.BRACKET_ARXIV, P.DOI, P.S2_URL, P.CORPUS_ID, P.REGISTRY_MARK]
+    """(doc_id, has_related_work, citation_count, positioned, claims, loose): how a paper places itself among others.
+
+    claims: live sentences of novelty or of superiority over named work; loose: those that name nothing to compare with."""
+    cites = [P.NUMERIC_CITE, P.AUTHOR_YEAR, P.ARXIV, P.BRACKET_ARXIV, P.DOI, P.S2_URL, P.CORPUS_ID, P.REGISTRY_MARK]
     counted = placed.groupBy("doc_id").agg(F.sum(sum((F.regexp_count("text", F.lit(p)) for p in cites), F.lit(0))).alias("citation_count"))
     filled = placed.join(sections.where(F.col("title").rlike(P.RELATED_WORK_TITLE)).select("doc_id", "section", "heading_line"), ["doc_id", "section"]).where(
         (F.col("heading_line").isNull() | (F.col("line") > F.col("heading_line"))) & F.col("text").rlike("[^\\s#>*_\\-\\[\\]()]")
     )
     related = filled.select("doc_id").distinct().withColumn("has_related_work", F.lit(True))
     prose = placed.where(~F.col("text").rlike("^\\s*[|#]") & F.col("text").rlike("\\S")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.LOOSE_SENTENCE), F.lit(0))).alias("s"))
-    claimed = prose.where((F.col("s").rlike(P.NOVELTY) | F.col("s").rlike(P.SUPERIORITY)) & ~F.col("s").rlike(P.NEGATED_CLAIM)).groupBy("doc_id").agg(F.count("*").alias("claims"))
+    live = prose.where(~F.col("s").rlike(P.NEGATED_CLAIM) & ~F.col("s").rlike(P.HYPOTHETICAL_CLAIM))
+    firm = F.col("s").rlike(P.NOVELTY) | F.col("s").rlike(P.SUPERIORITY)
+    claimed = live.groupBy("doc_id").agg(F.count_if(firm).alias("claims"), F.count_if(~firm & F.col("s").rlike(P.LOOSE_SUPERIORITY) & ~F.col("s").rlike(P.COMPARATOR)).alias("loose"))
     out = counted.join(related, "doc_id", "left").join(claimed, "doc_id", "left").withColumn("has_related_work", F.coalesce("has_related_work", F.lit(False)))
-    return out.select("doc_id", "has_related_work", F.col("citation_count").cast("long"), (F.col("has_related_work") | (F.col("citation_count") > 0)).alias("positioned"), F.coalesce("claims", F.lit(0)).alias("claims"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("doc_id", "has_related_work", F.col("citation_count").cast("long"), (F.col("has_related_work") | (F.col("citation_count") > 0)).alias("positioned"), zero("claims"), zero("loose"))
+
+
+def unpositioned(positioning_: DataFrame) -> DataFrame:
+    """(doc_id): papers that claim novelty or superiority and cite nothing."""
+    return positioning_.where("claims > 0 AND NOT positioned").select("doc_id")
 
 
 def unanswered(papers: DataFrame) -> DataFrame:

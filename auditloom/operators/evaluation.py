@@ -61,3 +61,31 @@ def changed(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(doc_id) of the digests that differ from those frozen before."""
     old = previous.select("doc_id", F.col("digest").alias("frozen"))
     return current.join(old, "doc_id").where("digest != frozen").select("doc_id")
+
+
+def leads(findings: DataFrame, most: int = 8) -> DataFrame:
+    """(doc_id, leads): the first findings of each check as JSON, for a reader; what an injected instruction said is left out."""
+    order = Window.partitionBy("doc_id", "check").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "column_start")
+    kept = findings.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    each = F.array_sort(F.collect_list(F.struct("check", "n", "line")))
+    return kept.groupBy("doc_id").agg(F.to_json(each).alias("leads"))
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """The findings with finding_no, by line, then check; those of a whole document last."""
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "check", "column_start")
+    return findings.withColumn("finding_no", F.row_number().over(order))
+
+
+def grounded(comments: DataFrame, verdicts: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, comment_no, stance): comments that rest on something; praise on a supported claim, criticism on a finding or a contradicted claim.
+
+    A criticism of a claim that is known but not contradicted becomes a question; what rests on nothing is dropped.
+    comments: (doc_id, comment_no, stance, claim_no, finding_no); findings: numbered."""
+    judged = comments.join(verdicts.select("doc_id", "claim_no", "label"), ["doc_id", "claim_no"], "left").join(findings.select("doc_id", "finding_no", F.lit(True).alias("found")), ["doc_id", "finding_no"], "left")
+    stance = (
+        F.when((F.col("stance") == "praise") & (F.col("label") == "supported"), "praise")
+        .when((F.col("stance") == "criticism") & (F.col("found") | (F.col("label") == "contradicted")), "criticism")
+        .when((F.col("stance") == "criticism") & F.col("label").isNotNull(), "question").when((F.col("stance") == "question") & (F.col("found") | F.col("label").isNotNull()), "question")
+    )
+    return judged.select("doc_id", "comment_no", stance.alias("stance")).where("stance IS NOT NULL")

@@ -55,3 +55,22 @@ def from_atom(feeds: DataFrame) -> DataFrame:
     squeezed = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
     out = rows.select(ident.alias("id"), squeezed("title").alias("title"), squeezed("summary").alias("summary"), F.substring("published", 1, 10).try_cast("date").alias("published"))
     return out.where("id != '' AND title != ''")
+
+
+def papers_from_atom(feeds: DataFrame) -> DataFrame:
+    """(arxiv_id, title, category, pdf_url) of Atom payloads in a column xml; what an entry lacks is taken from its id, an id that comes again is dropped."""
+    entry = "STRUCT<id: STRING, title: STRING, category: ARRAY<STRUCT<_term: STRING>>, link: ARRAY<STRUCT<_href: STRING, _title: STRING, _type: STRING>>>"
+    rows = feeds.select(F.from_xml("xml", f"entry ARRAY<{entry}>").alias("f")).select(F.posexplode("f.entry").alias("n", "e"))
+    ident = F.regexp_replace(F.regexp_extract("e.id", "(?i)/abs/([^\\s<]+)", 1), "v\\d+$", "")
+    pdf = F.filter("e.link", lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf"))
+    out = rows.select(
+        "n", ident.alias("arxiv_id"), F.trim(F.regexp_replace("e.title", "\\s+", " ")).alias("title"), F.try_element_at("e.category", F.lit(1))["_term"].alias("category"),
+        F.coalesce(F.try_element_at(pdf, F.lit(1))["_href"], F.concat(F.lit("https://arxiv.org/pdf/"), ident)).alias("pdf_url"),
+    )
+    first = Window.partitionBy("arxiv_id").orderBy("n")
+    return out.where("arxiv_id != ''").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "n")
+
+
+def text_of_html(html: Column) -> Column:
+    """Visible text: scripts, styles and tags dropped, spaces squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1\\s*>", " "), "<[^>]+>", " "), "\\s+", " "))

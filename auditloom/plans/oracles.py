@@ -172,14 +172,14 @@ SELECT array_to_string(list_filter([CASE WHEN alpha <= 32 THEN 'transparent' END
     "panel_choice": f"""WITH {PANEL}, o AS (SELECT * FROM scores WHERE dimension = 'Overall recommendation'), m AS (SELECT doc_id, quantile_disc(value, 0.5) AS middle FROM o GROUP BY 1)
 SELECT doc_id, arg_min(role, (abs(value - middle), role)) AS role FROM o JOIN m USING (doc_id) GROUP BY 1""",
     "capped_scores": f"WITH {PANEL} SELECT dimension, sum(CASE WHEN doc_id % 3 > 0 AND dimension IN ('Soundness', 'Overall recommendation') THEN least(value, 2) ELSE value END)::BIGINT AS total FROM scores GROUP BY 1",
-    "detection_scores": """WITH gold AS (SELECT o_orderkey AS paper, o_custkey % 7 + 1 AS line FROM orders WHERE o_orderkey % 11 = 0),
-f AS (SELECT DISTINCT l_orderkey AS paper, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS finding, l_returnflag AS chk, l_linenumber AS line FROM lineitem WHERE l_orderkey % 11 = 0),
+    "detection_scores": """WITH gold AS (SELECT o_orderkey AS paper, o_custkey % 7 + 1 AS line FROM orders),
+f AS (SELECT DISTINCT l_orderkey AS paper, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS finding, l_returnflag AS chk, l_linenumber AS line FROM lineitem),
 m AS (SELECT g.paper, g.line AS gl, f.finding, f.line FROM gold g JOIN f USING (paper) WHERE chk IN ('R', 'A'))
 SELECT (SELECT count(*) FROM gold) AS expected, (SELECT count(DISTINCT paper) FROM m) AS identified, (SELECT count(DISTINCT paper) FROM m WHERE line = gl) AS localized, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.paper = f.paper AND m.finding = f.finding AND m.line = m.gl)) AS false_positives""",
     "manifest_errors": """WITH r AS (SELECT *, count(*) OVER (PARTITION BY cite_key) AS times FROM citation_registry),
 e AS (SELECT unnest(list_filter([CASE WHEN trim(coalesce(cite_key, '')) = '' THEN 'arxiv_id is missing' END, CASE WHEN trim(coalesce(cite_title, '')) = '' THEN 'title is missing' END, CASE WHEN trim(coalesce(provider, '')) = '' THEN 'category is missing' END,
   CASE WHEN trim(coalesce(cite_url, '')) = '' THEN 'pdf_url is missing' END, CASE WHEN times > 1 THEN 'arxiv_id is repeated' END], lambda z: z IS NOT NULL)) AS error FROM r) SELECT error, count(*) AS n FROM e GROUP BY 1""",
     "twin_scores": f"""WITH {PANEL}, m AS (SELECT doc_id, dimension, quantile_disc(value, 0.5) AS value FROM scores GROUP BY 1, 2), d AS (SELECT doc_id, string_agg(dimension || value::VARCHAR, ',' ORDER BY dimension) AS d FROM m GROUP BY 1),
-t AS (SELECT o_orderkey AS attack, o_orderkey - 1 AS clean FROM orders WHERE o_orderkey % 2 = 0) SELECT (a.d IS NOT DISTINCT FROM b.d) AS equal, count(*) AS n FROM t LEFT JOIN d a ON a.doc_id = attack LEFT JOIN d b ON b.doc_id = clean GROUP BY 1""",
+t AS (SELECT o_orderkey AS attack, o_orderkey - 1 AS clean FROM orders) SELECT (a.d IS NOT DISTINCT FROM b.d) AS equal, count(*) AS n FROM t LEFT JOIN d a ON a.doc_id = attack LEFT JOIN d b ON b.doc_id = clean GROUP BY 1""",
     "stream_deliveries": "SELECT ledger_path, count(*) AS lines FROM (SELECT DISTINCT ledger_path, line_no, raw_line FROM ledger_lines) GROUP BY 1",
 }

@@ -335,6 +335,29 @@ def variance_unaddressed(spark, folder):
     return audits.variance_unaddressed(own.papers, own.tables)
 
 
+def unpositioned(spark, folder):
+    """Papers that claim much and cite nothing; every fourth gets such a claim and loses its citations."""
+    told = F.when(F.col("doc_id") % 4 == 0, F.concat(F.regexp_replace("text", "\\[[^\\]\n]*\\]|(?i)related work", ""), F.lit("\nWe are the first to try this.\n"))).otherwise(F.col("text"))
+    own = Audit(papers(spark, folder).select("doc_id", told.alias("text")), ledgers(spark, folder), sanitize=False)
+    return audits.unpositioned(audits.positioning(own.placed, own.sections))
+
+
+def finding_leads(spark, folder):
+    return evaluation.leads(audit(spark, folder).findings)
+
+
+def grounded_comments(spark, folder):
+    """Comments made from verdicts and findings: which of them rest on something."""
+    own = audit(spark, folder)
+    found = evaluation.numbered(own.findings).checkpoint()
+    none = F.lit(None).cast("int")
+    about = own.verdicts.checkpoint()
+    drafts = about.select("doc_id", F.col("claim_no").alias("comment_no"), F.when(F.col("label") == "supported", "praise").otherwise("criticism").alias("stance"), "claim_no", none.alias("finding_no")).unionByName(
+        found.select("doc_id", (F.col("finding_no") + 100_000).alias("comment_no"), F.lit("criticism").alias("stance"), none.alias("claim_no"), "finding_no")
+    )
+    return evaluation.grounded(drafts, about, found).groupBy("stance").agg(F.count("*").alias("n"))
+
+
 def findings_by_check(spark, folder):
     return audit(spark, folder).findings.groupBy("check").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("papers"))
 
@@ -441,8 +464,8 @@ def capped_scores(spark, folder):
 
 def detection_scores(spark, folder):
     """Flaws and findings made from orders and line items."""
-    gold = table(spark, folder, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("paper"), F.lit(1).alias("flaw"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"), F.array(F.lit("R"), F.lit("A")).alias("checks"))
-    rows = table(spark, folder, "lineitem").where("l_orderkey % 11 = 0")
+    gold = table(spark, folder, "orders").select(F.col("o_orderkey").alias("paper"), F.lit(1).alias("flaw"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"), F.array(F.lit("R"), F.lit("A")).alias("checks"))
+    rows = table(spark, folder, "lineitem")
     findings = rows.select(F.col("l_orderkey").alias("paper"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("finding"), F.col("l_returnflag").alias("check"), F.col("l_linenumber").cast("int").alias("line")).distinct()
     return evaluation.detection(gold, findings)
 
@@ -462,7 +485,7 @@ def manifest_errors(spark, folder):
 
 def twin_scores(spark, folder):
     rows = panel.median_scores(panel.scores(_panel(spark, folder))).withColumnRenamed("doc_id", "paper")
-    twins = table(spark, folder, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("attack"), (F.col("o_orderkey") - 1).alias("clean"))
+    twins = table(spark, folder, "orders").select(F.col("o_orderkey").alias("attack"), (F.col("o_orderkey") - 1).alias("clean"))
     return evaluation.twins_agree(rows, twins).groupBy("equal").agg(F.count("*").alias("n"))
 
 
@@ -484,7 +507,7 @@ def queries() -> dict[str, Query]:
         sanitized_text, comments_blanked, hidden_fragments, invisible_counts, instruction_scan, sanitation_traces, claim_types, claim_junk, claim_refs, extracted_claims, verdicts, audit_summary, verdict_digests,
         ledger_malformed, ledger_leaves, ledger_roles, ledger_scope, metric_ranges, result_values, ledger_trace, internal_consistency, arithmetic_pairs, arithmetic, stated_ratios, rounding_agreement,
         improvement_claims, baseline_fairness, omitted_failures, scope_requirements, scope_weaknesses, citations_distinct, citation_status, title_agreement, section_groups, page_counts, checkboxes,
-        self_review_items, self_review_audit, broken_references, artifacts, broken_promises, positioning, unanswered_checklist, variance_unaddressed, findings_by_check, topic_terms, similar_titles,
+        self_review_items, self_review_audit, broken_references, artifacts, broken_promises, positioning, unanswered_checklist, variance_unaddressed, unpositioned, findings_by_check, finding_leads, grounded_comments, topic_terms, similar_titles,
         extraction_cleanup, table_emphasis, leading_boilerplate, margin_numbers, plain_voice, concealed_spans, page_backgrounds, panel_scores, panel_medians, panel_choice, panel_gaps, capped_scores,
         detection_scores, diverse_sample, manifest_errors, twin_scores, stream_deliveries,
     ]

@@ -27,6 +27,12 @@ def manuscripts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by(F.struct("path", "media_type", "sha256", "byte_length", "text", "problem"), first).alias("r")).select("doc_id", "r.*")
 
 
+def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, pages) of PDF files whose page objects are not compressed; null where none is seen."""
+    count = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit("/Type\\s*/Page(?![a-zA-Z])"))
+    return binary(spark, folder, "*.pdf").select("path", F.when(count > 0, count).alias("pages"))
+
+
 def ledgers(spark: SparkSession, folder: str, name: str = "experiments.jsonl") -> DataFrame:
     """(doc_id, path, line, raw): lines of all ledgers below a folder; doc_id is the first folder under it."""
     files = binary(spark, folder, name)

@@ -102,3 +102,31 @@ def test_prior_art(spark):
 def test_empty(spark):
     own = Audit(spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "doc_id int, path string, line int, raw string"))
     assert own.verdicts.count() == 0 and own.findings.count() == 0
+
+
+def test_atom_papers_and_html(spark):
+    feed = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2001.00001v2</id><title>A  b</title><category term="cs.LG"/><link href="http://x/pdf" title="pdf" type="application/pdf"/></entry>
+    <entry><id>http://arxiv.org/abs/2001.00002</id><title>C</title></entry><entry><id>http://arxiv.org/abs/2001.00001v1</id><title>again</title></entry></feed>"""
+    rows = {r["arxiv_id"]: r for r in prior_art.papers_from_atom(spark.createDataFrame([(feed,)], "xml string")).collect()}
+    assert set(rows) == {"2001.00001", "2001.00002"} and rows["2001.00001"]["pdf_url"] == "http://x/pdf" and rows["2001.00001"]["category"] == "cs.LG"
+    assert rows["2001.00002"]["pdf_url"].endswith("/pdf/2001.00002")
+    assert spark.range(1).select(prior_art.text_of_html(F.lit("<p>a <b>b</b><script>x</script>\n c</p>"))).first()[0] == "a b c"
+
+
+def test_grounding(spark):
+    comments = spark.createDataFrame([(1, 1, "praise", 1, None), (1, 2, "praise", 2, None), (1, 3, "criticism", 2, None), (1, 4, "criticism", 3, None), (1, 5, "criticism", None, 1), (1, 6, "criticism", None, 9)], "doc_id int, comment_no int, stance string, claim_no int, finding_no int")
+    verdicts = spark.createDataFrame([(1, 1, "supported"), (1, 2, "unverifiable"), (1, 3, "contradicted")], "doc_id int, claim_no int, label string")
+    findings = evaluation.numbered(spark.createDataFrame([(1, "arithmetic", 4, 1)], "doc_id int, check string, line int, column_start int"))
+    got = {r["comment_no"]: r["stance"] for r in evaluation.grounded(comments, verdicts, findings).collect()}
+    assert got == {1: "praise", 3: "question", 4: "criticism", 5: "criticism"}
+
+
+def test_positioning(spark):
+    def place(text):
+        own = Audit(spark.createDataFrame([(1, text)], "doc_id int, text string"), spark.createDataFrame([], "doc_id int, path string, line int, raw string"), sanitize=False)
+        return audits.positioning(own.placed, own.sections).first()
+
+    bare = place("# T\nWe propose a novel method that works. It does not outperform baselines. Our model outperforms clearly.")
+    assert (bare["positioned"], bare["claims"], bare["loose"]) == (False, 1, 1)
+    assert place("# T\nWe are the first, see (Ada et al., 2019).")["positioned"]
+    assert place("# T\n## Related work\nText.")["has_related_work"] and not place("# T\n## Related work\n")["has_related_work"]
