@@ -32,7 +32,7 @@ def fairness(sentences: DataFrame, values: DataFrame) -> DataFrame:
     known = F.filter("m", lambda x: x["metric"].isNotNull())
     mentioned = F.filter(known, lambda x: x["named"])
     eligible = F.when(F.size(mentioned) > 0, mentioned).otherwise(known)
-    rows = grouped.withColumn("m", eligible).withColumn("only", F.when(F.size("m") == 1, F.element_at("m", 1)))
+    rows = grouped.withColumn("m", eligible).withColumn("only", F.when(F.size("m") == 1, F.try_element_at("m", F.lit(1))))
     s = F.col("sentence")
     direction = (
         F.when(s.rlike("(?i)\\blower\\s+than\\b"), "lower").when(s.rlike("(?i)\\bhigher\\s+than\\b"), "higher")
@@ -56,11 +56,11 @@ def omitted_failures(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     """(doc_id, path, line, identity, mentions, disclosed): discarded and crashed records, and whether a line of the paper names them with a word for failure."""
     own = leaves.where("parent = '' AND kind = 'STRING'").where(F.col("field").isin("status", *P.IDENTITY_FIELDS))
     first = F.array_compact(F.array(*[F.max(F.when((F.col("field") == f) & (F.trim("value") != ""), F.trim("value"))) for f in P.IDENTITY_FIELDS]))
-    records = own.groupBy("doc_id", "path", "line").agg(F.lower(F.trim(F.max(F.when(F.col("field") == "status", F.col("value"))))).alias("status"), F.element_at(first, 1).alias("identity"))
+    records = own.groupBy("doc_id", "path", "line").agg(F.lower(F.trim(F.max(F.when(F.col("field") == "status", F.col("value"))))).alias("status"), F.try_element_at(first, F.lit(1)).alias("identity"))
     failed = records.where(F.col("status").isin(*P.NEGATIVE_STATUSES) & F.col("identity").isNotNull()).withColumn("name", spoken(F.col("identity"))).where("name != '__'")
     # lines meet the records of their document through the first word of the name, so that no line is paired with every record
     words = lines.where(F.col("text").rlike("\\S")).select("doc_id", "text", spoken(F.col("text")).alias("told")).withColumn("word", F.explode(F.array_distinct(F.split("told", "_")))).where("word != ''")
-    named = failed.withColumn("word", F.element_at(F.split("name", "_"), 2))
+    named = failed.withColumn("word", F.try_element_at(F.split("name", "_"), F.lit(2)))
     hits = named.join(words, ["doc_id", "word"]).where(F.contains("told", "name")).groupBy("doc_id", "path", "line").agg(F.count("*").alias("mentions"), F.bool_or(F.col("text").rlike(P.NEGATIVE_LANGUAGE)).alias("disclosed"))
     return failed.join(hits, ["doc_id", "path", "line"], "left").select("doc_id", "path", "line", "status", "identity", F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("disclosed", F.lit(False)).alias("disclosed"))
 

@@ -81,7 +81,7 @@ def sections(lines_: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("section", (F.row_number().over(order) - 1 + F.coalesce("shift", F.lit(0))).cast("int"))
     above = F.collect_list(F.struct("section", "level")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ranked = ranked.withColumn("above", above)
-    nearest = F.element_at(F.filter("above", lambda a: a["level"] < F.col("level")), -1)["section"]
+    nearest = F.try_element_at(F.filter("above", lambda a: a["level"] < F.col("level")), F.lit(-1))["section"]
     nested = ranked.select(
         "doc_id", "section", F.when(F.exists("above", lambda a: a["level"] < F.col("level")), nearest).alias("parent"), "level", "title", F.col("line").alias("heading_line"),
         F.col("content_line").alias("line_start"), (F.coalesce(F.lead("line").over(order), F.col("last") + 1) - 1).alias("line_end"),
