@@ -1,16 +1,15 @@
-"""Long exact spans shared between records, by recompression.
+"""Long exact spans shared between records, by anchors that the text itself decides on.
 
-Each round names runs of equal symbols and then pairs of a left and a right symbol;
-whether a symbol is left or right is a bit of its name, and a name is a hash of the
-names of its parts. So names are the same in every text and on every executor without
-any exchange, and equal substrings come out with the same symbols but near their ends.
-Symbols grow to at most a quarter of the span length; where they start is an anchor.
+At every place the text is fingerprinted over half the span length; the least of the
+fingerprints of half a span length of places in a row is an anchor. The characters of
+such a stretch, less than a span, decide on it alone, whatever stands around them. So
+any shared span holds a shared anchor in its first half, on every executor without any
+exchange, and one place in about sixty is an anchor.
 
-The text behind an anchor is fingerprinted over half the span length; fingerprints
-that stand in two records are shared anchors, and any shared span holds some. Around
-them whole windows of the span length are compared: all of them at the ends of a row of
-shared anchors, those that start at an anchor in its inside, and in a third step all
-between two anchors of which one isn't settled. The windows found shared are the spans.
+Fingerprints of anchors that stand in two records are shared anchors. Around them whole
+windows of the span length are compared: all of them at the ends of a row of shared
+anchors, those that start at an anchor in its inside, and in a third step all between
+two anchors of which one isn't settled. The windows found shared are the spans.
 
 Hot fingerprints are salted by record and aggregated before they meet, so no group is
 gathered in one place. Defined results: null and short texts share nothing; equal texts
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from auditloom.session import checkpoint_dir, small_batches
 
 SALTS = 8
-ROUNDS = 14
 #: Characters worked on at once; a longer text is a piece of its own.
 PIECE = 1 << 19
 #: Up to so many keys of records, a list of them is broadcast; a longer one is joined by shuffle.
@@ -54,43 +52,6 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def anchors(codes: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
-    """Where symbols start after all rounds. codes: texts one after another; ends: the last place of each."""
-    symbol = _mix(codes.astype(np.uint64) + np.uint64(1))
-    size = np.ones(len(codes), dtype=np.int32)  # negative at the end of a text
-    size[ends] = -1
-    for r in range(ROUNDS):
-        before = len(symbol)
-        equal = symbol[1:] == symbol[:-1]
-        equal &= size[:-1] > 0
-        if equal.any():
-            first = np.flatnonzero(np.concatenate(([True], ~equal)))
-            times = np.diff(np.append(first, len(symbol)))
-            named = (times > 1) & (times * np.abs(size[first]) <= longest)
-            at, k = first[named], times[named]
-            symbol[at] = _mix(symbol[at] + k.astype(np.uint64) * _C)
-            size[at] = np.abs(size[at]) * k.astype(np.int32) * np.sign(size[at + k - 1])
-            keep = np.ones(len(symbol), dtype=bool)
-            keep[np.repeat(at, k - 1) + 1 + (np.arange(int((k - 1).sum())) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1))] = False
-            symbol, size = symbol[keep], size[keep]
-        right = (symbol & np.uint64(1 << (17 + 3 * r))) != 0
-        whole = np.abs(size)
-        pair = right[1:] & ~right[:-1]
-        pair &= size[:-1] > 0
-        pair &= whole[:-1] + whole[1:] <= longest
-        at = np.flatnonzero(pair)
-        if len(at):
-            symbol[at] = _mix((symbol[at] ^ (symbol[at] >> np.uint64(31))) * _C + symbol[at + 1])
-            size[at] = (size[at] + whole[at + 1]) * np.sign(size[at + 1])
-            keep = np.ones(len(symbol), dtype=bool)
-            keep[at + 1] = False
-            symbol, size = symbol[keep], size[keep]
-        if len(symbol) == before:
-            break
-    size = np.abs(size).astype(np.int64)
-    return np.cumsum(size) - size
-
-
 class _Prints:
     """Fingerprints of any stretch of a text."""
 
@@ -111,6 +72,38 @@ class _Prints:
     def of(self, at: np.ndarray, length: int) -> np.ndarray:
         return _mix((self.sums[at + length] - self.sums[at]) * self._inverses[at]).view(np.int64)
 
+    def every(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        return _mix((self.sums[length:] - self.sums[:n]) * self._inverses[:n]).view(np.int64)
+
+
+def _sliding(pick: np.ufunc, values: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """What pick takes of each width values in a row, from each value on; fill stands beyond the end."""
+    n = len(values)
+    rows = np.full((-(-n // width) + 1, width), fill, dtype=values.dtype)
+    rows.reshape(-1)[:n] = values
+    ahead = pick.accumulate(rows, axis=1).reshape(-1)
+    rest = pick.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return pick(rest[:n], ahead[width - 1 : width - 1 + n])
+
+
+def anchors(codes: np.ndarray, ends: np.ndarray, longest: int, prints: _Prints | None = None) -> np.ndarray:
+    """Where the fingerprint of the next longest characters is the least of longest places in a row. So any
+    2 * longest - 1 characters decide by themselves on an anchor in their first half, and anchors are at most longest
+    apart. codes: texts one after another; ends: the last place of each."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    n = len(codes)
+    if n < longest:
+        return np.zeros(0, dtype=np.int64)
+    rest = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    values = np.full(n, high)
+    values[: n - longest + 1] = (prints or _Prints(codes)).every(longest)
+    values[rest < longest - 1] = high
+    least = _sliding(np.minimum, values, longest, high)
+    least[rest < 2 * longest - 2] = low
+    # a place is an anchor if one of the rows that it stands in has its fingerprint as the least
+    return np.flatnonzero(values == _sliding(np.maximum, np.concatenate((np.full(longest - 1, low), least)), longest, low)[:n])
+
 
 def _pieces(keys: list, texts: list, least: int) -> Iterator[tuple[list, list]]:
     some: list = []
@@ -128,7 +121,7 @@ def _pieces(keys: list, texts: list, least: int) -> Iterator[tuple[list, list]]:
 
 
 def _anchor_rows(length: int):
-    half, longest = length // 2, length // 4
+    half = length // 2
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,11 +130,10 @@ def _anchor_rows(length: int):
                 sizes = np.array([len(a) for a in arrays])
                 codes = np.concatenate(arrays)
                 ends = np.cumsum(sizes)
-                at = anchors(codes, ends - 1, longest)
+                prints = _Prints(codes)
+                at = anchors(codes, ends - 1, half, prints)
                 which = np.searchsorted(ends, at, side="right")
-                fits = at + half <= ends[which]
-                at, which = at[fits], which[fits]
-                yield pd.DataFrame({"print": _Prints(codes).of(at, half), "key": np.array([k for k, _ in some], dtype=np.int64)[which], "place": (at - (ends - sizes)[which]).astype(np.int32)})
+                yield pd.DataFrame({"print": prints.of(at, half), "key": np.array([k for k, _ in some], dtype=np.int64)[which], "place": (at - (ends - sizes)[which]).astype(np.int32)})
 
     return work
 
@@ -157,9 +149,6 @@ def in_two(rows: DataFrame) -> DataFrame:
     return salted.join(spread.hint("shuffle_hash"), ["print", "salt"]).select("print", "key", "place")
 
 
-LEFT, RIGHT = 1, 2
-
-
 def _spread(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """The rows with what prints tells of their print; prints (print, ...), distinct."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
@@ -198,43 +187,41 @@ def shared_windows(frame: DataFrame, key: str, text: str, length: int = 240) ->
     """(key, place): places in each text whose next length characters another text has, enough of them to cover every shared span.
 
     All windows before an anchor are compared, in all texts that share it, when in one of
-    them it is the first of its row, and those that may be the last when it is the last of
-    its row. In the third step that is done for anchors near a pair of which a window isn't
-    shared, and near the first of a row; but not where a compared anchor follows so soon
-    that it has seen all windows, in the same set of texts all along."""
+    them it is the first or the last of its row. In the third step that is done for anchors
+    near a pair of which a window isn't shared, and near the first of a row; but not where
+    a compared anchor follows so soon that it has seen all windows, in the same set of texts
+    all along."""
     texts = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= length))
     checkpoint_dir(frame.sparkSession)
     small_batches(frame.sparkSession)
-    half, longest = length // 2, length // 4
+    half = length // 2
     found = in_two(texts.mapInPandas(_anchor_rows(length), _ROWS)).distinct().checkpoint()
     order = Window.partitionBy("key").orderBy("place")
     before, after = F.col("place") - F.lag("place").over(order), F.lead("place").over(order) - F.col("place")
-    left, right = before.isNull() | (before > longest), after.isNull() | (after > longest)
-    edges = found.withColumn("marks", left.cast("int") * LEFT + right.cast("int") * RIGHT)
-    groups = edges.groupBy("print").agg(F.bit_or("marks").alias("marks"), F.struct(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n")).alias("texts"))
+    left, right = before.isNull() | (before > half), after.isNull() | (after > half)
+    edges = found.withColumn("edge", left | right)
+    groups = edges.groupBy("print").agg(F.bool_or("edge").alias("edge"), F.struct(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n")).alias("texts"))
     marked = _spread(found, groups).checkpoint()
-    # the first shared window before a left anchor starts up to half a span length before it, for all of the anchor's print is shared;
-    # the last one before a right anchor ends before the next anchor's print does, at most a quarter of the span length later
+    # any shared window that starts before an anchor and not before the last one starts up to half a span length before it
     span = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
-    spans = F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.array(span(-half, 0))).when(F.col("marks") > 0, F.array(span(-half, longest - half), span(0, 0))).otherwise(F.array(span(0, 0)))
-    shared = _compared(texts, marked.select("key", "place", F.inline(spans)), length).checkpoint()
+    spans = F.when(F.col("edge"), span(-half, 0)).otherwise(span(0, 0))
+    shared = _compared(texts, marked.select("key", "place", spans.alias("span")).select("key", "place", "span.*"), length).checkpoint()
     rows = marked.join(shared.withColumn("sure", F.lit(True)), ["key", "place"], "left").withColumn("sure", F.col("sure").isNotNull())
     # all anchors that tell of a window between two of a row are in that row, or the first of the next
     rows = rows.withColumn("starts", left).withColumn("after", after).withColumn("row", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     order = Window.partitionBy("key", "row").orderBy("place")
-    rest, ahead = order.rowsBetween(1, Window.unboundedFollowing), order.rangeBetween(0, half + longest)
+    rest, ahead = order.rowsBetween(1, Window.unboundedFollowing), order.rangeBetween(0, 2 * half)
     begun = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(
         "*", F.coalesce(F.lead("sure").over(order), F.lit(False)).alias("sure_b"),
-        F.min(F.when(F.col("marks").bitwiseAND(LEFT) > 0, F.col("place"))).over(rest).alias("full"), F.min(F.when(F.col("marks").bitwiseAND(RIGHT) > 0, F.col("place"))).over(rest).alias("ends"),
+        F.min(F.when(F.col("edge"), F.col("place"))).over(rest).alias("full"),
         (F.min("texts").over(ahead) == F.max("texts").over(ahead)).alias("alike"), F.last(F.when(F.col("starts"), F.struct("place", "texts")), True).over(begun).alias("first"),
     )
-    soon = lambda c: F.coalesce(F.col(c) <= F.col("place") + half, F.lit(False))
-    seen = F.col("alike") & (soon("full") | (soon("ends") & ~F.col("sure_b")))
-    open_ = F.coalesce((F.col("after") <= longest) & ~(F.col("sure") & F.col("sure_b")) & ~seen, F.lit(False))
+    seen = F.col("alike") & F.coalesce(F.col("full") <= F.col("place") + half, F.lit(False))
+    open_ = F.coalesce((F.col("after") <= half) & ~(F.col("sure") & F.col("sure_b")) & ~seen, F.lit(False))
     other = F.coalesce((F.col("place") - F.col("first.place") <= half) & (F.col("texts") != F.col("first.texts")), F.lit(False))
     rows = rows.withColumn("open", open_).withColumn("other", other)
-    reach = order.rangeBetween(-(half + longest), 0)
+    reach = order.rangeBetween(-2 * half, 0)
     low = F.least(F.min(F.when(F.col("open"), F.col("place"))).over(reach), F.when(F.col("other"), F.col("first.place") - half))
     high = F.greatest(F.max(F.when(F.col("open"), F.col("place") + F.col("after"))).over(reach), F.when(F.col("other"), F.col("first.place")))
     late = rows.select("print", "place", low.alias("low"), high.alias("high")).where("low IS NOT NULL AND high IS NOT NULL")

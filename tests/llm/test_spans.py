@@ -69,6 +69,29 @@ def test_equal_substrings_have_equal_anchors_inside():
     assert all(p == places[0] for p in places)
 
 
+def test_any_span_holds_a_common_anchor_in_its_first_half():
+    rng = random.Random(6)
+    plain = "abcdefghij klmno é表 "
+    for n in range(20_000):
+        span = "".join(rng.choices(plain, k=rng.choice((LENGTH, LENGTH, 300, 600)))) if n % 10 else words(rng, rng.randint(1, 20)) * LENGTH
+        both = []
+        for _ in range(2):
+            head = rng.choices(plain, k=rng.randint(0, 300))
+            codes = S._codes("".join([*head, span, *rng.choices(plain, k=rng.randint(0, 300))]))
+            both.append({int(a) - len(head) for a in S.anchors(codes, np.array([len(codes) - 1]), LENGTH // 2)})
+        assert any(0 <= a <= LENGTH // 2 for a in both[0] & both[1]), span
+
+
+def test_anchors_of_several_texts_are_those_of_each():
+    rng = random.Random(7)
+    texts = [words(rng, n) for n in (100, 239, 240, 1000, 119, 3000)]
+    arrays = [S._codes(t) for t in texts]
+    ends = np.cumsum([len(a) for a in arrays])
+    got = S.anchors(np.concatenate(arrays), ends - 1, 120).tolist()
+    want = [int(e - len(a) + p) for a, e in zip(arrays, ends) for p in S.anchors(a, np.array([len(a) - 1]), 120)]
+    assert got == want
+
+
 def test_fingerprints():
     rng = random.Random(5)
     text = words(rng, 1000)
