@@ -34,7 +34,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentences(_markdown_papers(spark, folder), "paper_id", "analysis_text")
+    """The sentences of all papers, also of those converted from PDF, which p3_found leaves out."""
+    return sentences.sentences(table(spark, folder, "prepared_papers"), "paper_id", "analysis_text")
 
 
 def _repair(spark: SparkSession, folder: str) -> scanned.Repair:

@@ -1,5 +1,6 @@
 import pytest
 
+from auditloom.llm import queries
 from auditloom.llm import sentences as S
 
 CASES = {
@@ -49,6 +50,13 @@ def test_nulls_and_empty(spark, found):
     assert S.sentences(spark.createDataFrame([], "k string, text string"), "k", "text").count() == 0
 
 
+def test_all_papers_have_sentences(spark, tmp_path):
+    rows = [(1, "text/markdown", "One. Two."), (2, "application/pdf", "Three. Four."), (3, None, "Five.")]
+    spark.createDataFrame(rows, "paper_id long, media_type string, analysis_text string").write.parquet(str(tmp_path / "prepared_papers.parquet"))
+    assert sorted((r["paper_id"], r["sentence"]) for r in queries.p3_sentences(spark, str(tmp_path)).collect()) == [(1, "One."), (1, "Two."), (2, "Four."), (2, "Three."), (3, "Five.")]
+    assert {r["paper_id"] for r in queries.p3_found(spark, str(tmp_path)).collect()} == {1}
+
+
 def test_long(spark):
     text = ("A line of words that goes on\n" * 3 + "and ends. ") * 20_000
     assert S.sentences(spark.createDataFrame([(1, text)], "k int, text string"), "k", "text").count() == 20_000
