@@ -43,7 +43,7 @@ GRAMMARS = {
 }
 PLACEHOLDER = "(?U)(?:" + "|".join(GRAMMARS.values()) + ")"
 #: How any of them begins; a block without that is not searched further.
-_SIGNS = r"\{\{|\$\{|\{[A-Z0-9]|<<|%%|@@|~[a-z]|\[\[|\[\s*(?i:insert|add|enter|fill|your)|goes\s+here\]|<\s*(?i:your|insert|enter)|___|\?\?\?|T[O0]D[O0]|FIXME|TBD"
+_SIGNS = r"(?U)\{\{|\$\{|\{[A-Z0-9]|<<|%%|@@|~[a-z]|\[\[|\[\s*(?i:insert|add|enter|fill|your)|goes\s+here\]|<\s*(?i:your|insert|enter)|___|\?\?\?|T[O0]D[O0]|FIXME|TBD"
 _QUOTED = "[\"“„«'][^\"“”«»\n]{0,20}$"
 _TUTORIAL = r"(?i)\b(?:placeholders?|templates?|jinja|syntax|renders?|rendered|substitut\w+|variables?)\b"
 
@@ -54,11 +54,10 @@ LOREM = (
     "proident sunt culpa officia deserunt mollit anim laborum porta vitae lectus massa arcu nibh congue"
 ).split()
 
-#: Two stock words, four words of the keyboard's rows, or a word three times, close together; a block without that is no filler.
-_STOCK = (
-    r"(?i)\b(?:" + "|".join(LOREM) + r")\b[^\p{L}]+(?:\p{L}+[^\p{L}]+)?(?:" + "|".join(LOREM) + r")\b"
-    r"|\b(?:[asdfjklqwer]{2,}[\s.,]+){4}|\b(\p{L}{2,})[\s.,]+\1[\s.,]+\1\b"
-)
+_WORD, _NONE = r"[\p{L}\p{M}]", r"[^\p{L}\p{M}]+"
+#: A stock word; five words of the keyboard's rows one after another. A block in small letters that lacks it is neither filler of
+#: stock words nor nine tenths of keyboard rows.
+_STOCK = rf"(?<!{_WORD})(?:(?:" + "|".join(LOREM) + rf")(?!{_WORD})|(?:[asdfjklqwer]+{_NONE}){{4}}[asdfjklqwer])"
 
 #: What servers, viewers and forms say; fixed values. Each is found anywhere in a block.
 PHRASES = """
@@ -164,12 +163,14 @@ def kind_of(block: Column) -> Column:
     before = F.left(block, F.instr(block, found) - 1)
     share = F.length(F.array_join(F.regexp_extract_all(block, F.lit(PLACEHOLDER), F.lit(0)), "")) / F.length(block)
     tutorial = before.rlike(_QUOTED) | (block.rlike(_TUTORIAL) & (share < 0.5))
-    words = F.filter(F.split(F.lower(block), "[^\\p{L}\\p{M}]+", -1), lambda w: w != "")
+    small = F.lower(block)
+    words = F.array_remove(F.split(small, _NONE, -1), "")
     n = F.size(words)
     lorem = F.size(F.filter(words, lambda w: w.isin(*LOREM)))
     mash = F.size(F.filter(words, lambda w: w.rlike("^[asdfjklqwer]+$")))
     distinct = F.size(F.array_distinct(words))
-    filler = F.when(block.rlike(_STOCK), ((n >= 4) & (lorem >= 0.5 * n)) | ((n >= 6) & (mash >= 0.9 * n)) | ((n >= 6) & (distinct <= 0.25 * n))).otherwise(False)
+    stock = F.when(small.rlike(_STOCK), ((n >= 4) & (lorem >= 0.5 * n)) | ((n >= 6) & (mash >= 0.9 * n))).otherwise(False)
+    filler = ((n >= 6) & (distinct <= 0.25 * n)) | stock
     titles = F.regexp_replace(F.regexp_replace(block, F.lit("<[^>\n]*>"), F.lit("\n")), F.lit("\n+"), F.lit("\n"))
     return (
         F.when((found != "") & ~tutorial, "placeholder")

@@ -34,6 +34,13 @@ def test_no_residue(found, n):
     assert f"good{n}" not in found[0] and f"good{n}" in found[1]
 
 
+def test_rules_hold_without_their_signs(spark):
+    bad = ["text here text here text here text here", "कि की कि की कि की कि की", "परिणाम परिणाम परिणाम परिणाम परिणाम परिणाम", "Lorem about these ipsum", "lorem, 3 the and DOLOR", "[Abstract goes\u00a0here]", "[\u00a0insert title]", "<\u00a0your title>", "a-s-d-f-j-k as;df we;er", "LOREM ein zwei IPSUM"]
+    good = ["text here and there is not text that is here again", "कि की परिणाम है और यह नहीं है", "as we are", "The sed command edits it."]
+    rows = spark.createDataFrame([(n, BODY + t + "\n\nend of it") for n, t in enumerate(bad + good)], "paper_id int, text string")
+    assert sorted(r["paper_id"] for r in R.affected(rows, "paper_id", "text").collect()) == list(range(len(bad)))
+
+
 def test_edges(spark, found):
     assert "long" in found[0] and {"null", "empty"} <= found[1]
     assert R.residue(spark.createDataFrame([], "paper_id int, text string"), "paper_id", "text").count() == 0
