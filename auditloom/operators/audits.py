@@ -9,19 +9,30 @@ from auditloom.functions import patterns as P
 
 
 def citations(lines: DataFrame) -> DataFrame:
-    """(doc_id, provider, identifier, line): every persistent identifier once per document, at its first line."""
+    """(doc_id, provider, identifier, line, expected_title): every persistent identifier once per document, at its first line,
+    and the title that the label of a link to it there gives, or null."""
     t = F.col("text")
-    get = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
-    versionless = lambda c: F.regexp_replace(c, "(?i)v\\d+$", "")
-    one = lambda provider, order, c: F.transform(c, lambda x, i: F.struct(F.lit(provider).alias("provider"), x.alias("identifier"), (F.lit(order) + i).alias("rank")))
+    versionless = lambda x: F.regexp_replace(x, "(?i)v\\d+$", "")
+    item = lambda provider, order, p, f: lambda m, i: F.struct(F.lit(provider).alias("provider"), f(F.regexp_extract(m, p, 1)).alias("identifier"), (F.lit(order) + i).alias("rank"), m.alias("token"))
+    one = lambda provider, order, p, f=lambda x: x: F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), item(provider, order, p, f))
     found = F.concat(
-        one("arxiv", 0, F.transform(get(P.ARXIV), versionless)), one("arxiv", 1000, F.transform(get(P.BRACKET_ARXIV), versionless)), one("s2", 2000, get(P.S2_URL)),
-        one("s2", 3000, F.transform(get(P.CORPUS_ID), lambda x: F.concat(F.lit("CorpusId:"), x))), one("s2", 4000, F.transform(get(P.DOI), lambda x: F.concat(F.lit("DOI:"), F.regexp_replace(x, "[.,;)]+$", "")))),
-        one("registry", 5000, get(P.REGISTRY_MARK)),
+        one("arxiv", 0, P.ARXIV, versionless), one("arxiv", 1000, P.BRACKET_ARXIV, versionless), one("s2", 2000, P.S2_URL),
+        one("s2", 3000, P.CORPUS_ID, lambda x: F.concat(F.lit("CorpusId:"), x)), one("s2", 4000, P.DOI, lambda x: F.concat(F.lit("DOI:"), F.regexp_replace(x, "[.,;)]+$", ""))),
+        one("registry", 5000, P.REGISTRY_MARK),
     )
-    rows = lines.where(t.rlike("(?i)arxiv|doi|semanticscholar|corpusid|\\[[a-z0-9]+[:.]")).select("doc_id", "line", F.explode(found).alias("f"))
+    rows = lines.where(t.rlike("(?i)arxiv|doi|semanticscholar|corpusid|\\[[a-z0-9]+[:.]")).select("doc_id", "line", "text", F.explode(found).alias("f"))
     order = Window.partitionBy("doc_id", "f.provider", F.lower("f.identifier")).orderBy("line", "f.rank")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_id", "f.provider", "f.identifier", "line")
+    first = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return first.select("doc_id", "f.provider", "f.identifier", "line", expected_title(F.col("text"), F.col("f.token")).alias("expected_title"))
+
+
+def expected_title(line: Column, token: Column) -> Column:
+    """The label of the line's first link whose address holds the token, if the label may be a title."""
+    bare = F.lower(F.regexp_replace(token, "\\)+$", ""))
+    label = lambda link: F.trim(F.regexp_extract(link, P.MARKDOWN_LINK, 1))
+    title = lambda link: ~F.lower(label(link)).isin(*P.GENERIC_LABELS) & (F.regexp_count(label(link), F.lit("[A-Za-z][A-Za-z'-]+")) >= 3)
+    fits = lambda link: F.contains(F.lower(F.regexp_extract(link, P.MARKDOWN_LINK, 2)), bare) & title(link)
+    return label(F.get(F.filter(F.regexp_extract_all(line, F.lit(P.MARKDOWN_LINK), F.lit(0)), fits), F.lit(0)))
 
 
 def title_words(title: Column) -> Column:
@@ -35,9 +46,15 @@ def titles_agree(expected: Column, observed: Column) -> Column:
 
 
 def citation_status(cited: DataFrame, registry: DataFrame) -> DataFrame:
-    """(doc_id, provider, identifier, line, status, title): what the registry knows; what it lacks is unavailable. registry: (cite_key, cite_status, cite_title)."""
+    """(doc_id, provider, identifier, line, status, title, expected_title): what the registry knows; what it lacks is unavailable. registry: (cite_key, cite_status, cite_title)."""
     known = registry.groupBy("cite_key").agg(F.max_by("cite_status", F.struct("cite_status", "cite_title")).alias("status"), F.max_by("cite_title", F.struct("cite_status", "cite_title")).alias("title"))
-    return cited.join(known, F.col("identifier") == F.col("cite_key"), "left").select("doc_id", "provider", "identifier", "line", F.coalesce("status", F.lit("unavailable")).alias("status"), "title")
+    return cited.join(known, F.col("identifier") == F.col("cite_key"), "left").select("doc_id", "provider", "identifier", "line", F.coalesce("status", F.lit("unavailable")).alias("status"), "title", "expected_title")
+
+
+def wrong_citations(status: DataFrame) -> DataFrame:
+    """Citations of what does not exist, or under the title of another work."""
+    other = (F.col("status") == "verified") & ~titles_agree(F.col("expected_title"), F.col("title"))
+    return status.where((F.col("status") == "not-found") | (F.col("expected_title").isNotNull() & F.col("title").isNotNull() & other))
 
 
 def section_groups(sections: DataFrame) -> DataFrame:

@@ -130,3 +130,16 @@ def test_positioning(spark):
     assert (bare["positioned"], bare["claims"], bare["loose"]) == (False, 1, 1)
     assert place("# T\nWe are the first, see (Ada et al., 2019).")["positioned"]
     assert place("# T\n## Related work\nText.")["has_related_work"] and not place("# T\n## Related work\n")["has_related_work"]
+
+
+def test_citation_under_the_title_of_another_work(spark):
+    lines = ["[Sparse gates for small models](https://arxiv.org/abs/2305.00001v2) came first.", "[Sparse gates for small models](https://arxiv.org/abs/2305.00002).", "[paper](https://arxiv.org/abs/2305.00003)", "[Dense gates help big models](https://doi.org/10.1000/abc) and arXiv:2305.00004."]
+    papers = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")
+    keys = ["2305.00001", "2305.00002", "2305.00003", "2305.00004", "DOI:10.1000/abc"]
+    titles = ["Sparse Gates for Small Models", "Another work on soils", "A third work", "A fourth work", "Dense gates: help, big models"]
+    registry = spark.createDataFrame([(k, "verified", t) for k, t in zip(keys, titles)], "cite_key string, cite_status string, cite_title string")
+    ledgers = spark.createDataFrame([], "doc_id int, path string, line int, raw string")
+    own = Audit(papers, ledgers, registry)
+    expected = {r["identifier"]: r["expected_title"] for r in audits.citations(own.lines).collect()}
+    assert expected == {keys[0]: "Sparse gates for small models", keys[1]: "Sparse gates for small models", keys[2]: None, keys[3]: None, keys[4]: "Dense gates help big models"}
+    assert [(r["doc_id"], r["line"]) for r in own.findings.where("check = 'citation-existence'").collect()] == [(1, 2)]
