@@ -7,7 +7,7 @@ and sees the neighbouring characters and how often the word and its corrections
 in the whole corpus. Words are edited once per type, by joins with the counts of all
 words, and line breaks once per type of (left part, mark, right part).
 
-Furniture is found by its place on the page: lines that stand alone between blank
+Furniture is found without positions on a page: short lines that stand alone between blank
 lines, without a closing mark, that carry only a page number (folio), or whose wording
 recurs in the record or, with names and numbers taken out, in many records (running).
 
