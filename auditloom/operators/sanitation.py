@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +50,20 @@ def hidden_fragments(papers: DataFrame) -> DataFrame:
     return rows.where(comment | element).select("doc_id", F.when(comment, "comment").otherwise("element").alias("kind"), breaks.alias("line"), "fragment")
 
 
+def compatible(text: Column) -> Column:
+    """Normal form NFKC; only texts beyond ASCII go through Python."""
+
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.coalesce(nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+
+
 def instructions(papers: DataFrame) -> DataFrame:
     """(doc_id, line, pattern_no, phrase): instructions to reviewers, in the open or hidden."""
     lines = papers.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "t")).select("doc_id", (F.col("at") + 1).alias("line"), "t")
-    both = lines.unionByName(hidden_fragments(papers).select("doc_id", "line", F.col("fragment").alias("t")))
+    both = lines.unionByName(hidden_fragments(papers).select("doc_id", "line", F.col("fragment").alias("t"))).withColumn("t", compatible(F.col("t")))
     shown = F.regexp_replace(F.regexp_replace(F.col("t"), "\\p{Cf}", ""), "<!--|-->", " ")
     plain = F.trim(F.regexp_replace(F.regexp_replace(shown, "<[^>]+>", " "), "\\s+", " "))
     found = F.concat(*[F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(0)), lambda m, n=n: F.struct(F.lit(n).alias("pattern_no"), m.alias("phrase"))) for n, p in enumerate(P.INSTRUCTIONS)])
