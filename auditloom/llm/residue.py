@@ -2,12 +2,19 @@
 
 Each block of a text (code fences, inline code and tables apart) is tested for
 placeholders by one grammar per kind of delimiter, for filler by the share of stock
-words, of keyboard-row words and of repeated words, and for messages of servers and
-viewers by phrases that such pages use and papers about them don't. Placeholders are
-discounted where the context is a tutorial: in quotation marks, or in a block that
-talks about templates and is not mostly placeholders itself. Phrases are compared in a
-folded spelling, without spaces, in which widths, look-alike letters, usual misreadings
-of scanned pages, line breaks and hyphens don't matter.
+words, of keyboard-row words and of repeated words, for instructions that a template
+gives to its author, and for messages of servers and viewers.
+
+Every placeholder is judged in its own sentence: discounted where it stands in quotation
+marks, or where that sentence talks about templates and is not mostly placeholders.
+
+A message is told by its build, not by its wording: it names something of servers,
+viewers or accounts; it speaks to the reader, reports a failure, or says what scripts and
+cookies are needed for; hardly a letter of it is left when such words and function words
+are taken out; and no word of it is one that reports of studies use. The word lists of
+the eleven languages are compared in a folded spelling in which widths, look-alike
+letters, usual misreadings of scanned pages and broken words don't matter. Titles are
+messages with a status code, as a title of the first level, or as a block of their own.
 
 Defined results: null and empty texts have no residue; a key delivered twice counts
 once; an empty table gives an empty result; further columns are ignored; texts of any
@@ -29,7 +36,7 @@ GRAMMARS = {
     "braces": r"\{\{\s*[\w.\s-]{1,60}\}\}",
     "dollar": r"\$\{[\w.\s-]{1,60}\}",
     "capitals": r"(?<![$\\\w{])\{[A-Z0-9][A-Z0-9_\s]{2,60}\}(?!\})",
-    "chevrons": r"<<\s*[\w\s-]{2,60}>>",
+    "chevrons": r"<<(?![\s<])[\w\s-]{2,60}(?<!\s)>>(?!>)",
     "percent": r"%%\s*[\w\s-]{2,60}%%",
     "at": r"@@\s*[\w\s-]{2,60}@@",
     "tilde": r"(?<![~\w])~[a-z][a-z_]{2,60}~(?![~\w])",
@@ -38,14 +45,23 @@ GRAMMARS = {
     "goes here": r"\[[\w\s-]{2,60}\s+goes\s+here\]",
     "your": r"<\s*(?i:your|insert|enter)\s+[\w\s-]{2,60}>",
     "blanks": r"_{3,}\s*\([\w\s-]{2,60}\)\s*_{3,}",
-    "marks": r"(?<=\s)\?\?\?(?=[\s.,;])",
+    "marks": r"(?<=\s)\?\?\?(?=[\s.,;]|$)",
     "to do": r"(?:(?<=^)|(?<=[\n.!?]\s)|(?<=\n))(?:[-*]\s+)?(?:T[O0]D[O0]|FIXME)\s*:|\bTBD\b(?=\s+(?:after|by|before|when|later)|\s*[.,;:]|\s*$)",
 }
-PLACEHOLDER = "(?U)(?:" + "|".join(GRAMMARS.values()) + ")"
-#: How any of them begins; a block without that is not searched further.
-_SIGNS = r"(?U)\{\{|\$\{|\{[A-Z0-9]|<<|%%|@@|~[a-z]|\[\[|\[\s*(?i:insert|add|enter|fill|your)|goes\s+here\]|<\s*(?i:your|insert|enter)|___|\?\?\?|T[O0]D[O0]|FIXME|TBD"
-_QUOTED = "[\"“„«'][^\"“”«»\n]{0,20}$"
-_TUTORIAL = r"(?i)\b(?:placeholders?|templates?|jinja|syntax|renders?|rendered|substitut\w+|variables?)\b"
+_ANY = "(?:" + "|".join(GRAMMARS.values()) + ")"
+PLACEHOLDER = "(?U)" + _ANY
+#: How any of them begins; a block without that is not searched further. It must find whatever a grammar finds (tested).
+SIGNS = r"(?U)\{\{|\$\{|\{[A-Z0-9]|<<|%%|@@|~[a-z]|\[\[|\[\s*(?i:insert|add|enter|fill|your)|goes\s+here\]|<\s*(?i:your|insert|enter)|___|\?\?\?|T[O0]D[O0]|FIXME|TBD"
+_QUOTED = "(?U)(?:[“„«‹「『]|(?<![\\w.!?,;)])[\"'](?=\\S))[^\"“”«»「」\n]{0,20}?" + _ANY
+#: Where one sentence of a block ends, as far as placeholders go.
+_SENTENCE = "(?<=[\\p{L}\\p{N})\\]}>%~\"”»][.!?])\\s+|(?<=[。！？।])|\n(?=\\s*(?:[-*+]|\\d+\\.)\\s)"
+#: Words of those who write about templates, in the eleven languages.
+_TUTORIAL = (
+    r"(?iU)\b(?:placeholders?|templates?|jinja2?|mustache|handlebars|renders?|rendered|rendering|substitut\w+|interpolat\w+|syntax"
+    r"|platzhalter\w*|vorlagen?|schablonen?|syntax|eingesetzt|ersetzt|gabarits?|modèles? de (?:page|texte|document)|syntaxe|remplac\w+|espaces? réservés?"
+    r"|plantillas?|marcador(?:es)? de posición|sintaxis|sustitu\w+|reemplaz\w+|шаблон\w*|заполнител\w+|подстав\w+|синтаксис\w*)\b"
+    r"|模板|占位符|语法|替换|テンプレート|プレースホルダ|構文|置換|置き換え|템플릿|자리\s?표시자|구문|치환|قالب|القالب|قوالب|عنصر نائب|टेम्पलेट|टेम्प्लेट|प्लेसहोल्डर|แม่แบบ|เทมเพลต|ตัวยึดตำแหน่ง"
+)
 
 #: Stock words of filler text, fixed values.
 LOREM = (
@@ -59,46 +75,112 @@ _WORD, _NONE = r"[\p{L}\p{M}]", r"[^\p{L}\p{M}]+"
 #: stock words nor nine tenths of keyboard rows.
 _STOCK = rf"(?<!{_WORD})(?:(?:" + "|".join(LOREM) + rf")(?!{_WORD})|(?:[asdfjklqwer]+{_NONE}){{4}}[asdfjklqwer])"
 
-#: What servers, viewers and forms say; fixed values. Each is found anywhere in a block.
-PHRASES = """
-could not be found on this server|do not have permission to view|sign in with your institution|log in to continue reading|scripts are blocked on this page|needs javascript to display
-requires javascript to|javascript is required|javascript is disabled|please enable javascript|turn scripts on and reload|does not run scripts|allow scripts for this site|rendered by a script, which
-we use cookies to|accept all cookies|too many requests from your|before you reload this page|you have reached the download limit|your address has been noted|confirm that you are not a robot
-verify that you are human|checking your browser before|something went wrong on our side|the team has been informed about|an unexpected error occurred while|file is empty or could not be decoded
-cannot connect to the document store|link has expired or was mistyped|go back to the list of papers|the archive is down for maintenance|is down for maintenance until|we apologise for the delay
-the upstream service did not answer|please try again later|your institution has no subscription|buy access for|document removed at the request of|the page cannot be displayed|the page you requested
-your session has expired|this document is no longer available|so the paper cannot be shown|the full text is rendered by a script
-sample sentence for the layout of|write two or three sentences about|replace this text with|type your text here|click here to add text|delete this line before
-veuillez activer les scripts|activez javascript|la page demandée est introuvable|page introuvable|active los scripts de su navegador|active javascript|no se ha encontrado la página|página no encontrada
-javascript aktiviert sein|aktivieren sie javascript|die angeforderte seite wurde nicht gefunden|seite wurde nicht gefunden
-страница не найдена|включите скрипты|включите javascript|включите выполнение
-请启用脚本|请启用javascript|找不到您请求的页面|页面不存在|无法显示页面|服务器错误
-スクリプトを有効|javascriptを有効|ページを表示できません|ページが見つかりません|再度お試しください
-스크립트를 허용|스크립트를 켜|스크립트를 사용|페이지를 찾을 수 없|페이지를 표시할 수 없
-تفعيل جافا|تفعيل النصوص البرمجية|الصفحة غير موجودة|لم يتم العثور على الصفحة
-पृष्ठ नहीं मिला|जावास्क्रिप्ट सक्षम|ไม่พบหน้า|เปิดใช้งาน javascript|เปิดใช้งานสคริปต์
+# messages: word lists; "*" stands for any ending, and lists of scripts without spaces are found inside words
+
+#: What needs scripts.
+SCRIPTS = """
+javascript* ecmascript script scripts scripting cookie cookies browser* java skript* skripte* navigateur* navegador* браузер* скрипт* сценари* जावास्क्रिप्ट स्क्रिप्ट ब्राउज़र जवाब كوكيز المتصفح متصفحك جافا سكريبت 스크립트* 자바스크립트* 브라우저* 쿠키*
+"""
+SCRIPTS_IN = "脚本 浏览器 スクリプト ブラウザ クッキー สคริปต์ เบราว์เซอร์ คุกกี้ 자바스크립트 스크립트"
+#: Things of servers, viewers and accounts.
+THINGS = """
+server servers site sites website* webpage* link links url session sessions viewer client request requests requested address addresses download downloads downloading subscription* subscribe* subscriber* permission* access login logged-in
+account* password* username captcha robot robots connection connections connect network gateway upstream proxy host timeout timed maintenance service services archive reload* refresh* security firewall administrator webmaster homepage http https
+ssl certificate traffic quota plugin* adblock* blocker cache repository store backend decoded converting institution institutions institutional depositor resource publisher* wrong error errors page pages verification limit device app human challenge ip
+serveur* page demandée lien session connexion adresse accès compte abonnement* mot identifiant maintenance téléchargement* recharger rechargez actualiser actualisez établissement service passerelle requête* erreur
+server* seite seiten sitzung anmelden anmeldung verbindung adresse zugriff zugang konto abonnement passwort wartung wartungsarbeiten dienst link anfrage* anzeige fehler neu laden herunterladen einrichtung webseite*
+servidor* página páginas enlace sesión conexión dirección acceso cuenta suscripción contraseña mantenimiento servicio solicitud* descarga* recargar recargue actualice institución error pasarela sitio
+сервер* страниц* сайт* ссылк* сесси* сеанс* соединени* подключени* адрес* доступ* учётн* учетн* аккаунт* подписк* парол* обслуживани* сервис* служб* запрос* загрузк* шлюз* ошибк* перезагруз* обновите робот*
+الخادم الصفحة صفحة الموقع موقع الرابط رابط الجلسة جلسة الاتصال العنوان الوصول حساب حسابك الاشتراك اشتراك الصيانة للصيانة الخدمة الطلب طلبك طلبات تحميل التحميل خطأ البوابة روبوت
+सर्वर पृष्ठ पेज साइट वेबसाइट लिंक सत्र कनेक्शन पता पहुँच खाता खाते सदस्यता रखरखाव सेवा अनुरोध डाउनलोड त्रुटि गेटवे लॉगिन रोबोट पासवर्ड
+"""
+THINGS_IN = """
+服务器 页面 网页 网站 链接 会话 连接 地址 访问 账户 账号 订阅 维护 服务 请求 下载 错误 网关 登录 登錄 机器人 密码 刷新 重新加载 权限
+サーバ ページ サイト リンク セッション 接続 アドレス アクセス アカウント 購読 メンテナンス サービス リクエスト ダウンロード エラー ゲートウェイ ログイン ロボット パスワード 再読み込み 権限
+서버 페이지 사이트 링크 세션 연결 주소 접근 접속 계정 구독 점검 서비스 요청 다운로드 오류 게이트웨이 로그인 로봇 비밀번호 새로고침 권한
+เซิร์ฟเวอร์ หน้าเว็บ หน้านี้ พบหน้า เว็บไซต์ ลิงก์ เซสชัน การเชื่อมต่อ ที่อยู่ การเข้าถึง บัญชี สมาชิก ปรับปรุง บริการ คำขอ ดาวน์โหลด ข้อผิดพลาด เกตเวย์ เข้าสู่ระบบ หุ่นยนต์ รหัสผ่าน
+"""
+#: Words to the reader.
+ADDRESS = """
+please you your yourself enable allow turn reload refresh retry wait confirm verify accept contact update upgrade install click press checking oops sorry apologise apologize buy go try
+veuillez vous votre vos activez activer autorisez réessayez réessayer acceptez confirmez connectez-vous patientez attendez rechargez actualisez désolé désolés contactez vérifiez
+bitte sie ihr ihre ihren ihrem ihrer aktivieren erlauben warten bestätigen akzeptieren versuchen melden laden entschuldigung leider
+active activar active habilite permita espere confirme acepte inicie intente vuelva recargue actualice su sus usted sentimos póngase compruebe por favor
+пожалуйста вы вас вам ваш ваша ваше ваши вашего вашей вашему включите разрешите подождите подтвердите примите войдите попробуйте повторите обновите перезагрузите обратитесь извините
+يرجى الرجاء من فضلك قم تفعيل تمكين السماح أعد حاول المحاولة انتظر تأكد أكد اقبل سجل عذرا عذراً نعتذر متصفحك حسابك طلبك
+कृपया आप आपका आपके आपकी सक्षम चालू करें पुनः प्रयास प्रतीक्षा पुष्टि स्वीकार लोड क्षमा खेद
+"""
+ADDRESS_IN = """
+请 您 抱歉 启用 稍后 重试 ください 下さい お客様 申し訳 有効に 再度 しばらく 주세요 주십시오 십시오 하세요 죄송 허용 다시 시도 귀하 กรุณา โปรด ของคุณ คุณ ขออภัย เปิดใช้งาน ลองใหม่ ลองอีกครั้ง
+"""
+#: What went wrong.
+FAILURE = """
+cannot can't couldn't unable failed fails denied forbidden expired removed withdrawn unavailable missing moved blocked wrong unexpected exceeded reached many down unauthorized unsupported empty corrupt* timed mistyped broken found support supported
+available answer respond responding exist exists invalid interrupted refused reset restricted suspended closed robot offline
+introuvable* impossible échoué refusé refusée interdit expiré expirée supprimé supprimée indisponible* bloqué bloqués trouvée trouvé dépassé disponible incorrect inattendue
+nicht verweigert verboten abgelaufen entfernt gelöscht unerwarteter fehlgeschlagen gesperrt blockiert verfügbar gefunden überschritten unterbrochen erreichbar
+no encontrado encontrada denegado prohibido caducado caducada expirado eliminado eliminada disponible fallado falló bloqueado bloqueados inesperado encontró encontramos superado
+не найден* недоступ* запрещ* отказ* истек* истёк* удал* невозможно удалось заблокирован* превышен* прерван* неожиданн* существует ошибк*
+غير لا لم يتعذر تعذر رفض مرفوض محظور انتهت موجودة متاحة متاح العثور فشل حدث خطأ
+नहीं अस्वीकृत निषिद्ध समाप्त हटा हटाया अनुपलब्ध विफल उपलब्ध मिला असमर्थ
 """
-#: Lines that are nothing but such a title, with or without a number.
+FAILURE_IN = """
+找不到 不存在 无法 拒绝 禁止 过期 已过期 失败 不可用 出错 超时 过多 見つかりません できません できませんでした 拒否 禁止 切れ 失敗 利用できません 存在しません 찾을 수 없 할 수 없 수 없습니다 거부 금지 만료 실패 사용할 수 ไม่พบ ไม่สามารถ ปฏิเสธ หมดอายุ ล้มเหลว ไม่พร้อม ไม่มี
+"""
+#: What scripts and cookies are for.
+NEED = """
+needs need needed requires require required must disabled use uses rendered nécessite requis nécessaire désactivé doit benötigt erforderlich muss deaktiviert requiere necesario necesita debe desactivado требу* необходим* нужно должен отключ* مطلوب يتطلب يجب معطل आवश्यक ज़रूरी चाहिए अक्षम
+"""
+NEED_IN = "需要 必须 禁用 必要 無効 필요 사용 ต้องใช้ จำเป็น ต้องเปิด"
+#: Function words, and words for what a viewer shows; they say nothing by themselves.
+PLAIN = """
+a an the this that these those it its of to for in on at by with without and or but is are was were be been being has have had do does did not no yes if so as from than then there here we us our they them he she who which what when while before
+after again later now also will would can could may might should only all any some other more full only within second seconds minute minutes hour hours day days something nothing happens paper papers manuscript* article* document* file files text texts
+content* volume* column* list issue pdf view viewing read reading reader display displayed show shown see load loaded loading open opened opens continue continues proceed back per version side used run serve serves using cause caused occurred took takes long
+le la les un une des du de d l à au aux en et ou pour par sur est sont été pas ne ce cet cette ces qui que dans son sa ses lire afficher article contenu document plus tard
+der die das den dem des ein eine einen einem einer und oder für auf in im am an zu zum zur mit von ist sind wird werden wurde wurden nicht kein keine dieses dieser diese diesem dokument dokuments artikel inhalt später erneut angeforderte aktiviert sein
+el la los las un una unos unas de del al a en y o para por con sin es son ha han se sido este esta estos artículo documento contenido ver leer mostrar más tarde solicitada
+и или в во на с со для по к из от это этот эта эту эти что как не ни был была были быть статья статьи статью документ* просмотр* позже снова чтобы текст*
+في من على إلى عن أن هذا هذه هذا التي الذي هو هي و أو تم لعرض لقراءة المقال الورقة المستند النص مرة أخرى لاحقا لاحقاً
+का की के को में से पर है हैं था थे और या यह इस वह लिए बाद फिर कर करने देखने पढ़ने लेख दस्तावेज़ पाठ सामग्री
+"""
+PLAIN_IN = """
+本文 论文 文章 文档 内容 查看 显示 阅读 这个 此 本 的 了 在 后 再 到 や を に は が の で と も この その 表示 する します した して には 論文 文書 閲覧 이 그 저 을 를 은 는 가 의 에 에서 로 으로 보려면 보기 문서 논문 표시 นี้ เพื่อ และ หรือ ที่ ใน ของ เอกสาร บทความ แสดง อ่าน ได้
+"""
+#: Words of those who report on a study; a block with one is no message.
+STUDY = """
+asked tuned
+runs trial trials seed seeds model models dataset* benchmark* baseline* accuracy experiment* annotator* participant* trained training filtered measured evaluated compared crashed logged explain explains explained reviewer* parser* crawler*
+corpus corpora hypothesis study studies method* algorithm* percent data code author authors supplement* appendix github release* licen?e* ablation* token* metric* compute gradient* classifier* evaluation* python
+lauf läufe versuch* daten modell* essai* données modèle* entraîn* ensayo* datos modelo* entren* запуск* опыт* данны* модел* обуч*
+"""
+STUDY_IN = "模型 数据 实验 运行 种子 试验 基线 モデル データ 実験 実行 学習 シード 모델 데이터 실험 실행 학습 시드 แบบจำลอง ข้อมูล การทดลอง"
+
+_CODES = r"[45]\d\d"
+#: Titles of error pages; fixed values of HTTP and of common servers.
+_REASONS = (
+    r"bad gateway|gateway time-?out|gateway problem|forbidden|access denied|page not found|not found|service (?:temporarily )?unavailable|internal server error|unauthorized|payment required|too many requests|bad request|gone|request time-?out"
+    r"|method not allowed|conflict|moved permanently|not implemented|проблема шлюза|доступ запрещ[её]н|страница не найдена|accès refusé|page introuvable|zugriff verweigert|seite nicht gefunden|acceso denegado|página no encontrada"
+    r"|内部エラー|内部错误|服务器错误|服务不可用|禁止访问|アクセス拒否|접근 거부|서버 오류"
+)
+_ERRORS = r"error|http(?:/\d(?:\.\d)?)?(?: error| status)?|status|erreur|fehler|errore|ошибка|错误|エラー|오류|خطأ|त्रुटि|ข้อผิดพลาด"
+_TAGS = r"(?:[^\S\n]*<[^>\n]*>)*"
 _TITLE = (
-    r"(?i)^\s*(?:#+\s*)?(?:[^\S\n]*<[^>\n]*>)*\s*(?:"
-    r"(?:error|http(?: error)?|erreur|fehler|errore|ошибка|错误|エラー|오류|خطأ|त्रुटि)\s*[45]\d\d\b.{0,40}"
-    r"|(?:[45]\d\d\s+)?(?:bad gateway|gateway timeout|gateway problem|forbidden|access denied|page not found|not found|service unavailable|internal server error|unauthorized|payment required|too many requests|bad request)"
-    r"|内部エラー|内部错误|服务器错误)[\s.!]*$"
+    rf"(?i)^\s*(?:(?:#{{1,6}}\s*)?{_TAGS}\s*(?:(?:{_ERRORS})\s*:?\s*{_CODES}\b.{{0,40}}|{_CODES}\s*[-–—:.]?\s*(?:{_REASONS})|(?:{_REASONS})\s*[(\[]?\s*{_CODES}[)\]]?)"
+    rf"|(?:#(?!#)\s*)?{_TAGS}\s*(?:{_REASONS}))[\s.!]*{_TAGS}\s*$"
 )
-_MARKUP = r"(?is)^\s*(?:\{\s*\"error\"\s*:|<!doctype html|<html\b|<noscript\b|<head\b|<body\b)|<noscript>|<title>\s*[45]\d\d\b"
-
-#: A short notice about scripts in any of the languages; reports of such notices name runs, tasks or counts.
-_SCRIPTS = r"(?i)(?:javascript|скрипт|脚本|スクリプト|스크립트|سكريبت|البرامج النصية|النصوص البرمجية|स्क्रिप्ट|สคริปต์)"
+_MARKUP = rf"(?is)^\s*(?:\{{\s*\"error\"\s*:|<!doctype html|<html\b|<noscript\b|<head\b|<body\b)|<noscript>|<title>\s*{_CODES}\b"
 
 _SINGLE = {"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "@": "a", "5": "s", "f": "t", "c": "e"}
 _PAIRS = (("m", "rn"), ("n", "ri"), ("d", "ei"), ("u", "ii"), ("h", "ii"), ("b", "ii"))
-#: Characters that the folded spelling lacks: spaces, hyphens, invisible ones.
-_DROPPED = "\t\n\x0b\x0c\r -\u00a0\u00ac\u00ad\u2010\u200b\u200c\u200d\u2060\ufeff\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: Characters that the folded spelling lacks.
+_DROPPED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_SPACES = "\t\x0b\x0c\r\u00a0\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _table() -> tuple[str, str]:
     """Every replacement of a single character, and at the end those that are dropped, in one translation."""
-    pairs = {}
+    pairs = dict.fromkeys(_SPACES, " ") | {"’": "'"}
     for point in (*range(0x21, 0x17F), *range(0x370, 0x590), *range(0xFF01, 0xFF5F)):
         char = chr(point)
         plain = chr(point - 0xFEE0) if point >= 0xFF01 else char
@@ -114,8 +196,8 @@ _FROM, _TO = _table()
 
 
 def folded(text: Column) -> Column:
-    """The spelling in which phrases are compared."""
-    out = F.translate(text, _FROM, _TO)
+    """The spelling in which words are compared; words that a line break parts are whole."""
+    out = F.translate(F.regexp_replace(text, "(?<=\\p{L})[-\u2010\u00ac\u00ad][ \\t]*\n\\s*(?=\\p{L})", ""), _FROM, _TO)
     for a, b in _PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -124,31 +206,65 @@ def folded(text: Column) -> Column:
 def folded_text(text: str) -> str:
     """The same for one string."""
     n = len(_TO)
-    out = text.translate(str.maketrans(_FROM[:n], _TO, _FROM[n:]))
+    out = re.sub("(?<=[^\\W\\d_])[-\u2010\u00ac\u00ad][ \\t]*\n\\s*(?=[^\\W\\d_])", "", text).translate(str.maketrans(_FROM[:n], _TO, _FROM[n:]))
     for a, b in _PAIRS:
         out = out.replace(a, b)
     return out
 
 
-def _phrases() -> str:
-    """One pattern for all phrases, by common beginnings."""
+def _trie(words: list[str]) -> str:
+    """One pattern for all words, by common beginnings."""
     trie: dict = {}
-    for phrase in PHRASES.replace("\n", "|").split("|"):
-        if word := folded_text(phrase):
-            at = trie
-            for char in word:
-                at = at.setdefault(char, {})
-            at[""] = {}
+    for word in words:
+        ending = word.endswith("*")
+        at = trie
+        for char in folded_text(word.rstrip("*")):
+            at = at.setdefault(char, {})
+        at["*" if ending else ""] = {}
 
     def build(node: dict) -> str:
-        if "" in node:  # a shorter phrase decides
-            return ""
-        parts = [re.escape(k) + build(v) for k, v in node.items()]
+        if "*" in node:  # a beginning decides
+            return "[\\p{L}\\p{M}]*+"
+        parts = [re.escape(k) + build(v) for k, v in node.items() if k]
+        if "" in node:
+            return "(?:" + "|".join(parts) + ")?" if parts else ""
         return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
     return build(trie)
 
 
+def _words(spaced: str, inside: str = "") -> str:
+    """A pattern for the words of a list: whole words, and pieces of scripts without spaces."""
+    whole = f"(?<![\\p{{L}}\\p{{M}}]){_trie(spaced.split())}(?![\\p{{L}}\\p{{M}}])"
+    return whole + "|" + _trie(inside.split()) if inside.split() else whole
+
+
+_SIGN_IN = "|(?<!\\p{L})(?:" + folded_text("log") + "|" + folded_text("sign") + ")\\s+(?:" + folded_text("in") + "|" + folded_text("on") + ")(?!\\p{L})"
+THING = _words(SCRIPTS + THINGS, SCRIPTS_IN + " " + THINGS_IN) + _SIGN_IN
+_SCRIPT = _words(SCRIPTS, SCRIPTS_IN)
+_ADDRESSED = _words(ADDRESS, ADDRESS_IN) + _SIGN_IN
+_FAILED = _words(FAILURE, FAILURE_IN)
+_NEEDED = _words(NEED, NEED_IN)
+_STUDY = _words(STUDY, STUDY_IN)
+_KNOWN = _words(SCRIPTS + THINGS + ADDRESS + FAILURE + NEED + PLAIN, " ".join((SCRIPTS_IN, THINGS_IN, ADDRESS_IN, FAILURE_IN, NEED_IN, PLAIN_IN))) + _SIGN_IN
+#: A message has so many words, TITLE_WORDS as a lower title (or, without spaces, letters), and no greater share of its letters is left unexplained.
+WORDS, LETTERS, TITLE_WORDS, UNEXPLAINED = 3, 8, 5, 0.34
+
+_f = lambda words: _words(words)
+#: What templates tell their author to write, in the folded spelling.
+_INSTRUCTION = "|".join(
+    (
+        rf"^\W*(?:{_f('write describe replace insert delete type enter summarize summarise fill add state explain provide put click')})[^.!?]{{0,80}}?\s(?:{_f('here')}|{_f('in')}\s+{_f('this')}\s+{_f('place section line field box paragraph')}|{_f('this')}\s+{_f('text line section paragraph sentence field')}"
+        rf"|{_f('with before')}\s+{_f('your the')}\s+{_f('text title name names abstract results content submission submitting')})",
+        rf"^\W*{_f('this')}\s+{_f('is')}\s+(?:{_f('a an some')}\s+)?{_f('sample dummy example placeholder filler')}\s+{_f('text sentence paragraph content')}",
+        rf"^\W*(?:{_f('dies das')}\s+{_f('ist')}\s+(?:{_f('ein')}\s+)?{_f('beispieltext blindtext platzhaltertext beispielsatz mustertext')}|{_f('ceci')}\s+{_f('est')}\s+{_f('un')}\s+{_f('texte exemple')}|{_f('este esto')}\s+{_f('es')}\s+{_f('un')}\s+{_f('texto')}\s+{_f('de')}\s+{_f('ejemplo relleno')}|{_f('это')}\s+{_f('пример')}\s+{_f('текста')})",
+        rf"^\W*(?:{_f('schreiben fügen ersetzen geben hier')})[^.!?]{{0,80}}?{_f('hier einfügen eintragen eingeben')}|^\W*(?:{_f('écrivez insérez remplacez saisissez décrivez')})[^.!?]{{0,80}}?(?:{_f('ici')}|{_f('ce')}\s+{_f('texte')})",
+        rf"^\W*(?:{_f('escriba inserte reemplace introduzca describa')})[^.!?]{{0,80}}?(?:{_f('aquí')}|{_f('este')}\s+{_f('texto')})|^\W*(?:{_f('введите вставьте напишите замените опишите')})[^.!?]{{0,80}}?(?:{_f('здесь сюда')}|{_f('этот')}\s+{_f('текст')})",
+        "^\\W*(?:请)?在此处?[^。！？]{0,20}(?:填写|输入|插入|撰写)|^\\W*ここに[^。！？]{0,30}(?:入力|記入|挿入|書いて)|^\\W*여기에[^.!?]{0,40}(?:입력|작성|삽입|쓰세요)|^\\W*(?:اكتب|أدخل|أدرج)[^.!?]{0,60}هنا|^\\W*यहाँ[^।!?]{0,60}(?:लिखें|डालें|भरें)|^\\W*(?:กรอก|พิมพ์|ใส่|เขียน)[^.!?\n]{0,60}ที่นี่",
+    )
+)
+
+
 def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, block_no, block): paragraphs, headings and lists outside code and tables."""
     bare = F.regexp_replace(without_code(F.col(text)), F.lit("`[^`\n]+`"), F.lit(" "))
@@ -156,27 +272,48 @@ def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(~F.col("block").rlike("^\\s*(?:\\||$)"))
 
 
-def kind_of(block: Column) -> Column:
-    """placeholder, filler or message; null for content."""
-    none = F.lit("")
-    found = F.when(block.rlike(_SIGNS), F.regexp_extract(block, PLACEHOLDER, 0)).otherwise(none)
-    before = F.left(block, F.instr(block, found) - 1)
-    share = F.length(F.array_join(F.regexp_extract_all(block, F.lit(PLACEHOLDER), F.lit(0)), "")) / F.length(block)
-    tutorial = before.rlike(_QUOTED) | (block.rlike(_TUTORIAL) & (share < 0.5))
+def unfilled(block: Column) -> Column:
+    """Whether a sentence of the block holds a placeholder that it doesn't write about."""
+
+    def one(sentence: Column) -> Column:
+        bare = F.regexp_replace(sentence, F.lit(_QUOTED), F.lit(" "))
+        share = F.length(F.regexp_replace(sentence, F.lit(PLACEHOLDER), F.lit(""))) / F.length(sentence)
+        return bare.rlike(PLACEHOLDER) & (~sentence.rlike(_TUTORIAL) | (share <= 0.5))
+
+    return F.when(block.rlike(SIGNS), F.exists(F.split(block, _SENTENCE, -1), one)).otherwise(False)
+
+
+def is_filler(block: Column) -> Column:
+    """Whether the block's words are stock, keyboard-row or repeated ones."""
     small = F.lower(block)
     words = F.array_remove(F.split(small, _NONE, -1), "")
     n = F.size(words)
     lorem = F.size(F.filter(words, lambda w: w.isin(*LOREM)))
     mash = F.size(F.filter(words, lambda w: w.rlike("^[asdfjklqwer]+$")))
-    distinct = F.size(F.array_distinct(words))
     stock = F.when(small.rlike(_STOCK), ((n >= 4) & (lorem >= 0.5 * n)) | ((n >= 6) & (mash >= 0.9 * n))).otherwise(False)
-    filler = ((n >= 6) & (distinct <= 0.25 * n)) | stock
-    titles = F.regexp_replace(F.regexp_replace(block, F.lit("<[^>\n]*>"), F.lit("\n")), F.lit("\n+"), F.lit("\n"))
-    return (
-        F.when((found != "") & ~tutorial, "placeholder")
-        .when(filler, "filler")
-        .when(folded(block).rlike(_phrases()) | block.rlike(_MARKUP) | ((F.length(block) < 140) & block.rlike(_SCRIPTS) & ~block.rlike("\\d")) | F.exists(F.split(titles, "\n", -1), lambda t: t.rlike(_TITLE)), "message")
-    )
+    return ((n >= 6) & (F.size(F.array_distinct(words)) <= 0.25 * n)) | stock
+
+
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}]+", ""))
+
+
+def is_message(block: Column) -> Column:
+    """Whether the block is what a server, a viewer or a template says."""
+    fold = folded(F.regexp_replace(block, "(?<![\\p{L}\\p{N}@])\\p{N}[\\p{N}.,:]*(?![\\p{L}\\p{N}@])", " "))
+    bare = F.regexp_replace(fold, "\\S*[\\d/]\\S*", " ")  # identifiers
+    speaks = bare.rlike(_ADDRESSED) | bare.rlike(_FAILED) | (bare.rlike(_SCRIPT) & bare.rlike(_NEEDED))
+    long_enough = (F.size(F.split(F.trim(bare), "\\s+")) >= F.when(block.rlike("^\\s*##"), TITLE_WORDS + 1).otherwise(WORDS)) | (F.regexp_count(bare, F.lit("[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsHangul}]")) >= LETTERS)
+    left = _letters(F.regexp_replace(bare, _KNOWN, " "))
+    built = F.when(fold.rlike(THING), long_enough & speaks & ~bare.rlike(_STUDY) & (left <= UNEXPLAINED * _letters(bare))).otherwise(False)
+    titles = F.split(F.regexp_replace(block, F.lit("</(?:title|h1|h2|p|div)>|<hr */?>"), F.lit("\n")), "\n+")
+    title = block.rlike(_TITLE) | F.when(block.rlike(f"[<#]|{_CODES}"), F.exists(titles, lambda t: t.rlike("[#<]|" + _CODES) & t.rlike(_TITLE))).otherwise(False)
+    return block.rlike(_MARKUP) | title | fold.rlike(_INSTRUCTION) | built
+
+
+def kind_of(block: Column) -> Column:
+    """placeholder, filler or message; null for content."""
+    return F.when(unfilled(block), "placeholder").when(is_filler(block), "filler").when(is_message(block), "message")
 
 
 def residue(frame: DataFrame, key: str, text: str) -> DataFrame:
