@@ -196,8 +196,8 @@ _FROM, _TO = _table()
 
 
 def folded(text: Column) -> Column:
-    """The spelling in which words are compared; words that a line break parts are whole."""
-    out = F.translate(F.regexp_replace(text, "(?<=\\p{L})[-\u2010\u00ac\u00ad][ \\t]*\n\\s*(?=\\p{L})", ""), _FROM, _TO)
+    """The spelling in which words are compared: without plain numbers; words that a line break parts are whole."""
+    out = F.translate(F.regexp_replace(F.regexp_replace(text, "\\d(?<![\\p{L}\\d@].)[\\d.,:]*(?![\\p{L}\\d@])", " "), "[-\u2010\u00ac\u00ad](?<=\\p{L}.)[ \\t]*\n\\s*(?=\\p{L})", ""), _FROM, _TO)
     for a, b in _PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -206,6 +206,7 @@ def folded(text: Column) -> Column:
 def folded_text(text: str) -> str:
     """The same for one string."""
     n = len(_TO)
+    text = re.sub(r"[0-9](?<![^\W_].)(?<!@.)[0-9.,:]*(?![^\W_@]|@)", " ", text)
     out = re.sub("(?<=[^\\W\\d_])[-\u2010\u00ac\u00ad][ \\t]*\n\\s*(?=[^\\W\\d_])", "", text).translate(str.maketrans(_FROM[:n], _TO, _FROM[n:]))
     for a, b in _PAIRS:
         out = out.replace(a, b)
@@ -230,13 +231,17 @@ def _trie(words: list[str]) -> str:
             return "(?:" + "|".join(parts) + ")?" if parts else ""
         return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
-    return build(trie)
+    # the first letter is looked up in the class of its script before any branch is tried
+    scripts: dict[str, dict] = {}
+    for char, rest in trie.items():
+        scripts.setdefault("latin" if ord(char) < 0x250 else f"{ord(char) >> 8:x}" if ord(char) < 0x3000 else "east", {})[char] = rest
+    return "(?:" + "|".join(f"(?=[{''.join(map(re.escape, own))}]){build(own)}" for own in scripts.values()) + ")"
 
 
 def _words(spaced: str, inside: str = "") -> str:
     """A pattern for the words of a list: whole words, and pieces of scripts without spaces."""
     whole = f"(?<![\\p{{L}}\\p{{M}}]){_trie(spaced.split())}(?![\\p{{L}}\\p{{M}}])"
-    return whole + "|" + _trie(inside.split()) if inside.split() else whole
+    return whole + "|(?=[\u0e00-\u0e7f\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])" + _trie(inside.split()) if inside.split() else whole
 
 
 _SIGN_IN = "|(?<!\\p{L})(?:" + folded_text("log") + "|" + folded_text("sign") + ")\\s+(?:" + folded_text("in") + "|" + folded_text("on") + ")(?!\\p{L})"
@@ -252,24 +257,25 @@ WORDS, LETTERS, TITLE_WORDS, UNEXPLAINED = 3, 8, 5, 0.34
 
 _f = lambda words: _words(words)
 #: What templates tell their author to write, in the folded spelling.
-_INSTRUCTION = "|".join(
+_INSTRUCTION = "^\\W*(?:" + "|".join(
     (
-        rf"^\W*(?:{_f('write describe replace insert delete type enter summarize summarise fill add state explain provide put click')})[^.!?]{{0,80}}?\s(?:{_f('here')}|{_f('in')}\s+{_f('this')}\s+{_f('place section line field box paragraph')}|{_f('this')}\s+{_f('text line section paragraph sentence field')}"
+        rf"(?:{_f('write describe replace insert delete type enter summarize summarise fill add state explain provide put click')})[^.!?]{{0,80}}?\s(?:{_f('here')}|{_f('in')}\s+{_f('this')}\s+{_f('place section line field box paragraph')}|{_f('this')}\s+{_f('text line section paragraph sentence field')}"
         rf"|{_f('with before')}\s+{_f('your the')}\s+{_f('text title name names abstract results content submission submitting')})",
-        rf"^\W*{_f('this')}\s+{_f('is')}\s+(?:{_f('a an some')}\s+)?{_f('sample dummy example placeholder filler')}\s+{_f('text sentence paragraph content')}",
-        rf"^\W*(?:{_f('dies das')}\s+{_f('ist')}\s+(?:{_f('ein')}\s+)?{_f('beispieltext blindtext platzhaltertext beispielsatz mustertext')}|{_f('ceci')}\s+{_f('est')}\s+{_f('un')}\s+{_f('texte exemple')}|{_f('este esto')}\s+{_f('es')}\s+{_f('un')}\s+{_f('texto')}\s+{_f('de')}\s+{_f('ejemplo relleno')}|{_f('это')}\s+{_f('пример')}\s+{_f('текста')})",
-        rf"^\W*(?:{_f('schreiben fügen ersetzen geben hier')})[^.!?]{{0,80}}?{_f('hier einfügen eintragen eingeben')}|^\W*(?:{_f('écrivez insérez remplacez saisissez décrivez')})[^.!?]{{0,80}}?(?:{_f('ici')}|{_f('ce')}\s+{_f('texte')})",
-        rf"^\W*(?:{_f('escriba inserte reemplace introduzca describa')})[^.!?]{{0,80}}?(?:{_f('aquí')}|{_f('este')}\s+{_f('texto')})|^\W*(?:{_f('введите вставьте напишите замените опишите')})[^.!?]{{0,80}}?(?:{_f('здесь сюда')}|{_f('этот')}\s+{_f('текст')})",
-        "^\\W*(?:请)?在此处?[^。！？]{0,20}(?:填写|输入|插入|撰写)|^\\W*ここに[^。！？]{0,30}(?:入力|記入|挿入|書いて)|^\\W*여기에[^.!?]{0,40}(?:입력|작성|삽입|쓰세요)|^\\W*(?:اكتب|أدخل|أدرج)[^.!?]{0,60}هنا|^\\W*यहाँ[^।!?]{0,60}(?:लिखें|डालें|भरें)|^\\W*(?:กรอก|พิมพ์|ใส่|เขียน)[^.!?\n]{0,60}ที่นี่",
+        rf"{_f('this')}\s+{_f('is')}\s+(?:{_f('a an some')}\s+)?{_f('sample dummy example placeholder filler')}\s+{_f('text sentence paragraph content')}",
+        rf"(?:{_f('dies das')}\s+{_f('ist')}\s+(?:{_f('ein')}\s+)?{_f('beispieltext blindtext platzhaltertext beispielsatz mustertext')}|{_f('ceci')}\s+{_f('est')}\s+{_f('un')}\s+{_f('texte exemple')}|{_f('este esto')}\s+{_f('es')}\s+{_f('un')}\s+{_f('texto')}\s+{_f('de')}\s+{_f('ejemplo relleno')}|{_f('это')}\s+{_f('пример')}\s+{_f('текста')})",
+        rf"(?:{_f('schreiben fügen ersetzen geben hier')})[^.!?]{{0,80}}?{_f('hier einfügen eintragen eingeben')}|(?:{_f('écrivez insérez remplacez saisissez décrivez')})[^.!?]{{0,80}}?(?:{_f('ici')}|{_f('ce')}\s+{_f('texte')})",
+        rf"(?:{_f('escriba inserte reemplace introduzca describa')})[^.!?]{{0,80}}?(?:{_f('aquí')}|{_f('este')}\s+{_f('texto')})|(?:{_f('введите вставьте напишите замените опишите')})[^.!?]{{0,80}}?(?:{_f('здесь сюда')}|{_f('этот')}\s+{_f('текст')})",
+        "(?:请)?在此处?[^。！？]{0,20}(?:填写|输入|插入|撰写)|ここに[^。！？]{0,30}(?:入力|記入|挿入|書いて)|여기에[^.!?]{0,40}(?:입력|작성|삽입|쓰세요)|(?:اكتب|أدخل|أدرج)[^.!?]{0,60}هنا|यहाँ[^।!?]{0,60}(?:लिखें|डालें|भरें)|(?:กรอก|พิมพ์|ใส่|เขียน)[^.!?\n]{0,60}ที่นี่",
     )
-)
+) + ")"
 
 
 def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, block_no, block): paragraphs, headings and lists outside code and tables."""
+    """(key, block_no, block, fold): paragraphs, headings and lists outside code and tables, and how they are compared."""
     bare = F.regexp_replace(without_code(F.col(text)), F.lit("`[^`\n]+`"), F.lit(" "))
-    rows = frame.select(F.col(key), F.posexplode(F.split(bare, "\n[^\\S\n]*\n", -1)).alias("block_no", "block"))
-    return rows.where(~F.col("block").rlike("^\\s*(?:\\||$)"))
+    parts = F.filter(F.transform(F.split(bare, "\n[^\\S\n]*\n", -1), lambda b, n: F.struct(n.alias("block_no"), b.alias("block"))), lambda x: ~x["block"].rlike("^\\s*(?:\\||$)"))
+    # folded inside the array, so that no condition on the rows folds again
+    return frame.select(F.col(key), F.inline(F.transform(parts, lambda x: F.struct(x["block_no"].alias("block_no"), x["block"].alias("block"), folded(x["block"]).alias("fold")))))
 
 
 def unfilled(block: Column) -> Column:
@@ -298,27 +304,26 @@ def _letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}]+", ""))
 
 
-def is_message(block: Column) -> Column:
-    """Whether the block is what a server, a viewer or a template says."""
-    fold = folded(F.regexp_replace(block, "(?<![\\p{L}\\p{N}@])\\p{N}[\\p{N}.,:]*(?![\\p{L}\\p{N}@])", " "))
+def is_message(block: Column, fold: Column) -> Column:
+    """Whether the block, folded as fold, is what a server, a viewer or a template says."""
     bare = F.regexp_replace(fold, "\\S*[\\d/]\\S*", " ")  # identifiers
     speaks = bare.rlike(_ADDRESSED) | bare.rlike(_FAILED) | (bare.rlike(_SCRIPT) & bare.rlike(_NEEDED))
     long_enough = (F.size(F.split(F.trim(bare), "\\s+")) >= F.when(block.rlike("^\\s*##"), TITLE_WORDS + 1).otherwise(WORDS)) | (F.regexp_count(bare, F.lit("[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsHangul}]")) >= LETTERS)
     left = _letters(F.regexp_replace(bare, _KNOWN, " "))
-    built = F.when(fold.rlike(THING), long_enough & speaks & ~bare.rlike(_STUDY) & (left <= UNEXPLAINED * _letters(bare))).otherwise(False)
+    built = F.when(fold.rlike(THING), ~bare.rlike(_STUDY) & long_enough & speaks & (left <= UNEXPLAINED * _letters(bare))).otherwise(False)
     titles = F.split(F.regexp_replace(block, F.lit("</(?:title|h1|h2|p|div)>|<hr */?>"), F.lit("\n")), "\n+")
-    title = block.rlike(_TITLE) | F.when(block.rlike(f"[<#]|{_CODES}"), F.exists(titles, lambda t: t.rlike("[#<]|" + _CODES) & t.rlike(_TITLE))).otherwise(False)
-    return block.rlike(_MARKUP) | title | fold.rlike(_INSTRUCTION) | built
+    title = block.rlike(_TITLE) | F.when(block.rlike(f"[<#]|\\b{_CODES}\\b"), F.exists(titles, lambda t: t.rlike(f"[#<]|\\b{_CODES}\\b") & t.rlike(_TITLE))).otherwise(False)
+    return F.when(block.rlike("[<{]"), block.rlike(_MARKUP)).otherwise(False) | title | fold.rlike(_INSTRUCTION) | built
 
 
-def kind_of(block: Column) -> Column:
+def kind_of(block: Column, fold: Column | None = None) -> Column:
     """placeholder, filler or message; null for content."""
-    return F.when(unfilled(block), "placeholder").when(is_filler(block), "filler").when(is_message(block), "message")
+    return F.when(unfilled(block), "placeholder").when(is_filler(block), "filler").when(is_message(block, folded(block) if fold is None else fold), "message")
 
 
 def residue(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, block_no, kind): every block that is residue, once per key."""
-    return blocks(frame, key, text).select(key, "block_no", kind_of(F.col("block")).alias("kind")).where("kind IS NOT NULL").dropDuplicates([key, "block_no"])
+    return blocks(frame, key, text).select(key, "block_no", kind_of(F.col("block"), F.col("fold")).alias("kind")).where("kind IS NOT NULL").dropDuplicates([key, "block_no"])
 
 
 def affected(frame: DataFrame, key: str, text: str) -> DataFrame:
