@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import patterns as P
+from auditloom.operators.sanitation import compatible
 
 
 def citations(lines: DataFrame) -> DataFrame:
-    """(doc_id, provider, identifier, line, expected_title): every persistent identifier once per document, at its first line,
+    """(doc_id, provider, identifier, line, expected_title, column_start, column_end): every persistent identifier once per document, at its first line,
     and the title that the label of a link to it there gives, or null."""
     t = F.col("text")
     versionless = lambda x: F.regexp_replace(x, "(?i)v\\d+$", "")
@@ -23,7 +24,7 @@ def citations(lines: DataFrame) -> DataFrame:
     rows = lines.where(t.rlike("(?i)arxiv|doi|semanticscholar|corpusid|\\[[a-z0-9]+[:.]")).select("doc_id", "line", "text", F.explode(found).alias("f"))
     order = Window.partitionBy("doc_id", "f.provider", F.lower("f.identifier")).orderBy("line", "f.rank")
     first = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
-    return first.select("doc_id", "f.provider", "f.identifier", "line", expected_title(F.col("text"), F.col("f.token")).alias("expected_title"))
+    return first.select("doc_id", "f.provider", "f.identifier", "line", expected_title(F.col("text"), F.col("f.token")).alias("expected_title"), F.instr("text", F.col("f.token")).alias("column_start"), (F.instr("text", F.col("f.token")) + F.length("f.token") - 1).alias("column_end"))
 
 
 def expected_title(line: Column, token: Column) -> Column:
@@ -36,6 +37,8 @@ def expected_title(line: Column, token: Column) -> Column:
 
 
 def title_words(title: Column) -> Column:
+    """Its words in small letters, in normal form NFKC."""
+    title = compatible(title)
     return F.array_distinct(F.filter(F.split(F.lower(title), "[^\\p{L}\\p{N}_]+"), lambda w: w != ""))
 
 
@@ -48,13 +51,17 @@ def titles_agree(expected: Column, observed: Column) -> Column:
 def citation_status(cited: DataFrame, registry: DataFrame) -> DataFrame:
     """(doc_id, provider, identifier, line, status, title, expected_title): what the registry knows; what it lacks is unavailable. registry: (cite_key, cite_status, cite_title)."""
     known = registry.groupBy("cite_key").agg(F.max_by("cite_status", F.struct("cite_status", "cite_title")).alias("status"), F.max_by("cite_title", F.struct("cite_status", "cite_title")).alias("title"))
-    return cited.join(known, F.col("identifier") == F.col("cite_key"), "left").select("doc_id", "provider", "identifier", "line", F.coalesce("status", F.lit("unavailable")).alias("status"), "title", "expected_title")
+    return cited.join(known, F.col("identifier") == F.col("cite_key"), "left").select("doc_id", "provider", "identifier", "line", F.coalesce("status", F.lit("unavailable")).alias("status"), "title", "expected_title", "column_start", "column_end")
+
+
+#: The providers that know all of their own identifiers; that others lack one proves nothing.
+AUTHORITATIVE = ("arxiv", "registry")
 
 
 def wrong_citations(status: DataFrame) -> DataFrame:
-    """Citations of what does not exist, or under the title of another work."""
+    """Citations of what an authority does not have, or under the title of another work."""
     other = (F.col("status") == "verified") & ~titles_agree(F.col("expected_title"), F.col("title"))
-    return status.where((F.col("status") == "not-found") | (F.col("expected_title").isNotNull() & F.col("title").isNotNull() & other))
+    return status.where(((F.col("status") == "not-found") & F.col("provider").isin(*AUTHORITATIVE)) | (F.col("expected_title").isNotNull() & F.col("title").isNotNull() & other))
 
 
 def section_groups(sections: DataFrame) -> DataFrame:
@@ -83,6 +90,28 @@ def checkboxes(placed: DataFrame) -> DataFrame:
     )
 
 
+def template_findings(papers: DataFrame, lines: DataFrame, sections: DataFrame, placed: DataFrame, logged: DataFrame) -> DataFrame:
+    """(doc_id, line, expected, observed): what the event's template asks for and a paper of the event lacks.
+
+    A paper is of the event if it has a ledger, or both a research spec and a self-review section.
+    Its length comes from a declaration, else from form feeds. logged: (doc_id)."""
+    title = F.lower("title")
+    both = sections.groupBy("doc_id").agg(F.bool_or(title.contains("research spec")).alias("a"), F.bool_or(title.rlike("self[- ]review")).alias("b")).where("a AND b").select("doc_id")
+    event = logged.select("doc_id").unionByName(both).distinct()
+    lacking = section_groups(sections).where("NOT present").select("doc_id", F.lit(1).alias("line"), F.concat(F.lit("section "), "section_group").alias("expected"), F.lit("absent").alias("observed"))
+    wrapper = wrapper_missing(lines, sections).select("doc_id", F.lit(1).alias("line"), F.lit("section of the official wrapper").alias("expected"), F.lit("absent").alias("observed"))
+    told = lines.select("doc_id", "line", F.regexp_extract("text", P.PAGE_COUNT, 1).alias("n")).where("n != ''").withColumn("n", F.col("n").cast("int"))
+    declared = told.groupBy("doc_id").agg(F.min_by("n", "line").alias("pages"), F.min("line").alias("line"), F.count_distinct("n").alias("kinds"), F.try_element_at(F.array_sort(F.collect_list("line")), F.lit(2)).alias("second"))
+    fed = papers.where(F.contains("text", F.lit("\f"))).select("doc_id", (F.regexp_count("text", F.lit("\f")) + 1).alias("fed"))
+    sized = declared.join(fed, "doc_id", "full").select("doc_id", F.coalesce("pages", "fed").alias("pages"), F.coalesce("line", F.lit(1)).alias("line"), "kinds", "second")
+    wrong = F.when(F.col("kinds") > 1, F.struct(F.col("second").alias("line"), F.lit("one declared length").alias("expected"), F.lit("several").alias("observed"))).when(
+        ~F.col("pages").between(2, 4), F.struct("line", F.lit("2 to 4 pages").alias("expected"), F.col("pages").cast("string").alias("observed"))
+    )
+    pages = sized.select("doc_id", wrong.alias("w")).where("w IS NOT NULL").select("doc_id", "w.*")
+    boxes = checkboxes(placed).where("in_self_review AND NOT valid").select("doc_id", "line", F.lit("a space or x in the box").alias("expected"), F.col("marker").alias("observed"))
+    return lacking.unionByName(wrapper).unionByName(pages).unionByName(boxes).join(event, "doc_id", "left_semi")
+
+
 def self_review_items(placed: DataFrame) -> DataFrame:
     """(doc_id, line, label, checked): items of self-reviews, the box before or behind."""
     lead = F.col("text").rlike(P.LEADING_CHECKBOX)
@@ -114,14 +143,20 @@ def artifacts(lines: DataFrame) -> DataFrame:
 
 
 def broken_promises(lines: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, line, marker, tokens): announced results whose words never come again; the first of a document."""
+    """(doc_id, line, marker, tokens): announced results whose words never come again; the first of a document.
+
+    A word comes again where a later line has it, also inside a longer word: the distinct words of
+    a document are told their last line first, and meet the promise's words by their first five letters."""
     order = Window.partitionBy("doc_id").orderBy("line")
     body = lines.withColumn("ended", F.max(F.col("text").rlike(P.REFERENCES_HEADING).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("ended = 0")
     words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z-]{4,}"), F.lit(0))), F.array(*map(F.lit, P.PROMISE_STOPWORDS)))
     told = body.where(F.col("text").rlike(P.PROMISE)).select("doc_id", "line", F.regexp_extract("text", P.PROMISE, 0).alias("marker"), words.alias("tokens")).where("size(tokens) >= 2")
-    # a word of the promise stands in a later line: met through the last line of each document that holds it
-    later = body.select("doc_id", "line", F.lower("text").alias("low"))
-    again = told.select("doc_id", F.col("line").alias("at"), F.explode("tokens").alias("token")).join(later, "doc_id").where((F.col("line") > F.col("at")) & F.contains("low", "token")).select("doc_id", F.col("at").alias("line")).distinct()
+    runs = body.join(told.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z-]{5,}"), F.lit(0)))).alias("run"))
+    last = runs.groupBy("doc_id", "run").agg(F.max("line").alias("last"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("run") - 4), lambda i: F.substring("run", i, F.lit(5)))
+    grams = last.select("doc_id", "run", "last", F.explode(F.array_distinct(starts)).alias("gram"))
+    asked = told.select("doc_id", F.col("line").alias("at"), F.explode("tokens").alias("token")).withColumn("gram", F.left("token", F.lit(5)))
+    again = asked.join(grams, ["doc_id", "gram"]).where((F.col("last") > F.col("at")) & F.contains("run", F.col("token"))).select("doc_id", F.col("at").alias("line")).distinct()
     left = told.join(again, ["doc_id", "line"], "left_anti").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return left.select("doc_id", "line", "marker", F.array_join(F.slice("tokens", 1, 8), " ").alias("tokens"))
 

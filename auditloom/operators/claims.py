@@ -69,18 +69,30 @@ CONTRADICTS = {
 
 
 def verdicts(claims_: DataFrame, findings: DataFrame, ledger_traces: DataFrame, arithmetic_traces: DataFrame) -> DataFrame:
-    """(doc_id, claim_no, type, label): contradicted by a finding that overlaps it, supported by traces that all match, else unverifiable.
+    """(doc_id, claim_no, type, label, evidence, reason): contradicted by a finding that overlaps it, supported by traces that all match, else unverifiable.
 
-    findings: (doc_id, check, line, column_start, column_end); ledger_traces: (doc_id, number_no, matched); arithmetic_traces: (doc_id, line, matched)."""
+    findings: evaluation.numbered; ledger_traces: (doc_id, number_no, matched, evidence); arithmetic_traces: (doc_id, line, metric, matched).
+    A finding on a whole line meets all its claims; one with both columns only those that it overlaps.
+    evidence: the numbers of the findings, the places in the ledger and in the text that support it, or the line."""
     spark = claims_.sparkSession
     kinds = spark.createDataFrame([(c, t) for c, ts in CONTRADICTS.items() for t in ts], "check string, type string")
     hits = claims_.select("doc_id", "claim_no", "type", "line", F.col("column_start").alias("a"), F.col("column_end").alias("b"), F.size("refs").alias("refs"))
-    overlap = F.col("column_start").isNull() | (F.greatest("column_start", "a") <= F.least("column_end", "b"))
+    overlap = F.col("column_start").isNull() | F.col("column_end").isNull() | (F.greatest("column_start", "a") <= F.least("column_end", "b"))
     hits = findings.join(F.broadcast(kinds), "check").join(hits, ["doc_id", "line", "type"]).where(overlap & ((F.col("check") != "citation-existence") | (F.col("refs") > 0)))
-    contradicted = hits.select("doc_id", "claim_no").distinct().withColumn("contradicted", F.lit(True))
-    traced = claims_.select("doc_id", "claim_no", F.explode("numbers").alias("number_no")).join(ledger_traces, ["doc_id", "number_no"]).groupBy("doc_id", "claim_no").agg(F.bool_and("matched").alias("ledger_ok"))
-    by_line = arithmetic_traces.groupBy("doc_id", "line").agg(F.bool_and("matched").alias("arithmetic_ok"))
+    contradicted = hits.groupBy("doc_id", "claim_no").agg(F.transform(F.array_sort(F.collect_set("finding_no")), lambda n: F.format_string("finding-%03d", n)).alias("against"))
+    traced = claims_.select("doc_id", "claim_no", F.explode("numbers").alias("number_no")).join(ledger_traces, ["doc_id", "number_no"]).groupBy("doc_id", "claim_no").agg(
+        F.bool_and("matched").alias("ledger_ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("logged")
+    )
+    by_line = arithmetic_traces.groupBy("doc_id", "line").agg(F.bool_and("matched").alias("arithmetic_ok"), F.array_sort(F.collect_set("metric")).alias("metrics"))
     judged = claims_.join(contradicted, ["doc_id", "claim_no"], "left").join(traced, ["doc_id", "claim_no"], "left").join(by_line, ["doc_id", "line"], "left")
-    support = F.coalesce("ledger_ok", F.lit(False)) | ((F.col("type") == "arithmetic") & F.coalesce("arithmetic_ok", F.lit(False)))
-    label = F.when(F.col("contradicted"), "contradicted").when(F.col("type").isin("result", "arithmetic") & support, "supported").otherwise("unverifiable")
-    return judged.select("doc_id", "claim_no", "type", label.alias("label"))
+    none = F.array().cast("array<string>")
+    bearing = F.col("type").isin("result", "arithmetic")
+    by_ledger = F.when(F.coalesce("ledger_ok", F.lit(False)) & bearing, F.col("logged")).otherwise(none)
+    by_sum = F.when((F.col("type") == "arithmetic") & F.coalesce("arithmetic_ok", F.lit(False)), F.transform("metrics", lambda m: F.format_string("arithmetic %s at paper:%d", m, F.col("line")))).otherwise(none)
+    support = F.concat(by_ledger, by_sum)
+    told = (
+        F.when(F.col("against").isNotNull(), F.struct(F.lit("contradicted").alias("label"), F.col("against").alias("evidence"), F.lit("a finding lies on this passage").alias("reason")))
+        .when(F.size(support) > 0, F.struct(F.lit("supported").alias("label"), support.alias("evidence"), F.lit("every value of it that a check traces is matched").alias("reason")))
+        .otherwise(F.struct(F.lit("unverifiable").alias("label"), F.array(F.format_string("paper:%d", F.col("line"))).alias("evidence"), F.lit("no check decides on it").alias("reason")))
+    )
+    return judged.select("doc_id", "claim_no", "type", told.alias("t")).select("doc_id", "claim_no", "type", "t.*")

@@ -21,12 +21,12 @@ def numbers_without_emphasis(text: Column) -> Column:
 
 
 def cells_without_emphasis(line: Column) -> Column:
-    """Bold and paired italic marks dropped from a table row."""
+    """Bold and paired italic marks dropped from a table row, however they are nested."""
     row = line.rlike("^\\s*\\|.*\\|\\s*$")
-    out = F.replace(line, F.lit("**"), F.lit(""))
-    for _ in range(3):
-        out = F.regexp_replace(out, "_([^_\\n]+?)_", "$1")
-    return F.when(row, out).otherwise(line)
+    bare = F.replace(line, F.lit("**"), F.lit(""))
+    pairs = F.regexp_count(bare, F.lit("_")) / 2  # no more passes than pairs of marks can change it
+    out = F.aggregate(F.sequence(F.lit(1), F.greatest(pairs.cast("int"), F.lit(1))), bare, lambda done, _: F.regexp_replace(done, "_([^_\\n]+?)_", "$1"))
+    return F.when(row & line.contains("_"), out).when(row, bare).otherwise(line)
 
 
 def leading_boilerplate(lines: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def changed(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def leads(findings: DataFrame, most: int = 8) -> DataFrame:
     """(doc_id, leads): the first findings of each check as JSON, for a reader; what an injected instruction said is left out."""
-    order = Window.partitionBy("doc_id", "check").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "column_start")
+    order = Window.partitionBy("doc_id", "check").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "column_start", "observed", "expected", "evidence_path")
     kept = findings.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     each = F.array_sort(F.collect_list(F.struct("check", "n", "line")))
     return kept.groupBy("doc_id").agg(F.to_json(each).alias("leads"))
@@ -73,7 +73,8 @@ def leads(findings: DataFrame, most: int = 8) -> DataFrame:
 
 def numbered(findings: DataFrame) -> DataFrame:
     """The findings with finding_no, by line, then check; those of a whole document last."""
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "check", "column_start")
+    further = [c for c in ("observed", "expected", "evidence_path") if c in findings.columns]
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("line", F.lit(1_000_000_000)), "check", "column_start", *further)
     return findings.withColumn("finding_no", F.row_number().over(order))
 
 

@@ -16,7 +16,7 @@ def improvement_claims(sentences: DataFrame) -> DataFrame:
 
 
 def fairness(sentences: DataFrame, values: DataFrame) -> DataFrame:
-    """(doc_id, line, column_start, named_baseline, metrics, confirmed, supported): each improvement claim against baseline, candidate and confirmation records.
+    """(doc_id, line, column_start, column_end, named_baseline, metrics, confirmed, supported): each improvement claim against baseline, candidate and confirmation records.
 
     values: ledger.metric_values. "Some candidate, every confirmation" is a comparison of minima and maxima."""
     one = lambda role, f: f(F.when(F.col("role") == role, F.col("number")))
@@ -27,7 +27,7 @@ def fairness(sentences: DataFrame, values: DataFrame) -> DataFrame:
     claims = improvement_claims(sentences).join(values.select("doc_id").distinct(), "doc_id", "left_semi")
     padded = F.concat(F.lit("_"), label(F.col("sentence")), F.lit("_"))
     met = claims.join(by_metric, "doc_id", "left").withColumn("named", F.contains(padded, F.concat(F.lit("_"), F.col("metric"), F.lit("_"))) | F.contains(padded, F.concat(F.lit("_"), F.replace(F.col("metric"), F.lit("_"), F.lit("")), F.lit("_"))))
-    key = ["doc_id", "line", "column_start", "sentence"]
+    key = ["doc_id", "line", "column_start", "column_end", "sentence"]
     grouped = met.groupBy(*key).agg(F.collect_list(F.struct("metric", "named", "b_low", "b_high", "c_low", "c_high", "r_low", "r_high")).alias("m"))
     known = F.filter("m", lambda x: x["metric"].isNotNull())
     mentioned = F.filter(known, lambda x: x["named"])
@@ -44,7 +44,7 @@ def fairness(sentences: DataFrame, values: DataFrame) -> DataFrame:
         .when(direction == "lower", (F.col("only.c_low") < F.col("only.b_high")) & (F.col("only.r_high") < F.col("only.b_low")))
         .otherwise((F.col("only.c_high") > F.col("only.b_low")) & (F.col("only.r_low") > F.col("only.b_high")))
     )
-    return rows.select("doc_id", "line", "column_start", s.rlike(P.BASELINE_REFERENCE).alias("named_baseline"), F.size("m").alias("metrics"), F.coalesce(confirmed, F.lit(False)).alias("confirmed"), supported.alias("supported"))
+    return rows.select("doc_id", "line", "column_start", "column_end", s.rlike(P.BASELINE_REFERENCE).alias("named_baseline"), F.size("m").alias("metrics"), F.coalesce(confirmed, F.lit(False)).alias("confirmed"), supported.alias("supported"))
 
 
 def spoken(text):

@@ -1,16 +1,21 @@
 """Experiment ledgers: JSON lines of any shape as leaves, records, roles and scope.
 
 Ledger lines come as (doc_id, path, line, raw). Lines that are no JSON object are set
-apart; a nested value is reached through at most DEPTH levels.
+apart; values nested deeper than DEPTH levels are reached in Arrow batches, so every depth is read.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import patterns as P
 
+#: Levels of nesting that the plan itself unfolds.
 DEPTH = 6
 
 
@@ -39,28 +44,56 @@ def malformed(ledger: DataFrame) -> DataFrame:
     return parsed(ledger).where("problem IS NOT NULL").drop("v")
 
 
+def _deep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The scalars of values that are still nested, each as JSON."""
+    for batch in batches:
+        rows = []
+        for doc, path, line, field, parent, name, text in zip(*[batch[c] for c in batch.columns]):
+            todo = [(field, parent, name, json.loads(text, parse_float=_Raw, parse_int=_Raw))]
+            while todo:
+                field_, parent_, name_, value = todo.pop()
+                if isinstance(value, dict):
+                    todo += [(f"{field_}.{k}", name_, k, v) for k, v in value.items()]
+                elif isinstance(value, list):
+                    todo += [(f"{field_}[{i}]", name_, name_, v) for i, v in enumerate(value)]
+                else:
+                    rows.append((doc, path, line, field_, parent_, name_, value.text if isinstance(value, _Raw) else json.dumps(value, ensure_ascii=False)))
+        yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(batch.columns)}, columns=batch.columns)
+
+
+class _Raw:
+    """A number as it is written."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+
 def leaves(ledger: DataFrame) -> DataFrame:
     """(doc_id, path, line, field, parent, name, kind, value, number): every scalar of every record, by dotted path."""
-    level = parsed(ledger).where("problem IS NULL").select("doc_id", "path", "line", F.lit("").alias("field"), F.lit("").alias("parent"), F.lit("").alias("name"), "v")
+    key = ["doc_id", "path", "line"]
+    spark = ledger.sparkSession
+    level = parsed(ledger).where("problem IS NULL").select(*key, F.lit("").alias("field"), F.lit("").alias("parent"), F.lit("").alias("name"), "v")
+    kind = F.expr("schema_of_variant(v)")
+
+    def scalars(rows: DataFrame) -> DataFrame:
+        number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.expr("try_variant_get(v, '$', 'double')"))
+        return rows.select(*key, "field", "parent", "name", kind.alias("kind"), F.expr("try_variant_get(v, '$', 'string')").alias("value"), number.alias("number"))
+
     out = None
     for _ in range(DEPTH):
-        level.createOrReplaceTempView("auditloom_level")
-        spark = ledger.sparkSession
-        level = spark.sql(
-            "SELECT l.doc_id, l.path, l.line, e.pos, e.key, e.value AS v, l.field AS f, l.name AS p FROM auditloom_level l, LATERAL variant_explode(l.v) e"
-        )
+        level = level.select(*key, F.col("field").alias("f"), F.col("name").alias("p"), "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         name = F.coalesce("key", F.col("p"))
         field = F.when(F.col("key").isNull(), F.concat("f", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("f") == "", F.col("key")).otherwise(F.concat_ws(".", "f", "key"))
         parent = F.when(F.col("key").isNull(), F.col("p")).otherwise(F.regexp_replace(F.regexp_extract("f", "([^.]*)$", 1), "(\\[\\d+\\])+$", ""))
-        level = level.select("doc_id", "path", "line", field.alias("field"), parent.alias("parent"), name.alias("name"), "v")
-        kind = F.expr("schema_of_variant(v)")
+        level = level.select(*key, field.alias("field"), parent.alias("parent"), name.alias("name"), F.col("value").alias("v"))
         nested = kind.rlike("^(OBJECT|ARRAY)")
-        scalar = level.where(~nested).select(
-            "doc_id", "path", "line", "field", "parent", "name", kind.alias("kind"), F.expr("try_variant_get(v, '$', 'string')").alias("value"),
-            F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.expr("try_variant_get(v, '$', 'double')")).alias("number"),
-        )
+        scalar = scalars(level.where(~nested))
         out = scalar if out is None else out.unionByName(scalar)
         level = level.where(nested)
+    types = {f.name: f.dataType.simpleString() for f in ledger.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", field string, parent string, name string, j string"
+    deep = level.select(*key, "field", "parent", "name", F.to_json("v").alias("j")).mapInPandas(_deep, schema)
+    out = out.unionByName(scalars(deep.select(*key, "field", "parent", "name", F.try_parse_json("j").alias("v"))))
     return out.where("number IS NULL OR (NOT isnan(number) AND abs(number) < double('infinity'))")
 
 

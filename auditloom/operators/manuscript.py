@@ -79,11 +79,11 @@ def sections(lines_: DataFrame) -> DataFrame:
     )
     ranked = heads.join(opening.select("doc_id", F.lit(1).alias("shift")), "doc_id", "left").join(last, "doc_id")
     ranked = ranked.withColumn("section", (F.row_number().over(order) - 1 + F.coalesce("shift", F.lit(0))).cast("int"))
-    above = F.collect_list(F.struct("section", "level")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ranked.withColumn("above", above)
-    nearest = F.try_element_at(F.filter("above", lambda a: a["level"] < F.col("level")), F.lit(-1))["section"]
+    # a heading has one of six levels: the nearest of a higher rank is the latest of the last ones of those ranks
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last_of = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("section"))).over(before)) for k in range(1, 6)]
     nested = ranked.select(
-        "doc_id", "section", F.when(F.exists("above", lambda a: a["level"] < F.col("level")), nearest).alias("parent"), "level", "title", F.col("line").alias("heading_line"),
+        "doc_id", "section", F.greatest(*last_of).alias("parent"), "level", "title", F.col("line").alias("heading_line"),
         F.col("content_line").alias("line_start"), (F.coalesce(F.lead("line").over(order), F.col("last") + 1) - 1).alias("line_end"),
     )
     return opening.unionByName(nested)
@@ -138,28 +138,34 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Every match with its 1-based first and last column: array of (token, column_start, column_end)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    """Every match with its 1-based first and last column: array of (token, column_start, column_end); one pass from left to right."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"))
+    none = F.array().cast("array<struct<token:string,column_start:int,column_end:int>>")
 
-    def place(token: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i)) + 1
-        return F.struct(token.alias("token"), start.alias("column_start"), (start + F.length(token) - 1).alias("column_end"))
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + F.length(x["gap"])
+        end = (start + F.length(x["token"])).cast("int")
+        one = F.array(F.struct(x["token"].alias("token"), (start + 1).cast("int").alias("column_start"), end.alias("column_end")))
+        return F.when(x["token"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["found"], one).alias("found")))
 
-    return F.transform(found, place)
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda done: done["found"])
 
 
 def numbers(placed: DataFrame, tables: DataFrame) -> DataFrame:
-    """(doc_id, number_no, token, normalized, kind, line, column_start, column_end, offset_start, section, table_no, context). placed: section_of_lines."""
+    """(doc_id, number_no, token, normalized, kind, line, column_start, column_end, offset_start, section, table_no, ordinal). placed: section_of_lines.
+
+    ordinal: whether the number is the tail of a name such as "A-3"."""
     inside = tables.groupBy("doc_id", "line").agg(F.min("table_no").alias("table_no"))
-    rows = placed.where(F.col("text").rlike("\\d")).select("doc_id", "line", "text", "offset", "section", "title", F.explode(matches(F.col("text"), P.NUMBER)).alias("m"))
+    at = F.col("m.column_start")
+    ordinal = (at >= 3) & F.coalesce(F.substring("text", at - 2, F.lit(2)).rlike("^[\\p{L}\\p{N}][-–—]$"), F.lit(False))
+    rows = placed.where(F.col("text").rlike("\\d")).select("doc_id", "line", "text", "offset", "section", F.explode(matches(F.col("text"), P.NUMBER)).alias("m"))
+    rows = rows.select("doc_id", "line", "offset", "section", "m", ordinal.alias("ordinal"))
     compact = F.translate(F.trim("m.token"), "−", "-")
     rows = rows.join(inside, ["doc_id", "line"], "left")
     return rows.select(
         "doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "m.column_start")) - 1).alias("number_no"), "m.token",
         F.replace(F.rtrim(F.regexp_replace(compact, "%$", "")), F.lit(","), F.lit("")).alias("normalized"), F.when(compact.endswith("%"), "percentage").otherwise("number").alias("kind"),
-        "line", "m.column_start", "m.column_end", (F.col("offset") + F.col("m.column_start") - 1).alias("offset_start"), "section", "title", "table_no", F.col("text").alias("context"),
+        "line", "m.column_start", "m.column_end", (F.col("offset") + F.col("m.column_start") - 1).alias("offset_start"), "section", "table_no", "ordinal",
     )
 
 

@@ -33,11 +33,21 @@ def topic_terms(sections: DataFrame, placed: DataFrame, limit: int = 8) -> DataF
 def similar(left: DataFrame, right: DataFrame, least: float, top: int) -> DataFrame:
     """(left_id, right_id, similarity, rank): the most similar right sets of each left one. left, right: (id, words).
 
-    Only sets that share a word meet: through an inverted index, with the words that nearly every right set has left to the final count of shared words."""
-    l_words = left.select(F.col("id").alias("left_id"), F.size("words").alias("nl"), F.explode("words").alias("w"))
-    r_words = right.select(F.col("id").alias("right_id"), F.size("words").alias("nr"), F.explode("words").alias("w"))
-    shared = l_words.join(r_words, "w").groupBy("left_id", "right_id", "nl", "nr").agg(F.count("*").alias("n"))
-    scored = shared.withColumn("similarity", F.round(F.col("n") / (F.col("nl") + F.col("nr") - F.col("n")), 4)).where(F.col("similarity") >= least)
+    Prefix filtering: words are ordered from rare to frequent, and two sets of the wanted similarity share one of the
+    first words of both, as many as may differ and one more. Only these meet; sets too different in size don't; the
+    share is counted on the whole sets."""
+
+    def prefixed(sets: DataFrame, side: str) -> DataFrame:
+        each = sets.where(F.size("words") > 0).select(F.col("id").alias(f"{side}_id"), F.explode("words").alias("w")).join(times, "w", "left")
+        listed = each.groupBy(f"{side}_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), lambda x: x["w"]).alias(f"{side}_words"))
+        n = F.size(f"{side}_words")
+        return listed.select("*", F.explode(F.slice(f"{side}_words", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)).alias("w"))
+
+    times = right.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    met = prefixed(left, "left").join(prefixed(right, "right"), "w")
+    small, large = F.least(F.size("left_words"), F.size("right_words")), F.greatest(F.size("left_words"), F.size("right_words"))
+    pairs = met.where(small >= F.lit(least) * large).groupBy("left_id", "right_id").agg(F.first("left_words").alias("a"), F.first("right_words").alias("b"))
+    scored = pairs.select("left_id", "right_id", F.round(jaccard(F.col("a"), F.col("b")), 4).alias("similarity")).where(F.col("similarity") >= least)
     order = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("left_id", "right_id", "similarity", "rank")
 

@@ -43,11 +43,17 @@ def hidden_fragments(papers: DataFrame) -> DataFrame:
     """(doc_id, kind, line, fragment): comments and hidden elements with the line they begin on."""
     text = F.col("text")
     parts = F.regexp_extract_all(text, F.lit("(?is)<!--.*?-->|<([a-z][\\w:-]*)\\b[^>]*>.*?</\\1\\s*>|[^<]+|<"), F.lit(0))
-    rows = papers.where(text.contains("<")).select("doc_id", parts.alias("p")).select("doc_id", "p", F.posexplode("p").alias("i", "fragment"))
-    comment = F.col("fragment").startswith("<!--")
-    element = (F.length("fragment") > 1) & ~comment & F.col("fragment").startswith("<") & F.regexp_extract("fragment", "^<[^>]*>", 0).rlike(P.HIDDEN_STYLE)
-    breaks = F.aggregate(F.slice("p", F.lit(1), F.col("i")), F.lit(1), lambda n, x: n + F.length(F.regexp_replace(x, "[^\\n]", "")))
-    return rows.where(comment | element).select("doc_id", F.when(comment, "comment").otherwise("element").alias("kind"), breaks.alias("line"), "fragment")
+    none = F.array().cast("array<struct<kind:string,line:int,fragment:string>>")
+
+    def step(done: Column, x: Column) -> Column:
+        comment = x.startswith("<!--")
+        element = (F.length(x) > 1) & ~comment & x.startswith("<") & F.regexp_extract(x, "^<[^>]*>", 0).rlike(P.HIDDEN_STYLE)
+        one = F.array(F.struct(F.when(comment, "comment").otherwise("element").alias("kind"), done["line"].alias("line"), x.alias("fragment")))
+        line = (done["line"] + F.length(F.regexp_replace(x, "[^\\n]", ""))).cast("int")
+        return F.struct(line.alias("line"), F.when(comment | element, F.concat(done["found"], one)).otherwise(done["found"]).alias("found"))
+
+    found = F.aggregate(parts, F.struct(F.lit(1).alias("line"), none.alias("found")), step, lambda done: done["found"])
+    return papers.where(text.contains("<")).select("doc_id", F.inline(found))
 
 
 def compatible(text: Column) -> Column:

@@ -48,34 +48,49 @@ def aliases(name: Column) -> Column:
     return F.array_distinct(F.when(plain.endswith("_percent"), F.concat(ways, F.array(base, F.concat(base, F.lit(" percent")), F.concat(base, F.lit(" percentage"))))).otherwise(ways))
 
 
-def labelled(numbers: DataFrame, tables: DataFrame, fields: DataFrame) -> DataFrame:
+#: A number and a mention are within NEAR characters of each other, or have nothing to do with one another; the width of a piece of a line.
+NEAR, PIECE = 32, 64
+
+
+def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, line, field, at, size): where a line names a metric. lines: (doc_id, line, text); names: (doc_id, field, alias).
+
+    Words of a line meet the names that begin with them; what follows is compared at that place."""
+    words = lines.select("doc_id", "line", F.lower("text").alias("low"), F.explode(M.matches(F.lower("text"), "[a-z0-9]+")).alias("m"))
+    longest = names.groupBy("doc_id").agg(F.max(F.length("alias")).alias("longest"))
+    ahead = words.join(longest, "doc_id").select("doc_id", "line", F.col("m.token").alias("word"), F.col("m.column_start").alias("at"), F.substring("low", F.col("m.column_start"), F.col("longest") + 1).alias("ahead"))
+    met = ahead.join(names.withColumn("word", F.regexp_extract("alias", "^[a-z0-9]+", 0)), ["doc_id", "word"]).where(F.startswith("ahead", F.col("alias")))
+    free = ~F.substring("ahead", F.length("alias") + 1, F.lit(1)).rlike("[a-z0-9]")
+    return met.where(free).select("doc_id", "line", "field", "at", F.length("alias").alias("size"))
+
+
+def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: DataFrame) -> DataFrame:
     """(doc_id, number_no, metric, source, trial, normalized, kind, line, column_start, column_end): numbers that a metric names.
 
     fields: (doc_id, field), the metrics that each document may name. In a table the column's
-    header names it, in prose of results the nearest mention within 32 characters."""
-    ordinal = (F.col("column_start") >= 3) & F.coalesce(F.substring("context", F.col("column_start") - 2, F.lit(2)).rlike("^[\\p{L}\\p{N}][-–—]$"), F.lit(False))
-    usable = numbers.where(~ordinal)
+    header names it, in prose of results the nearest mention within NEAR characters."""
+    usable = numbers.where("NOT ordinal").select("doc_id", "number_no", "normalized", "kind", "line", "column_start", "column_end", "table_no")
     names = fields.select("doc_id", "field", F.explode(aliases(last_name(F.col("field")))).alias("alias")).distinct()
     cells = M.table_cells(tables).select("doc_id", "table_no", "line", "column_no", "header", "cell")
-    row = tables.where("kind = 'row'").select("doc_id", "table_no", "line", F.array_join("cells", " ").alias("row"))
+    row = tables.where("kind = 'row'").select("doc_id", "table_no", "line", trial_of(F.array_join("cells", " ")).alias("row_trial"), F.lit(True).alias("in_row"))
     own = usable.where("table_no IS NOT NULL").join(cells, ["doc_id", "table_no", "line"]).where(F.replace(F.translate("cell", "−", "-"), F.lit(","), F.lit("")).contains(F.col("normalized")))
     first = own.groupBy("doc_id", "number_no").agg(F.min_by("header", "column_no").alias("header"))
     known = names.select("doc_id", F.col("alias").alias("metric")).distinct()
     by_table = first.withColumn("metric", label(last_name(F.col("header")))).join(known, ["doc_id", "metric"], "left_semi").select("doc_id", "number_no", "metric", F.lit("table").alias("source"))
+    text = F.col("text")
+    told = placed.where(text.rlike("\\d") & ~text.rlike(P.NON_RESULT_CONTEXT) & (F.coalesce(F.col("title"), F.lit("")).rlike(P.RESULT_SECTION) | text.rlike(P.RESULT_LANGUAGE)))
+    spoken = mentions(told.select("doc_id", "line", "text"), names)
     prose = usable.join(by_table.select("doc_id", "number_no"), ["doc_id", "number_no"], "left_anti")
-    told = ~F.col("context").rlike(P.NON_RESULT_CONTEXT) & (F.coalesce(F.col("title"), F.lit("")).rlike(P.RESULT_SECTION) | F.col("context").rlike(P.RESULT_LANGUAGE))
-    # a mention is looked up where its line holds it, line by line, so that a line meets only the names of its document
-    spoken = prose.where(told).select("doc_id", "line", "context").distinct().join(names, "doc_id").where(F.contains(F.lower("context"), F.col("alias")))
-    around = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace(F.col("alias"), "([^a-z0-9_ ])", "\\\\$1"), F.lit("(?![A-Za-z0-9])"))
-    spoken = spoken.withColumn("gaps", F.split(F.lower("context"), "")).withColumn("at", F.array_compact(F.transform(F.sequence(F.lit(1), F.length("context")), lambda i: F.when(F.substring(F.lower("context"), i, F.length("alias")) == F.col("alias"), i)))).drop("gaps")
-    free = lambda i: ~F.coalesce(F.substring("context", i - 1, F.lit(1)).rlike("[A-Za-z0-9]") & (i > 1), F.lit(False)) & ~F.coalesce(F.substring("context", i + F.length("alias"), F.lit(1)).rlike("[A-Za-z0-9]"), F.lit(False))
-    spoken = spoken.select("doc_id", "line", "field", "alias", F.explode(F.filter("at", free)).alias("at"))
-    gap = F.greatest(F.col("at") - 1 - F.col("column_end"), F.col("column_start") - F.col("at") - F.length("alias"), F.lit(0))
-    near = prose.where(told).join(spoken, ["doc_id", "line"]).withColumn("gap", gap).where("gap <= 32")
+    piece = lambda c: F.floor(c / PIECE).cast("int")
+    a = prose.withColumn("piece", F.explode(F.sequence(piece(F.col("column_start") - NEAR), piece(F.col("column_end") + NEAR))))
+    b = spoken.withColumn("piece", F.explode(F.sequence(piece(F.col("at")), piece(F.col("at") + F.col("size")))))
+    gap = F.greatest(F.col("at") - 1 - F.col("column_end"), F.col("column_start") - F.col("at") - F.col("size"), F.lit(0))
+    near = a.join(b, ["doc_id", "line", "piece"]).withColumn("gap", gap).where(F.col("gap") <= NEAR)
     by_prose = near.groupBy("doc_id", "number_no").agg(F.min_by("field", F.struct("gap", "field")).alias("field")).select("doc_id", "number_no", label(last_name(F.col("field"))).alias("metric"), F.lit("prose").alias("source"))
-    both = by_table.unionByName(by_prose).where(~F.col("metric").isin(*P.DERIVED_LABELS))
-    return both.join(usable, ["doc_id", "number_no"]).join(row, ["doc_id", "table_no", "line"], "left").select(
-        "doc_id", "number_no", "metric", "source", trial_of(F.coalesce("row", "context")).alias("trial"), "normalized", "kind", "line", "column_start", "column_end"
+    both = by_table.unionByName(by_prose).where(~F.col("metric").isin(*P.DERIVED_LABELS)).join(usable, ["doc_id", "number_no"]).join(row, ["doc_id", "table_no", "line"], "left")
+    of_line = placed.where(text.rlike("\\d")).select("doc_id", "line", trial_of(text).alias("line_trial")).where("line_trial IS NOT NULL")
+    return both.join(of_line, ["doc_id", "line"], "left").select(
+        "doc_id", "number_no", "metric", "source", F.when(F.col("in_row"), F.col("row_trial")).otherwise(F.col("line_trial")).alias("trial"), "normalized", "kind", "line", "column_start", "column_end"
     )
 
 
@@ -89,24 +104,26 @@ def ledger_fields(leaves: DataFrame) -> DataFrame:
 
 
 def ledger_trace(labelled_: DataFrame, leaves: DataFrame, records: DataFrame) -> DataFrame:
-    """(doc_id, number_no, metric, trial, normalized, line, column_start, column_end, candidates, matches, matched): each number against the values that its ledger has for metric and trial."""
+    """(doc_id, number_no, metric, trial, normalized, line, column_start, column_end, candidates, matches, evidence, matched): each number against the values that its ledger has for metric and trial."""
     values = leaves.where("number IS NOT NULL").join(records.select("doc_id", "path", "line", F.when(F.col("trial") != "", F.col("trial")).alias("logged")), ["doc_id", "path", "line"])
     values = values.select("doc_id", F.explode(aliases(F.col("name"))).alias("metric"), "path", F.col("line").alias("ledger_line"), "field", "number", "logged")
     met = labelled_.join(values, ["doc_id", "metric"], "left").withColumn("fits", F.col("number").isNotNull() & same_trial(F.col("trial"), F.col("logged")))
     keys = ["doc_id", "number_no", "metric", "trial", "normalized", "line", "column_start", "column_end"]
     hit = F.col("fits") & agrees(F.col("normalized"), F.col("number"))
-    return met.groupBy(*keys).agg(F.count_if("fits").alias("candidates"), F.count_if(hit).alias("matches")).withColumn("matched", F.col("matches") > 0)
+    shown = F.concat(F.col("path"), F.lit(":"), F.col("ledger_line").cast("string"), F.lit("#"), F.col("field"))
+    return met.groupBy(*keys).agg(F.count_if("fits").alias("candidates"), F.count_if(hit).alias("matches"), F.sort_array(F.collect_set(F.when(hit, shown))).alias("evidence")).withColumn("matched", F.col("matches") > 0)
 
 
 def consistency(labelled_: DataFrame) -> DataFrame:
-    """(doc_id, number_no, metric, trial, line, matched): prose values that name a trial against the table values of the same metric and trial."""
+    """(doc_id, number_no, metric, trial, line, column_start, column_end, shown, in_tables, matched): prose values that name a trial against the table values of the same metric and trial."""
     usable = labelled_.where("kind != 'percentage' AND trial IS NOT NULL")
     prose = usable.where("source = 'prose'")
     table = usable.where("source = 'table'").select("doc_id", "metric", "trial", F.col("normalized").alias("in_table"))
     met = prose.join(table, ["doc_id", "metric", "trial"])
     value = F.col("in_table").try_cast("double")
     either = agrees(F.col("normalized"), value) | agrees(F.col("in_table"), F.col("normalized").try_cast("double"))
-    return met.groupBy("doc_id", "number_no", "metric", "trial", "line").agg(F.bool_or(either).alias("matched"))
+    key = ["doc_id", "number_no", "metric", "trial", "line", "column_start", "column_end"]
+    return met.groupBy(*key).agg(F.first("normalized").alias("shown"), F.sort_array(F.collect_set("in_table")).alias("in_tables"), F.bool_or(either).alias("matched"))
 
 
 def pairs(labelled_: DataFrame, means: bool = False) -> DataFrame:
@@ -131,15 +148,16 @@ def better_when_lower(placed: DataFrame, pairs_: DataFrame) -> DataFrame:
 
 
 def stated_changes(placed: DataFrame) -> DataFrame:
-    """(doc_id, line, place, label, display, percent, line_text): deltas and improvements that the prose states."""
+    """(doc_id, line, place, label, display, percent, line_text, column_start, column_end): deltas and improvements that the prose states."""
     rows = placed.where(~F.col("text").contains("|")).select("doc_id", "line", "text", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(P.ARITHMETIC_CLAIM), F.lit(1)).alias("l"), F.regexp_extract_all("text", F.lit(P.ARITHMETIC_CLAIM), F.lit(2)).alias("v"))).alias("place", "m"))
+        M.matches(F.col("text"), P.ARITHMETIC_CLAIM).alias("t"), F.regexp_extract_all("text", F.lit(P.ARITHMETIC_CLAIM), F.lit(1)).alias("l"), F.regexp_extract_all("text", F.lit(P.ARITHMETIC_CLAIM), F.lit(2)).alias("v"))).alias("place", "m"))
     raw = F.trim(F.replace(F.translate("m.v", "−", "-"), F.lit(","), F.lit("")))
-    return rows.select("doc_id", "line", "place", label(F.col("m.l")).alias("label"), F.trim(F.regexp_replace(raw, "%$", "")).alias("display"), raw.endswith("%").alias("percent"), F.col("text").alias("line_text"))
+    start = F.col("m.t.column_end") - F.length("m.v") + 1  # the value ends what is stated
+    return rows.select("doc_id", "line", "place", label(F.col("m.l")).alias("label"), F.trim(F.regexp_replace(raw, "%$", "")).alias("display"), raw.endswith("%").alias("percent"), F.col("text").alias("line_text"), start.cast("int").alias("column_start"), F.col("m.t.column_end").alias("column_end"))
 
 
 def arithmetic(placed: DataFrame, labelled_: DataFrame) -> DataFrame:
-    """(doc_id, line, place, metric, label, display, expected, matched): stated changes against the only pair they can mean, and ratios that a sentence states itself."""
+    """(doc_id, line, place, metric, label, display, expected, column_start, column_end, matched): stated changes against the only pair they can mean, and ratios that a sentence states itself."""
     stated = stated_changes(placed)
     direct, mean = pairs(labelled_), pairs(labelled_, means=True)
     has = direct.select("doc_id").distinct().withColumn("direct", F.lit(True))
@@ -156,23 +174,31 @@ def arithmetic(placed: DataFrame, labelled_: DataFrame) -> DataFrame:
     change = F.col("candidate") - F.col("baseline")
     sign = F.when(F.col("label").contains("improvement") & F.col("lower"), -1.0).otherwise(1.0)
     expected = F.when(~relative, change).when(F.col("baseline") != 0, sign * change / F.abs("baseline") * F.when(F.col("percent"), 100.0).otherwise(1.0))
-    own = judged.withColumn("expected", expected).where("expected IS NOT NULL").select("doc_id", "line", "place", "metric", "label", "display", "expected")
+    own = judged.withColumn("expected", expected).where("expected IS NOT NULL").select("doc_id", "line", "place", "metric", "label", "display", "expected", "column_start", "column_end")
     return own.unionByName(stated_ratios(placed)).withColumn("matched", agrees(F.col("display"), F.col("expected")))
 
 
 def paragraphs(placed: DataFrame) -> DataFrame:
-    """(doc_id, first_line, text): lines of prose that follow each other, joined by spaces."""
+    """(doc_id, text, lines): lines of prose that follow each other, joined by spaces; lines: array of (line, n), the length of each."""
     order = Window.partitionBy("doc_id").orderBy("line")
     breaks = ~F.col("text").rlike("\\S") | F.col("text").contains("|")
     grouped = placed.withColumn("gap", F.sum(breaks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~breaks)
-    joined = grouped.groupBy("doc_id", "gap").agg(F.min("line").alias("first_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return joined.select("doc_id", "first_line", "text")
+    each = grouped.groupBy("doc_id", "gap").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    return each.select("doc_id", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"), F.transform("l", lambda x: F.struct(x["line"].alias("line"), F.length(x["text"]).alias("n"))).alias("lines"))
 
 
 def stated_ratios(placed: DataFrame) -> DataFrame:
-    """Changes "from a to b ... of z%" within a paragraph; line is the paragraph's first."""
+    """Changes "from a to b ... of z%" within a paragraph, where z stands; the columns of stated changes."""
     get = lambda n: F.regexp_extract_all("text", F.lit(P.FROM_TO), F.lit(n))
-    rows = paragraphs(placed).select("doc_id", F.col("first_line").alias("line"), F.posexplode(F.arrays_zip(get(1).alias("a"), get(2).alias("b"), get(3).alias("k"), get(4).alias("z"))).alias("place", "m"))
+    zipped = F.arrays_zip(M.matches(F.col("text"), P.FROM_TO).alias("t"), get(1).alias("a"), get(2).alias("b"), get(3).alias("k"), get(4).alias("z"))
+    rows = paragraphs(placed).where(F.col("text").rlike(P.FROM_TO)).select("doc_id", "lines", F.posexplode(zipped).alias("place", "m"))
+    z = F.col("m.t.column_end") - F.length(F.regexp_extract("m.t.token", "(\\d[\\d,]*(?:\\.\\d+)?)\\s*%$", 0))
+    begun = lambda d, x: F.struct((d["to"] + x["n"] + 1).alias("to"), F.when(d["to"] <= F.col("z"), x["line"]).otherwise(d["line"]).alias("line"), F.when(d["to"] <= F.col("z"), d["to"]).otherwise(d["start"]).alias("start"))
+    rows = rows.withColumn("z", z).withColumn("at", F.aggregate("lines", F.struct(F.lit(0).alias("to"), F.lit(None).cast("int").alias("line"), F.lit(0).alias("start")), begun))
     number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
     expected = F.when(number("m.a") != 0, F.abs(number("m.b") - number("m.a")) / F.abs(number("m.a")) * 100.0)
-    return rows.select("doc_id", "line", (F.col("place") + 1000).alias("place"), F.lit("prose-ratio").alias("metric"), label(F.col("m.k")).alias("label"), F.replace(F.col("m.z"), F.lit(","), F.lit("")).alias("display"), expected.alias("expected")).where("expected IS NOT NULL")
+    start = (F.col("z") - F.col("at.start") + 1).cast("int")
+    return rows.select(
+        "doc_id", F.col("at.line").alias("line"), (F.col("place") + 1000).alias("place"), F.lit("prose-ratio").alias("metric"), label(F.col("m.k")).alias("label"),
+        F.replace(F.col("m.z"), F.lit(","), F.lit("")).alias("display"), expected.alias("expected"), start.alias("column_start"), (start + F.length("m.z") - 1).cast("int").alias("column_end"),
+    ).where("expected IS NOT NULL")

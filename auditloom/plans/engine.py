@@ -68,11 +68,11 @@ class Audit:
     @cached_property
     def labelled(self) -> DataFrame:
         fields = tracing.default_fields(self.papers).unionByName(tracing.ledger_fields(self.leaves)).distinct()
-        return self._kept(tracing.labelled(self.numbers, self.tables, fields))
+        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, fields))
 
     @cached_property
     def result_values(self) -> DataFrame:
-        return self._kept(tracing.labelled(self.numbers, self.tables, tracing.default_fields(self.papers)))
+        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, tracing.default_fields(self.papers)))
 
     @cached_property
     def ledger_trace(self) -> DataFrame:
@@ -84,34 +84,54 @@ class Audit:
 
     @cached_property
     def findings(self) -> DataFrame:
-        """(doc_id, check, line, column_start, column_end) of the checks; documents without a ledger have no finding of its trace.
-        What the event's template asks for is no finding: the reference judges that only for papers of the event."""
+        """(doc_id, check, severity, line, column_start, column_end, expected, observed, evidence_path) of all checks.
+
+        Documents without a ledger have no finding of its trace. A finding about a line of a ledger has no line of the
+        paper; its evidence_path holds the ledger's."""
         none = F.lit(None).cast("int")
-        at = lambda d, check, line="line", a=none, b=none: d.select("doc_id", F.lit(check).alias("check"), F.col(line).cast("int").alias("line"), a.alias("column_start"), b.alias("column_end"))
         logged = self.records.select("doc_id").distinct()
-        span = {"a": F.col("column_start"), "b": F.col("column_end")}
+        text = F.concat_ws
+
+        def at(rows: DataFrame, check: str, severity: str, expected, observed, path=F.lit("paper"), line=F.col("line"), span: bool = False) -> DataFrame:
+            a, b = (F.col("column_start"), F.col("column_end")) if span else (none, none)
+            return rows.select(
+                "doc_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"), line.cast("int").alias("line"), a.cast("int").alias("column_start"), b.cast("int").alias("column_end"),
+                expected.alias("expected"), observed.alias("observed"), path.alias("evidence_path"),
+            )
+
+        said = text(" ", F.concat("metric", F.lit("="), "normalized"), F.concat(F.lit("for "), "trial"))
+        unfair = evidence.fairness(self.sentences, ledger.metric_values(self.ledgers))
+        wrong = F.array_compact(F.array(
+            F.when(~F.col("named_baseline"), F.struct(F.lit("the baseline by name").alias("e"), F.lit("none").alias("o"))),
+            F.when(F.col("metrics") != 1, F.struct(F.lit("one metric of baseline and candidate").alias("e"), F.concat(F.col("metrics").cast("string"), F.lit(" metrics")).alias("o")))
+            .when(~F.col("confirmed"), F.struct(F.lit("a successful confirmation of the metric").alias("e"), F.lit("none").alias("o")))
+            .when(~F.col("supported"), F.struct(F.lit("a candidate and confirmations better than the baseline").alias("e"), F.lit("they are not").alias("o"))),
+        ))
+        unfair = unfair.select("doc_id", "line", "column_start", "column_end", F.explode(wrong).alias("w"))
         parts = [
-            at(self.ledger_trace.where("NOT matched").join(logged, "doc_id", "left_semi"), "ledger-trace", **span),
-            at(tracing.consistency(self.result_values).where("NOT matched"), "internal-consistency"),
-            at(self.arithmetic.where("NOT matched"), "arithmetic"),
-            at(evidence.fairness(self.sentences, ledger.metric_values(self.ledgers)).where("NOT named_baseline OR metrics != 1 OR NOT confirmed OR NOT supported"), "baseline-fairness", a=F.col("column_start")),
-            at(sanitation.instructions(self.raw), "injection-scan"),
-            at(audits.broken_references(self.lines), "cross-references"),
-            at(audits.artifacts(self.lines), "manuscript-artifacts"),
-            evidence.omitted_failures(self.lines, self.leaves).where("NOT disclosed").select("doc_id", F.lit("negative-evidence").alias("check"), none.alias("line"), none.alias("column_start"), none.alias("column_end")),
+            at(self.ledger_trace.where("NOT matched").join(logged, "doc_id", "left_semi"), "ledger-trace", "high", F.concat(F.lit("one of "), F.col("candidates").cast("string"), F.lit(" logged values")), said, F.lit("ledger"), span=True),
+            at(ledger.malformed(self.ledgers), "ledger-trace", "high", F.lit("one JSON object"), F.col("problem"), text(":", "path", F.col("line").cast("string")), line=none),
+            at(tracing.consistency(self.result_values).where("NOT matched"), "internal-consistency", "high", text(", ", "in_tables"), F.concat("metric", F.lit("="), "shown"), F.lit("paper tables"), span=True),
+            at(self.arithmetic.where("NOT matched"), "arithmetic", "high", F.col("expected").cast("string"), F.concat("label", F.lit(" "), "display"), F.lit("paper"), span=True),
+            at(unfair, "baseline-fairness", "high", F.col("w.e"), F.col("w.o"), F.lit("ledger"), span=True),
+            at(sanitation.instructions(self.raw), "injection-scan", "high", F.lit("no instruction to reviewers"), F.col("phrase")),
+            at(audits.broken_references(self.lines), "cross-references", "medium", F.lit("a reference that leads somewhere"), F.col("snippet")),
+            at(audits.artifacts(self.lines), "manuscript-artifacts", "medium", F.lit("no leftover of writing"), F.col("snippet")),
+            at(evidence.omitted_failures(self.lines, self.leaves).where("NOT disclosed"), "negative-evidence", "high", F.lit("a word on failed trials"), F.col("status"), F.lit("ledger"), line=none),
+            at(audits.template_findings(self.papers, self.lines, self.sections, self.placed, logged), "template-compliance", "medium", F.col("expected"), F.col("observed")),
         ]
         if self.registry is not None:
             status = audits.citation_status(audits.citations(self.lines), self.registry)
-            parts.append(at(audits.wrong_citations(status), "citation-existence"))
+            parts.append(at(audits.wrong_citations(status), "citation-existence", "error", F.coalesce("expected_title", F.concat(F.lit("a record of "), "identifier")), F.coalesce("title", "status"), F.lit("registry"), span=True))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return self._kept(out)
+        return self._kept(evaluation.numbered(out))
 
     # results
     @cached_property
     def verdicts(self) -> DataFrame:
-        return claims.verdicts(self.claims, self.findings, self.ledger_trace.select("doc_id", "number_no", "matched"), self.arithmetic.select("doc_id", "line", "matched"))
+        return claims.verdicts(self.claims, self.findings, self.ledger_trace.select("doc_id", "number_no", "matched", "evidence"), self.arithmetic.select("doc_id", "line", "metric", "matched"))
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -20,7 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def papers(spark: SparkSession, folder: str, column: str = "analysis_text") -> DataFrame:
     """(doc_id, text): each paper once; the deliveries of a paper have one text."""
-    return table(spark, folder, "prepared_papers").groupBy(F.col("paper_id").alias("doc_id")).agg(F.max(column).alias("text"))
+    rows = table(spark, folder, "prepared_papers").select(F.col("paper_id").alias("doc_id"), F.col(column).alias("text"))
+    return rows.groupBy("doc_id").agg(F.first("text", ignorenulls=True).alias("text"))
 
 
 def ledgers(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +32,7 @@ def ledgers(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit(spark: SparkSession, folder: str) -> Audit:
     registry = table(spark, folder, "citation_registry").select("cite_key", "cite_status", "cite_title")
-    return Audit(papers(spark, folder), ledgers(spark, folder), registry, sanitize=False)
+    return Audit(papers(spark, folder, "raw_text"), ledgers(spark, folder), registry)
 
 
 # problem 2
@@ -94,7 +95,7 @@ def table_cells(spark, folder):
 
 
 def number_tokens(spark, folder):
-    return audit(spark, folder).numbers.drop("context", "title")
+    return audit(spark, folder).numbers
 
 
 def number_kinds(spark, folder):
@@ -349,7 +350,7 @@ def finding_leads(spark, folder):
 def grounded_comments(spark, folder):
     """Comments made from verdicts and findings: which of them rest on something."""
     own = audit(spark, folder)
-    found = evaluation.numbered(own.findings).checkpoint()
+    found = own.findings
     none = F.lit(None).cast("int")
     about = own.verdicts.checkpoint()
     drafts = about.select("doc_id", F.col("claim_no").alias("comment_no"), F.when(F.col("label") == "supported", "praise").otherwise("criticism").alias("stance"), "claim_no", none.alias("finding_no")).unionByName(
@@ -371,7 +372,7 @@ def topic_terms(spark, folder):
 
 
 def similar_titles(spark, folder):
-    """Registry titles against each other: the three most alike, by shared words; every title whose key ends in 0 is a question."""
+    """Registry titles against each other: the three most alike, by shared words."""
     t = table(spark, folder, "citation_registry").where("cite_title IS NOT NULL").groupBy(F.col("cite_key").alias("id")).agg(F.max("cite_title").alias("t"))
     words = t.select("id", F.array_distinct(prior_art.tokens(F.col("t"))).alias("words"))
     found = prior_art.similar(words, words, 0.1, 4)

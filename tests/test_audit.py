@@ -1,6 +1,6 @@
 """The whole audit on small papers with known faults."""
 
-from auditloom.operators import audits, evaluation, evidence, ledger, panel, prior_art, sanitation, tracing
+from auditloom.operators import audits, cleanup, evaluation, evidence, ledger, panel, prior_art, sanitation, tracing
 from auditloom.operators.manuscript import F
 from auditloom.plans.engine import Audit
 
@@ -38,7 +38,10 @@ def test_clean_paper(spark):
     assert own.ledger_trace.where("NOT matched").count() == 0 and own.ledger_trace.count() == 3
     assert sorted((r["label"], r["matched"]) for r in own.arithmetic.collect()) == [("absolute_delta", True), ("relative_improvement", True)]
     checks = {r["check"] for r in own.findings.select("check").distinct().collect()}
-    assert checks == {"citation-existence", "manuscript-artifacts", "negative-evidence"}
+    # lines 5 and 6 of the ledger hold no record; the paper has a ledger, so the event's sections are asked for
+    assert checks == {"citation-existence", "ledger-trace", "manuscript-artifacts", "negative-evidence", "template-compliance"}
+    malformed = own.findings.where("check = 'ledger-trace'").collect()
+    assert {(r["line"], r["evidence_path"], r["observed"]) for r in malformed} == {(None, "e.jsonl:5", "invalid JSON"), (None, "e.jsonl:6", "not an object")}
     labels = {r["label"] for r in own.verdicts.collect()}
     assert "supported" in labels
     assert own.digests.count() == 1
@@ -47,7 +50,7 @@ def test_clean_paper(spark):
 def test_faults_are_found(spark):
     own = audit(spark, delta="4.0", rel="17.14", prose="74.0")
     checks = {r["check"]: r["n"] for r in own.findings.groupBy("check").agg(F.count("*").alias("n")).collect()}
-    assert checks["arithmetic"] == 2 and checks["internal-consistency"] == 1 and checks["ledger-trace"] == 1
+    assert checks["arithmetic"] == 2 and checks["internal-consistency"] == 1 and checks["ledger-trace"] == 3
     assert own.verdicts.where("label = 'contradicted'").count() >= 2
     again = evaluation.changed(own.digests, audit(spark).digests)
     assert [r["doc_id"] for r in again.collect()] == [1]
@@ -152,3 +155,70 @@ def test_instructions_in_other_forms_of_letters(spark):
     papers = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = sanitation.instructions(papers).select("doc_id", "phrase").distinct().collect()
     assert {r["doc_id"] for r in found} == {0, 1, 2, 4} and len({r["phrase"] for r in found}) == 1
+
+
+def _audit(spark, text, raws=(), registry=None):
+    papers = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    return Audit(papers, spark.createDataFrame([(1, "log.jsonl", n, r) for n, r in enumerate(raws, 1)], "doc_id int, path string, line int, raw string"), registry)
+
+
+def test_a_finding_contradicts_only_what_it_overlaps(spark):
+    text = "# Gates\n\n## Results\nBaseline perplexity was 21.5 in our runs. Candidate-3 reached a perplexity of 17.0 in the end."
+    own = _audit(spark, text, ['{"trial": "baseline", "status": "keep", "perplexity": 30.25}', '{"trial": "candidate-3", "status": "keep", "perplexity": 17.0}'])
+    got = {r["claim_no"]: r for r in own.verdicts.where("type IN ('result', 'arithmetic')").collect()}
+    assert [got[n]["label"] for n in sorted(got)] == ["contradicted", "supported"]
+    first, second = (got[n] for n in sorted(got))
+    found = own.findings.where("check = 'ledger-trace'").first()
+    assert first["evidence"] == [f"finding-{found['finding_no']:03d}"] and second["evidence"] == ["log.jsonl:2#perplexity"] and first["reason"] and second["reason"]
+    assert found["column_end"] >= found["column_start"] > 1 and found["severity"] == "high" and found["observed"].startswith("perplexity=21.5")
+
+
+def test_a_ratio_stands_where_its_number_stands(spark):
+    text = "# Gates\n\nIt went from 40 to 50\nwith a gain of 30% in all runs, and\nnothing more."
+    row = _audit(spark, text).arithmetic.first()
+    assert (row["line"], row["column_start"], row["column_end"], row["matched"]) == (4, 16, 17, False)
+
+
+def test_values_of_any_depth(spark):
+    deep = '{"trial": "t", "status": "keep", ' + "".join(f'"l{n}": {{' for n in range(9)) + '"list": [1, {"accuracy": 71.50}, "x", null, true]' + "}" * 9 + "}"
+    rows = {r["field"]: r for r in ledger.leaves(_audit(spark, "x", [deep, "[]"]).ledgers).collect()}
+    path = ".".join(f"l{n}" for n in range(9)) + ".list"
+    assert (rows[f"{path}[1].accuracy"]["number"], rows[f"{path}[1].accuracy"]["parent"], rows[f"{path}[1].accuracy"]["name"]) == (71.5, "list", "accuracy")
+    assert rows[f"{path}[0]"]["number"] == 1.0 and rows[f"{path}[2]"]["value"] == "x" and rows[f"{path}[4]"]["kind"] == "BOOLEAN" and f"{path}[3]" in rows
+
+
+def test_marks_nested_in_a_table(spark):
+    row = spark.range(1).select(cleanup.cells_without_emphasis(F.lit("| ____x____ |")).alias("r")).first()
+    assert row["r"] == "| x |"
+
+
+def test_citations_that_only_an_authority_can_deny(spark):
+    text = "See [1912.00001], doi:10.1000/xyz123 and [10.1000/xyz123](https://doi.org/10.1000/xyz123)."
+    registry = spark.createDataFrame([("1912.00001", "not-found", None), ("DOI:10.1000/xyz123", "not-found", None)], "cite_key string, cite_status string, cite_title string")
+    rows = _audit(spark, text, registry=registry).findings.where("check = 'citation-existence'").collect()
+    assert [r["expected"] for r in rows] == ["a record of 1912.00001"]
+
+
+def test_template_of_the_event(spark):
+    full = "# T\n## Research Spec\nx\n## Self-Review\n- [q] fine\npages: 9\n"
+    rows = {(r["line"], r["observed"]) for r in _audit(spark, full).findings.where("check = 'template-compliance'").collect()}
+    assert (6, "9") in rows and (5, "q") in rows
+    fed = {r["observed"] for r in _audit(spark, full.replace("pages: 9", "a\fb\fc\fd\fe")).findings.where("check = 'template-compliance'").collect()}
+    assert "5" in fed
+    assert _audit(spark, "# T\npages: 9\n").findings.where("check = 'template-compliance'").count() == 0
+
+
+def test_promises_met_inside_longer_words(spark):
+    def broken(text):
+        return [r["line"] for r in audits.broken_promises(_audit(spark, text).lines).collect()]
+
+    assert broken("We further report robustness checks of lattices.\nA superlattices-like grid.") == []
+    assert broken("We further report robustness checks of lattices.\nA grid.") == [1]
+
+
+def test_many_matches_on_one_line(spark):
+    from auditloom.operators import manuscript
+
+    text = " ".join(f"n{i} {i}.5%" for i in range(3000))
+    rows = spark.createDataFrame([(1, text)], "doc_id int, text string").select(F.explode(manuscript.matches(F.col("text"), "\\d+\\.\\d+%")).alias("m")).select("m.*").collect()
+    assert len(rows) == 3000 and all(text[r["column_start"] - 1 : r["column_end"]] == r["token"] for r in rows)
