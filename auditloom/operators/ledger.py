@@ -108,10 +108,10 @@ def records(ledger: DataFrame) -> DataFrame:
     return rows.withColumn("role", F.when(baseline, "baseline").when(confirmation, "confirmation").when(~failed, "candidate").otherwise("failed"))
 
 
-def metric_values(ledger: DataFrame) -> DataFrame:
+def metric_values(ledger: DataFrame, leaves_: DataFrame | None = None, records_: DataFrame | None = None) -> DataFrame:
     """(doc_id, path, line, metric, number, trial, status, role): numeric leaves by name, but for fields that are no metrics."""
-    numeric = leaves(ledger).where("number IS NOT NULL").select("doc_id", "path", "line", label(F.col("name")).alias("metric"), "number")
-    return numeric.where(~F.col("metric").isin(*P.NON_METRIC_FIELDS) & (F.col("metric") != "")).join(records(ledger), ["doc_id", "path", "line"])
+    numeric = (leaves(ledger) if leaves_ is None else leaves_).where("number IS NOT NULL").select("doc_id", "path", "line", label(F.col("name")).alias("metric"), "number")
+    return numeric.where(~F.col("metric").isin(*P.NON_METRIC_FIELDS) & (F.col("metric") != "")).join(records(ledger) if records_ is None else records_, ["doc_id", "path", "line"])
 
 
 def scope(ledger: DataFrame) -> DataFrame:

@@ -40,9 +40,13 @@ def fence_spans(lines: Column) -> Column:
 
 def lines(papers: DataFrame) -> DataFrame:
     """(doc_id, line, text, offset, fenced): 1-based lines with 0-based code-point offsets."""
-    split = papers.where("text IS NOT NULL").select("doc_id", F.split(F.regexp_replace("text", "\\n\\z", ""), "\n", -1).alias("l"))
-    rows = split.select("doc_id", fence_spans(F.col("l")).alias("spans"), F.posexplode("l").alias("at", "text"))
-    rows = rows.select("doc_id", (F.col("at") + 1).alias("line"), "text", F.exists("spans", lambda s: (F.col("at") + 1).between(s["a"], s["b"])).alias("fenced"))
+    text = F.col("text")
+    bare = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    split = papers.where("text IS NOT NULL").select("doc_id", F.split(bare, "\n", -1).alias("l"))
+    inside = lambda x, i: F.exists(x["spans"], lambda s: (i + 1).between(s["a"], s["b"]))
+    # an array of one binds lines and spans, so that the spans are found once for a text and not once for a line
+    each = F.transform(F.array(F.struct("l", fence_spans(F.col("l")).alias("spans"))), lambda x: F.transform(x["l"], lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), inside(x, i).alias("fenced"))))
+    rows = split.select("doc_id", F.inline(F.flatten(each)))
     offset = F.coalesce(F.sum(F.length("text") + 1).over(_before()), F.lit(0))
     return rows.withColumn("offset", offset.cast("long")).withColumn("text", F.regexp_replace("text", "\\r$", ""))
 
@@ -89,9 +93,9 @@ def sections(lines_: DataFrame) -> DataFrame:
     return opening.unionByName(nested)
 
 
-def section_of_lines(lines_: DataFrame) -> DataFrame:
+def section_of_lines(lines_: DataFrame, sections_: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, text, offset, fenced, section, title): the last section that began at or before the line."""
-    starts = sections(lines_).select("doc_id", F.coalesce("heading_line", F.lit(1)).alias("line"), F.struct("section", "title").alias("s"))
+    starts = (sections(lines_) if sections_ is None else sections_).select("doc_id", F.coalesce("heading_line", F.lit(1)).alias("line"), F.struct("section", "title").alias("s"))
     return lines_.join(starts, ["doc_id", "line"], "left").withColumn("s", F.last("s", True).over(_before(0))).select(*lines_.columns, F.col("s.section").alias("section"), F.col("s.title").alias("title"))
 
 

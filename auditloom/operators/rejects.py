@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.session import checkpoint_dir
+
 REASONS = ("syntax", "columns", "value")
 FIELDS = ("trial", "status", "accuracy")
 STATUSES = ("keep", "discard", "crash")
 #: A header is copied this often, and lines pick a copy, so that one huge file spreads over tasks.
 SALTS = 16
-_INNER = "\ue001"  # stands for a separator inside quotes while a line is cut
+_MARK = "\ue001"  # with b behind it stands for a separator inside quotes while a line is cut, with a for a mark of the line's own
 
 _DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -48,11 +50,12 @@ def quoting_ok(line: Column, sep: Column) -> Column:
 def cells_of(line: Column, sep: Column) -> Column:
     """The fields of a line whose quoting holds, unquoted and without surrounding spaces."""
     shielded = F.array_join(
-        F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 1, F.replace(p, sep, F.lit(_INNER))).otherwise(p)), '"'
+        F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(p, F.lit(_MARK), F.lit(_MARK + "a")), sep, F.lit(_MARK + "b"))).otherwise(p)), '"'
     )
 
     def bare(cell: Column) -> Column:
-        inner = F.replace(F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')), F.lit(_INNER), sep)
+        inner = F.replace(F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')), F.lit(_MARK + "b"), sep)
+        inner = F.replace(inner, F.lit(_MARK + "a"), F.lit(_MARK))
         return F.trim(F.when(cell.startswith('"'), inner).otherwise(cell))
 
     plain = F.transform(F.split(line, F.concat(F.lit("["), sep, F.lit("]")), -1), lambda c: F.trim(c))
@@ -151,16 +154,22 @@ def parse_lines(ledger: DataFrame) -> DataFrame:
     return _delimited(lines).unionByName(_json(lines))
 
 
-def rejected(ledger: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+def checked(ledger: DataFrame) -> DataFrame:
+    """(line_id, column, value, kind, reason): every parsed line as its cells, each with the reason that it gives, or null;
+    a line whose cells can't be judged is one row with its reason and no column. The lines are parsed once."""
+    each = parse_lines(ledger).select("line_id", "gate", F.explode_outer(F.when(F.col("gate").isNull(), F.col("cells"))).alias("c")).select("line_id", "gate", "c.*")
+    ruled = each.join(F.broadcast(rule_table(ledger.sparkSession)), ["column", "kind"], "left")
+    return ruled.select("line_id", "column", "value", "kind", F.coalesce("gate", F.when(F.col("rule").isNotNull() & ~_holds(), "value")).alias("reason"))
+
+
+def first_reason(reason: Column) -> Column:
+    """The first reason of a group that applies; null where none does."""
+    return F.min_by(reason, F.when(reason.isNotNull(), F.array_position(F.array(*map(F.lit, REASONS)), reason)))
+
+
+def rejected(ledger: DataFrame) -> DataFrame:
     """(line_id, reason): one row per line that fails, with the first reason that applies."""
-    spark = ledger.sparkSession
-    parsed = parse_lines(ledger) if parsed is None else parsed
-    cells = parsed.where("gate IS NULL").select("line_id", F.explode("cells").alias("c")).select("line_id", "c.*")
-    broken = cells.join(F.broadcast(rule_table(spark)), ["column", "kind"]).where(~_holds())
-    gated = parsed.where("gate IS NOT NULL").select("line_id", F.col("gate").alias("reason"))
-    errors = gated.unionByName(broken.select("line_id", F.lit("value").alias("reason")))
-    order = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
-    return errors.groupBy("line_id").agg(F.min_by("reason", order).alias("reason"))
+    return checked(ledger).where("reason IS NOT NULL").groupBy("line_id").agg(first_reason(F.col("reason")).alias("reason"))
 
 
 def _holds() -> Column:
@@ -177,17 +186,12 @@ def _holds() -> Column:
 
 
 def experiments(ledger: DataFrame) -> DataFrame:
-    """(line_id, trial, status, accuracy) of the valid lines, typed; the lines that an anti-join with the rejects leaves."""
-    parsed = parse_lines(ledger)
-    wide = (
-        parsed.where("gate IS NULL")
-        .select("line_id", F.map_from_entries(F.filter(F.transform("cells", lambda c: F.struct(c["column"], c["value"])), lambda c: c["column"].isin(*FIELDS))).alias("m"))
-        .select(
-            "line_id",
-            F.trim(F.element_at("m", "trial")).alias("trial"),
-            F.lower(F.element_at("m", "status")).alias("status"),
-            F.element_at("m", "accuracy").try_cast("double").alias("accuracy"),
-        )
-        .dropDuplicates(["line_id"])
-    )
-    return wide.join(rejected(ledger, parsed), "line_id", "left_anti")
+    """(line_id, trial, status, accuracy) of the valid lines, typed; the lines that an anti-join with the rejects leaves.
+
+    Cells and rejects come from one parse, written to the shared folder of checkpoints."""
+    checkpoint_dir(ledger.sparkSession)
+    cells = checked(ledger).where(F.col("reason").isNotNull() | F.col("column").isin(*FIELDS)).checkpoint()
+    wrong = cells.where("reason IS NOT NULL").select("line_id").distinct()
+    one = lambda name: F.max(F.when(F.col("column") == name, F.col("value")))
+    wide = cells.where("reason IS NULL").join(wrong, "line_id", "left_anti").groupBy("line_id").agg(*[one(n).alias(n) for n in FIELDS])
+    return wide.select("line_id", F.trim("trial").alias("trial"), F.lower("status").alias("status"), F.col("accuracy").try_cast("double").alias("accuracy"))

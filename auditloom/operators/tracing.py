@@ -56,7 +56,7 @@ def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, line, field, at, size): where a line names a metric. lines: (doc_id, line, text); names: (doc_id, field, alias).
 
     Words of a line meet the names that begin with them; what follows is compared at that place."""
-    words = lines.select("doc_id", "line", F.lower("text").alias("low"), F.explode(M.matches(F.lower("text"), "[a-z0-9]+")).alias("m"))
+    words = lines.select("doc_id", "line", F.lower("text").alias("low")).select("doc_id", "line", "low", F.explode(M.matches(F.col("low"), "[a-z0-9]+")).alias("m"))
     longest = names.groupBy("doc_id").agg(F.max(F.length("alias")).alias("longest"))
     ahead = words.join(longest, "doc_id").select("doc_id", "line", F.col("m.token").alias("word"), F.col("m.column_start").alias("at"), F.substring("low", F.col("m.column_start"), F.col("longest") + 1).alias("ahead"))
     met = ahead.join(names.withColumn("word", F.regexp_extract("alias", "^[a-z0-9]+", 0)), ["doc_id", "word"]).where(F.startswith("ahead", F.col("alias")))
@@ -64,13 +64,24 @@ def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
     return met.where(free).select("doc_id", "line", "field", "at", F.length("alias").alias("size"))
 
 
-def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: DataFrame) -> DataFrame:
+def names_of(fields: DataFrame) -> DataFrame:
+    return fields.select("doc_id", "field", F.explode(aliases(last_name(F.col("field")))).alias("alias")).distinct()
+
+
+def result_mentions(placed: DataFrame, fields: DataFrame) -> DataFrame:
+    """The mentions in lines with numbers that tell of results."""
+    text = F.col("text")
+    told = placed.where(text.rlike("\\d") & ~text.rlike(P.NON_RESULT_CONTEXT) & (F.coalesce(F.col("title"), F.lit("")).rlike(P.RESULT_SECTION) | text.rlike(P.RESULT_LANGUAGE)))
+    return mentions(told.select("doc_id", "line", "text"), names_of(fields))
+
+
+def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: DataFrame, spoken: DataFrame) -> DataFrame:
     """(doc_id, number_no, metric, source, trial, normalized, kind, line, column_start, column_end): numbers that a metric names.
 
-    fields: (doc_id, field), the metrics that each document may name. In a table the column's
+    fields: (doc_id, field), the metrics that each document may name; spoken: result_mentions of these or more. In a table the column's
     header names it, in prose of results the nearest mention within NEAR characters."""
     usable = numbers.where("NOT ordinal").select("doc_id", "number_no", "normalized", "kind", "line", "column_start", "column_end", "table_no")
-    names = fields.select("doc_id", "field", F.explode(aliases(last_name(F.col("field")))).alias("alias")).distinct()
+    names = names_of(fields)
     cells = M.table_cells(tables).select("doc_id", "table_no", "line", "column_no", "header", "cell")
     row = tables.where("kind = 'row'").select("doc_id", "table_no", "line", trial_of(F.array_join("cells", " ")).alias("row_trial"), F.lit(True).alias("in_row"))
     own = usable.where("table_no IS NOT NULL").join(cells, ["doc_id", "table_no", "line"]).where(F.replace(F.translate("cell", "−", "-"), F.lit(","), F.lit("")).contains(F.col("normalized")))
@@ -78,8 +89,7 @@ def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: D
     known = names.select("doc_id", F.col("alias").alias("metric")).distinct()
     by_table = first.withColumn("metric", label(last_name(F.col("header")))).join(known, ["doc_id", "metric"], "left_semi").select("doc_id", "number_no", "metric", F.lit("table").alias("source"))
     text = F.col("text")
-    told = placed.where(text.rlike("\\d") & ~text.rlike(P.NON_RESULT_CONTEXT) & (F.coalesce(F.col("title"), F.lit("")).rlike(P.RESULT_SECTION) | text.rlike(P.RESULT_LANGUAGE)))
-    spoken = mentions(told.select("doc_id", "line", "text"), names)
+    spoken = spoken.join(fields, ["doc_id", "field"], "left_semi")
     prose = usable.join(by_table.select("doc_id", "number_no"), ["doc_id", "number_no"], "left_anti")
     piece = lambda c: F.floor(c / PIECE).cast("int")
     a = prose.withColumn("piece", F.explode(F.sequence(piece(F.col("column_start") - NEAR), piece(F.col("column_end") + NEAR))))

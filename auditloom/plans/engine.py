@@ -8,37 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import audits, claims, evaluation, evidence, ledger, manuscript, sanitation, tracing
-from auditloom.session import checkpoint_dir
+from auditloom.session import kept
 
 
 class Audit:
     """papers: (doc_id, text), raw or sanitized; ledgers: (doc_id, path, line, raw); registry: (cite_key, cite_status, cite_title).
+    raw: (doc_id, text) as delivered, which is scanned for instructions, where papers holds cleaned texts.
 
     Every stage is a table that is planned when it is asked for. What several stages read is
-    written once to the shared folder of checkpoints, which also keeps the plans short."""
+    written once, as Parquet, to the shared folder of checkpoints, which also keeps the plans short."""
 
-    def __init__(self, papers: DataFrame, ledgers: DataFrame, registry: DataFrame | None = None, sanitize: bool = True) -> None:
-        self.raw = papers
+    def __init__(self, papers: DataFrame, ledgers: DataFrame, registry: DataFrame | None = None, sanitize: bool = True, raw: DataFrame | None = None) -> None:
+        self.raw = papers if raw is None else raw
         self.papers = papers.select("doc_id", sanitation.sanitized(F.col("text")).alias("text")) if sanitize else papers
         self.ledgers = ledgers
         self.registry = registry
 
     def _kept(self, frame: DataFrame) -> DataFrame:
-        checkpoint_dir(frame.sparkSession)
-        return frame.checkpoint()
+        return kept(frame)
 
     # parsing
     @cached_property
     def lines(self) -> DataFrame:
-        return manuscript.lines(self.papers)
+        return self._kept(manuscript.lines(self.papers))
 
     @cached_property
     def sections(self) -> DataFrame:
-        return manuscript.sections(self.lines)
+        return self._kept(manuscript.sections(self.lines))
 
     @cached_property
     def placed(self) -> DataFrame:
-        return self._kept(manuscript.section_of_lines(self.lines))
+        return self._kept(manuscript.section_of_lines(self.lines, self.sections))
 
     @cached_property
     def tables(self) -> DataFrame:
@@ -50,11 +50,11 @@ class Audit:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return manuscript.loose_sentences(self.placed)
+        return self._kept(manuscript.loose_sentences(self.placed))
 
     @cached_property
     def claims(self) -> DataFrame:
-        return claims.claims(self.placed, self.tables, self.numbers)
+        return self._kept(claims.claims(self.placed, self.tables, self.numbers))
 
     # evidence
     @cached_property
@@ -63,16 +63,23 @@ class Audit:
 
     @cached_property
     def records(self) -> DataFrame:
-        return ledger.records(self.ledgers)
+        return self._kept(ledger.records(self.ledgers))
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        return self._kept(tracing.default_fields(self.papers).unionByName(tracing.ledger_fields(self.leaves)).distinct())
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self._kept(tracing.result_mentions(self.placed, self.fields))
 
     @cached_property
     def labelled(self) -> DataFrame:
-        fields = tracing.default_fields(self.papers).unionByName(tracing.ledger_fields(self.leaves)).distinct()
-        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, fields))
+        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, self.fields, self.mentions))
 
     @cached_property
     def result_values(self) -> DataFrame:
-        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, tracing.default_fields(self.papers)))
+        return self._kept(tracing.labelled(self.numbers, self.placed, self.tables, tracing.default_fields(self.papers), self.mentions))
 
     @cached_property
     def ledger_trace(self) -> DataFrame:
@@ -100,7 +107,7 @@ class Audit:
             )
 
         said = text(" ", F.concat("metric", F.lit("="), "normalized"), F.concat(F.lit("for "), "trial"))
-        unfair = evidence.fairness(self.sentences, ledger.metric_values(self.ledgers))
+        unfair = evidence.fairness(self.sentences, ledger.metric_values(self.ledgers, self.leaves, self.records))
         wrong = F.array_compact(F.array(
             F.when(~F.col("named_baseline"), F.struct(F.lit("the baseline by name").alias("e"), F.lit("none").alias("o"))),
             F.when(F.col("metrics") != 1, F.struct(F.lit("one metric of baseline and candidate").alias("e"), F.concat(F.col("metrics").cast("string"), F.lit(" metrics")).alias("o")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.operators import audits, claims, cleanup, evaluation, evidence, ledger, manuscript, panel, prior_art, rejects, sanitation, tracing, visibility
 from auditloom.plans.engine import Audit
 from auditloom.plans.oracles import ORACLES
-from auditloom.session import checkpoint_dir
+from auditloom.session import kept, scratch
 from auditloom.sources.tables import table
 from auditloom.streaming import ledgers as stream
 
@@ -32,7 +31,7 @@ def ledgers(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit(spark: SparkSession, folder: str) -> Audit:
     registry = table(spark, folder, "citation_registry").select("cite_key", "cite_status", "cite_title")
-    return Audit(papers(spark, folder, "raw_text"), ledgers(spark, folder), registry)
+    return Audit(papers(spark, folder), ledgers(spark, folder), registry, sanitize=False, raw=papers(spark, folder, "raw_text"))
 
 
 # problem 2
@@ -246,7 +245,7 @@ def improvement_claims(spark, folder):
 
 def baseline_fairness(spark, folder):
     own = audit(spark, folder)
-    return evidence.fairness(own.sentences, ledger.metric_values(own.ledgers))
+    return evidence.fairness(own.sentences, ledger.metric_values(own.ledgers, own.leaves, own.records))
 
 
 def omitted_failures(spark, folder):
@@ -352,7 +351,7 @@ def grounded_comments(spark, folder):
     own = audit(spark, folder)
     found = own.findings
     none = F.lit(None).cast("int")
-    about = own.verdicts.checkpoint()
+    about = kept(own.verdicts)
     drafts = about.select("doc_id", F.col("claim_no").alias("comment_no"), F.when(F.col("label") == "supported", "praise").otherwise("criticism").alias("stance"), "claim_no", none.alias("finding_no")).unionByName(
         found.select("doc_id", (F.col("finding_no") + 100_000).alias("comment_no"), F.lit("criticism").alias("stance"), none.alias("claim_no"), "finding_no")
     )
@@ -495,7 +494,7 @@ def twin_scores(spark, folder):
 
 def stream_deliveries(spark, folder):
     """Lines by file that a stream delivers once, counted after it has ended."""
-    out = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    out = scratch(spark, "stream")
     lines = stream.read(spark, f"{folder}/ledger_lines.parque[t]")
     stream.write(stream.once(lines, "400 days"), f"{out}/rows", f"{out}/state").awaitTermination()
     rows = spark.read.schema(stream.SCHEMA).parquet(f"{out}/rows")

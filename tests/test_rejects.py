@@ -124,3 +124,8 @@ def test_empty_and_long(spark):
 def test_one_hot_file_is_spread(spark, quotes):
     rows = [(0, "f.csv", 1, HEAD, None, None)] + [(n, "f.csv", n + 1, "a,keep,1," + '"' * quotes, None, None) for n in range(1, 200)]
     assert len(found(spark, rows)) == (0 if quotes == 2 else 199)
+
+
+def test_private_characters_inside_quotes_stay(spark):
+    rows = spark.createDataFrame([('a,"x\ue001y,z\ue001b\ue001a",c',)], "l string")
+    assert rows.select(rejects.cells_of(rejects.F.col("l"), rejects.F.lit(",")).alias("c")).first()["c"] == ["a", "x\ue001y,z\ue001b\ue001a", "c"]
