@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from auditloom.session import checkpoint_dir, small_batches
 
 GROUP = 50_000
-#: The windows are a list on the driver, of so many at most.
 WINDOWS = 1_000
 
 
@@ -115,15 +114,16 @@ def packed(items: list[int], capacity: int) -> list[int]:
 def containers(documents: DataFrame, windows: DataFrame, path: str | None = None, group: int = GROUP) -> DataFrame:
     """(window_id, container, doc_id, piece, tokens): where each document, or each piece of one that is too large, goes."""
     spark = documents.sparkSession
-    capacities = [(r["window_id"], r["capacity"]) for r in windows.groupBy("window_id").agg(F.max("capacity_tokens").alias("capacity")).where("capacity >= 1 AND window_id IS NOT NULL").limit(WINDOWS + 1).collect()]
-    if len(capacities) > WINDOWS:
-        raise ValueError(f"more than {WINDOWS} windows")
+    sized = windows.groupBy("window_id").agg(F.max("capacity_tokens").cast("int").alias("capacity")).where("capacity >= 1 AND window_id IS NOT NULL").select(F.col("window_id").cast("int").alias("window_id"), "capacity")
     checkpoint_dir(spark)
     small_batches(spark)
     counted = sizes(documents, path or tokenizer_file(spark)).checkpoint()
     groups = max(1, -(-counted.count() // group))
-    listed = F.array(*[F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(c).cast("int").alias("capacity")) for w, c in capacities]) if capacities else F.array().cast("array<struct<window_id:int,capacity:int>>")
-    each = counted.select("doc_id", "tokens", F.inline(listed))
+    # every document goes into every window: the windows are literals, WINDOWS of them in one branch of the plan
+    listed = [F.struct(F.lit(r["window_id"]).alias("window_id"), F.lit(r["capacity"]).alias("capacity")) for r in sized.toLocalIterator()]
+    each = counted.select("doc_id", "tokens", F.inline(F.array(*listed[:WINDOWS]) if listed else F.array().cast("array<struct<window_id:int,capacity:int>>")))
+    for n in range(WINDOWS, len(listed), WINDOWS):
+        each = each.unionByName(counted.select("doc_id", "tokens", F.inline(F.array(*listed[n : n + WINDOWS]))))
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     full = each.where("tokens >= capacity").select(
         "window_id", "doc_id", F.explode(F.sequence(F.lit(1), whole)).alias("piece"), F.col("capacity").alias("tokens")

@@ -7,13 +7,17 @@ and sees the neighbouring characters and how often the word and its corrections
 in the whole corpus. Words are edited once per type, by joins with the counts of all
 words, and line breaks once per type of (left part, mark, right part).
 
-Furniture is found without positions on a page: short lines that stand alone between blank
-lines, without a closing mark, that carry only a page number (folio), or whose wording
-recurs in the record or, with names and numbers taken out, in many records (running).
+Furniture is found by place and wording. Pages end at form feeds and at lines with a page
+number (folio). Lines that stand alone between blank lines, and the EDGE outermost lines of
+a page even where they touch the text, are running lines if they lack a closing mark and
+their wording recurs in the record (lines that stand alone) or, with names and numbers
+taken out, in many records at such places.
 
 Training sample: the LEXICON most frequent words and TRAINING examples at most, with a
-fixed seed. The SKIP most frequent correct words are broadcast to save work; they are
-bounded by that parameter, and words beyond it meet the counts in a shuffled join.
+fixed seed. The SKIP most frequent correct words and a filter of BITS bits over all words
+are broadcast to save work; both are bounded by these parameters and decide nothing: a line
+break without a mark is kept where both parts are trusted words and the whole is no word
+of the corpus, which counts decide in a shuffled join wherever the two can't rule it out.
 
 Defined results: null and empty texts have no noise; a record delivered twice counts
 once; an empty table gives an empty result; further columns are ignored; texts of any
@@ -28,6 +32,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log2
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +43,8 @@ from auditloom.llm.lookalikes import one_width
 from auditloom.session import checkpoint_dir, small_batches
 
 LEXICON, TRAINING, SKIP = 20_000, 8_000, 50_000
+#: Bits of the filter over the words of the corpus, in rows of ROW bits; lines at either edge of a page.
+BITS, ROW, EDGE = 1 << 23, 1 << 13, 2
 #: A word of letters that clean text holds so often is right.
 TRUSTED = 3
 #: A wording must recur in this share of the records to be furniture where it stands once in its own.
@@ -49,7 +56,10 @@ CONFUSIONS = (
 )
 _TOKEN = re.compile(r"[\w@]+(?:\|(?=[a-z])[\w@]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
-_PLAIN = re.compile(r"[\d@]+|r[0-9a-f]{5}")
+_PLAIN = re.compile(r"[\d@]+")
+#: A name of letters and digits: digits that stand for no letter, half of it digits, or hexadecimal digits behind a letter.
+_MIXED = re.compile(r"(?=\w*\d)(?=\w*[^\W\d_])\w+")
+_HEX = re.compile(r"[^\W\d_]?[0-9a-f]{5,}")
 _AT = re.compile(r"^[^\W\d_]+@[^\W\d_]+$|^@[^\W\d_]{2,}$|^[^\W\d_]{2,}@$")
 _MARKS = "-‐\u00ad¬"
 _LEFT = re.compile(rf"([\w@]+)([{_MARKS}]?)\s*$")
@@ -63,9 +73,15 @@ _NUMBERED = re.compile(r"^\s*\d{1,5}\s{2,}|\s{2,}\d{1,5}\s*$")
 _SKIPPED = ("#", "|", "```")
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a token of letters and digits is a name and no misread word."""
+    digits = sum(map(str.isdigit, token))
+    return digits > 0 and (any(d in token for d in "2347") or 2 * digits >= len(token) or bool(_HEX.fullmatch(token)))
+
+
 def words_of(line: str) -> list[str]:
-    """Words of a line that may be misread; numbers, run ids and names with underscores are none."""
-    return [w for w in _TOKEN.findall(line) if "_" not in w and not _PLAIN.fullmatch(w)]
+    """Words of a line that may be misread; numbers, identifiers and names with underscores are none."""
+    return [w for w in _TOKEN.findall(line) if "_" not in w and not _PLAIN.fullmatch(w) and not is_identifier(w)]
 
 
 # furniture
@@ -74,8 +90,7 @@ def words_of(line: str) -> list[str]:
 def shape(line: str) -> str:
     """The wording of a line without numbers and names, in a spelling that misreadings don't change."""
     text = _NUMBERED.sub("", line.strip())
-    text = re.sub(r"\br[0-9a-f]{5}\b", "R", text)
-    text = re.sub(r"\b[A-Z]{4,}-\d+\b", "M", text)
+    text = re.sub(r"\b\w+\b", lambda m: "R" if _MIXED.fullmatch(m[0]) and is_identifier(m[0]) else m[0], text)
     text = re.sub(r"\b[^\W\d_][\w@]*-\d+\b", "N", text)
     text = re.sub(r"\b\d+\b", "#", text)
     text = re.sub(r"\b[A-ZÀ-Þ][a-zß-ſ@0-9]+\b", "N", text)
@@ -89,26 +104,43 @@ def spelled(text: str) -> str:
     return out
 
 
+def _no_furniture(text: str) -> bool:
+    """Headings, tables, fences, numbers of equations and list items."""
+    return text.startswith(_SKIPPED) or bool(re.fullmatch(r"\(\d+(?:\.\d+)?[a-z]?\)", text)) or bool(re.match(r"[-*+]\s|\d+\.\s", text)) and not _FOLIO.fullmatch(text)
+
+
+def _is_folio(text: str) -> bool:
+    return bool(_FOLIO.fullmatch(text)) and not text.endswith(".")
+
+
 def standing_alone(lines: list[str]) -> list[int]:
     """Lines between blank lines that may be furniture."""
     last = len(lines) - 1
-    out = []
-    for k, line in enumerate(lines):
-        text = line.strip()
-        if text and len(text) < 120 and not text.startswith(_SKIPPED) and (k == 0 or not lines[k - 1].strip()) and (k == last or not lines[k + 1].strip()):
-            if re.fullmatch(r"\(\d+(?:\.\d+)?[a-z]?\)", text) or (re.match(r"[-*+]\s|\d+\.\s", text) and not _FOLIO.fullmatch(text)):
-                continue
-            out.append(k)
-    return out
+    blank = [not line.strip() for line in lines]
+    return [k for k, line in enumerate(lines) if not blank[k] and (k == 0 or blank[k - 1]) and (k == last or blank[k + 1]) and not _no_furniture(line.strip())]
+
+
+def page_edges(lines: list[str], alone: list[int]) -> list[int]:
+    """The first and last EDGE lines of each page that touch the text and may be furniture. A page ends at a form feed or at a
+    folio that stands alone; a record without either is one page, whose edges tell nothing."""
+    folios = {k for k in alone if _is_folio(lines[k].strip())}
+    filled = [k for k, line in enumerate(lines) if line.strip()]
+    cuts = [n for n, k in enumerate(filled) if k in folios or "\f" in lines[k]]
+    if not cuts:
+        return []
+    near = {filled[m] for n in cuts for m in range(max(0, n - EDGE), min(len(filled), n + EDGE + 1))}
+    near |= set(filled[:EDGE]) | set(filled[-EDGE:])
+    return sorted(k for k in near - set(alone) if not _no_furniture(lines[k].strip()))
 
 
 def furniture(lines: list[str], common: set[str]) -> dict[int, str]:
     """folio or running, by line."""
     kinds: dict[int, str] = {}
     keys: dict[int, str] = {}
-    for k in standing_alone(lines):
+    alone = standing_alone(lines)
+    for k in alone:
         text = lines[k].strip()
-        if _FOLIO.fullmatch(text) and not text.endswith("."):
+        if _is_folio(text):
             kinds[k] = "folio"
         elif not _CLOSED.search(text) and len(set(text.lower().split())) > 0.25 * len(text.split()):
             keys[k] = spelled(re.sub(r"\s+", " ", _NUMBERED.sub("", text)))
@@ -116,6 +148,9 @@ def furniture(lines: list[str], common: set[str]) -> dict[int, str]:
     for k, key in keys.items():
         if times[key] > 1 and not re.fullmatch(r"[\W_]*[\w ]+[\W_]+|[\W_]+[\w .]+[\W_]*", lines[k].strip()) or shape(lines[k]) in common:
             kinds[k] = "running"
+    for k in page_edges(lines, alone):
+        if not _CLOSED.search(lines[k].strip()) and shape(lines[k]) in common:
+            kinds[k] = "running"
     return kinds
 
 
@@ -153,7 +188,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 inner.update(words_of(line)[1:-1])
                 if "-" in line:
                     inner.update(_COMPOUND.findall(line))
-            shapes.update({shape(lines[k]) for k in standing_alone(lines) if not _CLOSED.search(lines[k].strip())})
+            alone = standing_alone(lines)
+            shapes.update({shape(lines[k]) for k in alone if not _CLOSED.search(lines[k].strip())})
         rows = [("w", w, n, 0) for w, n in clean.items()] + [("w", w, 0, n) for w, n in inner.items()] + [("s", s, n, 0) for s, n in shapes.items()] + [("r", "", records, 0)]
         yield as_batch(rows, ["what", "key", "a", "b"])
 
@@ -339,10 +375,14 @@ def misread_words(words: DataFrame, counts: DataFrame, weights: dict[tuple, floa
     A word of letters that clean text holds TRUSTED times is taken as it is."""
     known = counts.where("what = 'w'").select(F.col("key").alias("word"), F.col("a").alias("clean"), F.col("b").alias("inner"))
     own = words.join(known, "word", "left").select("word", F.coalesce("clean", F.lit(0)).alias("clean"), F.coalesce("inner", F.lit(0)).alias("inner"))
-    own = own.where(~((F.col("clean") >= TRUSTED) & F.col("word").rlike("^\\p{L}+$")) & (F.length("word") < 60))
-    tried = own.mapInPandas(_correction_rows, "word string, clean long, inner long, used array<int>, meant string")
+    own = own.where(~((F.col("clean") >= TRUSTED) & F.col("word").rlike("^\\p{L}+$")))
+    # two edits take at most two characters away, so a word that is longer by more than that than all that are trusted has no correction
+    longest = known.where(f"clean >= {TRUSTED}").agg(F.max(F.length("word"))).first()[0] or 0
+    odd = own.where((F.length("word") > longest + 2) & F.contains("word", F.lit("@"))).select("*", F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("n"))
+    tried = own.where(F.length("word") <= longest + 2).mapInPandas(_correction_rows, "word string, clean long, inner long, used array<int>, meant string")
     met = tried.join(known.where(f"clean >= {TRUSTED}").select(F.col("word").alias("meant"), F.col("clean").alias("n")), "meant", "left")
     met = met.where("n IS NOT NULL OR contains(word, '@')").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = met.select(*odd.columns).unionByName(odd)
     gathered = met.groupBy("word", "clean", "inner").agg(F.collect_list(F.struct("used", "n")).alias("found"))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,10 +403,13 @@ def misread_words(words: DataFrame, counts: DataFrame, weights: dict[tuple, floa
 
 def joined_breaks(breaks: DataFrame, counts: DataFrame, weights: dict[tuple, float]) -> DataFrame:
     """(left, mark, right): the line breaks that the perceptron joins. breaks: the same columns, distinct."""
-    known = counts.where("what = 'w'").select(F.col("key").alias("k"), (F.col("a") + F.col("b")).alias("n"))
-    out = breaks
-    for name, key in (("joined", F.concat("left", "right")), ("compound", F.concat_ws("-", "left", "right")), ("a", F.col("left")), ("b", F.col("right"))):
-        out = out.withColumn("k", key).join(known, "k", "left").withColumn(name, F.coalesce("n", F.lit(0))).drop("k", "n")
+    known = counts.where("what = 'w'").select(F.col("key").alias("k"), (F.col("a") + F.col("b")).alias("n"), "a")
+    asked = F.array(*[F.struct(F.lit(name).alias("as"), key.alias("k")) for name, key in (("joined", F.concat("left", "right")), ("compound", F.concat_ws("-", "left", "right")), ("a", F.col("left")), ("b", F.col("right")))])
+    met = breaks.select("left", "mark", "right", F.inline(asked)).join(known, "k", "left")
+    one = lambda name, column: F.coalesce(F.max(F.when(F.col("as") == name, F.col(column))), F.lit(0))
+    out = met.groupBy("left", "mark", "right").agg(*[one(name, "n").alias(name) for name in ("joined", "compound", "a", "b")], one("a", "a").alias("clean_a"), one("b", "a").alias("clean_b"))
+    trusted = lambda word, n: F.col(word).rlike("^\\p{L}+$") & (F.col(n) >= TRUSTED)
+    out = out.where(~((F.col("mark") == "") & (F.col("joined") == 0) & trusted("left", "clean_a") & trusted("right", "clean_b")))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Perceptron()
@@ -381,9 +424,25 @@ def joined_breaks(breaks: DataFrame, counts: DataFrame, weights: dict[tuple, flo
 # records
 
 
-def _notes(common: set[str], skip: set[str]):
+def word_filter(counts: DataFrame) -> bytes:
+    """One bit of BITS for each word of the corpus; at most BITS / ROW rows reach the driver. What it lacks is no word; what it has may be one."""
+    bit = F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(BITS))
+    rows = counts.where("what = 'w'").select(F.floor(bit / ROW).cast("int").alias("row"), (bit % ROW).cast("int").alias("bit")).groupBy("row").agg(F.collect_set("bit").alias("bits"))
+    out = bytearray(BITS // 8)
+    for r in rows.toLocalIterator():
+        for b in r["bits"]:
+            at = r["row"] * ROW + b
+            out[at >> 3] |= 1 << (at & 7)
+    return bytes(out)
+
+
+def _notes(common: set[str], skip: set[str], known: bytes):
     """Furniture, words to look up and line breaks to decide, by line."""
 
+    def maybe(word: str) -> bool:
+        at = crc32(word.encode("utf-8", "replace")) % BITS
+        return bool(known[at >> 3] >> (at & 7) & 1)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -400,9 +459,9 @@ def _notes(common: set[str], skip: set[str]):
                     if not left or not right:
                         continue
                     a, mark, b = left[1], left[2], right[1]
-                    if "_" in a + b or a.isdigit() or b.isdigit() or len(a) > 60 or len(b) > 60:
+                    if "_" in a + b or a.isdigit() or b.isdigit():
                         continue
-                    if mark or a + b in skip or a not in skip or b not in skip:
+                    if mark or a not in skip or b not in skip or maybe(a + b):
                         ends[k] = (a, mark, b, after)
                         rows.append((field, key, k + 1, "break", a, mark, b, after + 1))
                 starts = {after: k for k, (_, _, _, after) in ends.items()}
@@ -441,7 +500,7 @@ class Repair:
         trusted = words.where(F.col("key").rlike("^\\p{L}+$") & (F.col("a") >= TRUSTED)).orderBy(*first).limit(SKIP)
         skip = {r["key"] for r in trusted.select("key").collect()}
         self.common = common
-        notes = scanned.mapInPandas(_notes(common, skip), _NOTE).distinct()
+        notes = scanned.mapInPandas(_notes(common, skip, word_filter(counts)), _NOTE).distinct()
         checkpoint_dir(scanned.sparkSession)
         self.notes = notes.checkpoint()
         at = ["field_name", "record_id"]

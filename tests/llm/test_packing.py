@@ -76,3 +76,10 @@ def test_pieces_of_long_texts_count_like_the_whole(spark):
     path = P.tokenizer_file(spark)
     text = "the gate fell to 3.5 in run r12. " * 6000
     assert P.count_tokens(text, path) == len(P._encoder(path).encode_ordinary(text))
+
+
+def test_more_windows_than_in_one_branch(spark, monkeypatch):
+    monkeypatch.setattr(P, "WINDOWS", 2)
+    docs = spark.createDataFrame([(n, "word " * n) for n in range(1, 6)], "doc_id long, text string")
+    wins = spark.createDataFrame([(n, 10 * n) for n in range(1, 6)], "window_id int, capacity_tokens int")
+    assert {r["window_id"] for r in P.containers(docs, wins).collect()} == {1, 2, 3, 4, 5}

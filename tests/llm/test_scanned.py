@@ -96,3 +96,30 @@ def test_empty(spark):
     none = spark.createDataFrame([], "field_name string, record_id long, text string")
     own = S.Repair(none, spark.createDataFrame([], "text string"))
     assert own.findings().count() == 0 and own.paragraphs().count() == 0
+
+
+def test_lines_at_the_edge_of_a_page():
+    title = "Proceedings of the Workshop on Gates"
+    page = lambda n: [title, f"the text goes on here in line {n}", "and goes on in another line"] + [f"line {k} of it" for k in range(6)] + ["last words", "", str(n), ""]
+    lines = sum((page(n) for n in range(1, 4)), [])
+    common = {S.shape(title)}
+    found = S.furniture(lines, common)
+    assert {k for k, kind in found.items() if kind == "running"} == {k for k, line in enumerate(lines) if line == title}
+    inside = page(1)[:5] + [title] + page(1)[5:]
+    assert 5 not in S.furniture(inside, common)  # the same words in the middle of a page are text
+    fed = ["first page", "words", title + " of the long name and the further long name that goes on and on for more than a hundred and twenty characters", "\fnext page", "words"]
+    assert S.furniture(fed, {S.shape(fed[2])})[2] == "running"
+
+
+def test_identifiers_of_any_kind():
+    assert all(map(S.is_identifier, ["r12ca6", "rabcd1", "0a043987231f", "A4", "v2", "x86", "run7"])) and not any(map(S.is_identifier, ["rep0rt", "c00kies", "5eed", "word", "tra1ning"]))
+
+
+def test_results_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    clean = spark.createDataFrame([("the models learn gates and the gates learn models of institution and mainline " * 4,)], "text string")
+    text = "the models learn insti\ntution and main\nline of gates and the\ngates learn models of main-\nline and a" + "verylongword" * 12 + "\nends here"
+    pages = spark.createDataFrame([("markdown", 1, text)], "field_name string, record_id long, text string")
+    wide = {tuple(r) for r in S.Repair(pages, clean).findings().collect()}
+    monkeypatch.setattr(S, "SKIP", 1)
+    monkeypatch.setattr(S, "BITS", 1 << 13)
+    assert {tuple(r) for r in S.Repair(pages, clean).findings().collect()} == wide and ("markdown", 1, 1, "hyphen") in wide
