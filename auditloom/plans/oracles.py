@@ -183,3 +183,80 @@ e AS (SELECT unnest(list_filter([CASE WHEN trim(coalesce(cite_key, '')) = '' THE
 t AS (SELECT o_orderkey AS attack, o_orderkey - 1 AS clean FROM orders) SELECT (a.d IS NOT DISTINCT FROM b.d) AS equal, count(*) AS n FROM t LEFT JOIN d a ON a.doc_id = attack LEFT JOIN d b ON b.doc_id = clean GROUP BY 1""",
     "stream_deliveries": "SELECT ledger_path, count(*) AS lines FROM (SELECT DISTINCT ledger_path, line_no, raw_line FROM ledger_lines) GROUP BY 1",
 }
+
+# problem 2: the grammar of RFC 4180 as one pattern for each separator, JSON by the types of its members
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+
+
+def _cells(sep: str) -> str:
+    """Fields of a line, unquoted, without spaces around."""
+    field = _FIELD.replace(",", sep)
+    bare = "CASE WHEN starts_with(c, '\"') THEN replace(substr(c, 2, length(c) - 2), '\"\"', '\"') ELSE c END"
+    return f"list_transform(regexp_extract_all(raw || '{sep}', '(?s)({field}){sep}', 1), lambda c: trim({bare}))"
+
+
+def _line(sep: str) -> str:
+    field = _FIELD.replace(",", sep)
+    return f"regexp_full_match(raw, '(?s){field}(?:{sep}{field})*')"
+
+
+_TAB = "\t"
+_KIND = "json_type(j, '$.{0}')"
+P2 = f"""l AS (SELECT line_id, ledger_path, line_no, raw_line AS raw, CASE WHEN lower(ledger_path) LIKE '%.csv' THEN 'c' WHEN lower(ledger_path) LIKE '%.tsv' THEN 't' ELSE 'j' END AS k FROM ledger_lines),
+d AS (SELECT *, coalesce(CASE k WHEN 'c' THEN {_line(",")} ELSE {_line(_TAB)} END, false) AS ok FROM l WHERE k != 'j'),
+f AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN k = 'c' THEN {_cells(",")} ELSE {_cells(_TAB)} END AS cells FROM d),
+h AS (SELECT ledger_path, arg_min(struct_pack(c := cells), line_id).c AS names FROM f WHERE line_no = 1 GROUP BY 1),
+b AS (SELECT f.line_id, f.ok, f.cells, h.names FROM f LEFT JOIN h USING (ledger_path) WHERE f.line_no IS DISTINCT FROM 1),
+c AS (SELECT line_id, CASE WHEN NOT ok THEN 'syntax' WHEN names IS NULL OR len(cells) != len(names) OR NOT list_has_all(names, ['trial', 'status', 'accuracy']) THEN 'columns' END AS gate,
+  cells[list_position(names, 'trial')] AS trial, cells[list_position(names, 'status')] AS status, cells[list_position(names, 'accuracy')] AS accuracy, true AS tt, true AS st, CASE WHEN cells[list_position(names, 'accuracy')] = '' THEN 'NULL' ELSE 'TEXT' END AS vt FROM b),
+g AS (SELECT line_id, raw, raw IS NOT NULL AND json_valid(raw) AND NOT regexp_matches(raw, ',\\s*[}}\\]]') AS ok FROM l WHERE k = 'j'),
+v AS (SELECT line_id, ok, CASE WHEN ok THEN raw ELSE 'null' END::JSON AS j FROM g),
+w AS (SELECT line_id, CASE WHEN NOT ok THEN 'syntax' WHEN json_type(j) != 'OBJECT' OR {_KIND.format("trial")} IS NULL OR {_KIND.format("status")} IS NULL OR coalesce({_KIND.format("accuracy")}, {_KIND.format("metrics.accuracy")}) IS NULL THEN 'columns' END AS gate,
+  json_extract_string(j, '$.trial') AS trial, json_extract_string(j, '$.status') AS status, CASE WHEN {_KIND.format("accuracy")} IS NOT NULL THEN json_extract_string(j, '$.accuracy') ELSE json_extract_string(j, '$.metrics.accuracy') END AS accuracy,
+  {_KIND.format("trial")} = 'VARCHAR' AS tt, {_KIND.format("status")} = 'VARCHAR' AS st, coalesce({_KIND.format("accuracy")}, {_KIND.format("metrics.accuracy")}) AS vt FROM v),
+a AS (SELECT *, CASE WHEN vt = 'NULL' THEN true WHEN vt IN ('TEXT', 'UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN regexp_full_match(accuracy, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND TRY_CAST(accuracy AS DOUBLE) BETWEEN 0 AND 100 ELSE false END AS fit FROM (SELECT * FROM c UNION ALL SELECT * FROM w)),
+r AS (SELECT *, coalesce(gate, CASE WHEN NOT coalesce(tt AND trim(trial) != '' AND st AND lower(status) IN ('keep', 'discard', 'crash') AND fit, false) THEN 'value' END) AS reason FROM a)"""
+ORACLES |= {
+    "p2_found": f"WITH {P2} SELECT DISTINCT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p2_experiments": f"WITH {P2} SELECT DISTINCT line_id, trim(trial) AS trial, lower(status) AS status, TRY_CAST(accuracy AS DOUBLE) AS accuracy FROM r WHERE reason IS NULL",
+    "variance_unaddressed": f"{BASE}, {TABLES} SELECT DISTINCT doc_id FROM tables WHERE doc_id NOT IN (SELECT doc_id FROM papers WHERE regexp_matches(text, '{_re(P.VARIANCE)}'))",
+    "diverse_sample": "WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents WHERE lang IS NOT NULL), k AS (SELECT lang FROM d ORDER BY turn, lang LIMIT 110) SELECT lang AS category, count(*) AS n FROM k GROUP BY 1",
+    "title_agreement": """WITH t AS (SELECT DISTINCT cite_key, lower(cite_title) AS t FROM citation_registry WHERE cite_title IS NOT NULL), s AS (SELECT cite_key, t, string_split(t, ' ') AS ws FROM t),
+w AS (SELECT cite_key, list_distinct(list_filter(regexp_split_to_array(t, '[^\\pL\\pN_]+'), lambda x: x != '')) AS a, list_distinct(list_filter(regexp_split_to_array(array_to_string(ws[1:greatest(len(ws) - 1, 1)], ' '), '[^\\pL\\pN_]+'), lambda x: x != '')) AS b FROM s)
+SELECT len(a) > 0 AS "whole", len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / greatest(len(a), len(b)) >= 0.9 AS short, count(*) AS n FROM w GROUP BY 1, 2""",
+    "broken_promises": f"""{BASE}, e AS (SELECT *, coalesce(max(regexp_matches(text, '{_re(P.REFERENCES_HEADING)}')::INT) OVER (PARTITION BY doc_id ORDER BY line), 0) AS ended FROM lines), b AS (SELECT doc_id, line, text FROM e WHERE ended = 0),
+q AS (SELECT doc_id, line, regexp_extract(text, '{_re(P.PROMISE)}', 0) AS marker, list_filter(regexp_extract_all(lower(text), '[a-z][a-z-]{{4,}}'), lambda w: w NOT IN ({"'" + "', '".join(P.PROMISE_STOPWORDS) + "'"})) AS ws FROM b WHERE regexp_matches(text, '{_re(P.PROMISE)}')),
+p AS (SELECT doc_id, line, marker, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS tokens FROM q), o AS (SELECT * FROM p WHERE len(tokens) >= 2
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = p.doc_id AND b.line > p.line AND len(list_filter(p.tokens, lambda w: contains(lower(b.text), w))) > 0)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM o) SELECT doc_id, line, marker, array_to_string(tokens[1:8], ' ') AS tokens FROM n WHERE n <= 3""",
+    "table_emphasis": f"""{BASE}, m AS (SELECT doc_id, line, text, replace(replace(text, '| ', '| **'), '**', '') AS t FROM lines WHERE starts_with(text, '|')),
+e AS (SELECT doc_id, line, text, {"regexp_replace(" * 6}t{", '_([^_" + chr(92) + "n]+?)_', '" + chr(92) + "1', 'g')" }"""
+    + ", '_([^_\\n]+?)_', '\\1', 'g')" * 5
+    + """ AS t FROM m) SELECT doc_id, line, sha256(CASE WHEN regexp_matches(text, '^\\s*\\|.*\\|\\s*$') THEN t ELSE replace(text, '| ', '| **') END) AS sha256 FROM e""",
+    "extraction_cleanup": f"""WITH r AS (SELECT conversion_id, '<!-- Start of picture text --> 12 3 4 <!-- End of picture text -->' || chr(10) || 'Copy 28 _._ 4 and 1 **/** 4' || chr(10) || max(markdown) AS m FROM pdf_conversions GROUP BY 1),
+b AS (SELECT conversion_id, m, regexp_replace(m, '{_re(P.PICTURE_TEXT)}', '', 'g') AS bare FROM r),
+t AS (SELECT conversion_id, CASE WHEN length(regexp_replace(bare, '^\\s+|\\s+$', '', 'g')) < 200 THEN m ELSE trim(regexp_replace(regexp_replace(bare, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) || chr(10) END AS t FROM b),
+x AS (SELECT conversion_id, regexp_replace(t, '(\\d)\\s*[_*]+\\s*([.,/·])\\s*[_*]+\\s*(\\d)', '\\1\\2\\3', 'g') AS f FROM t) SELECT conversion_id, length(f)::INTEGER AS chars, contains(f, '28.4') AS decimal, contains(f, 'picture text') AS picture FROM x""",
+}
+
+_CITED = " + ".join(f"len(regexp_extract_all(text, '{_re(p)}'))" for p in (P.NUMERIC_CITE, P.AUTHOR_YEAR, P.ARXIV, P.BRACKET_ARXIV, P.DOI, P.S2_URL, P.CORPUS_ID, P.REGISTRY_MARK))
+POSITIONING = f"""cc AS (SELECT doc_id, sum({_CITED})::BIGINT AS citation_count FROM placed GROUP BY 1),
+rw AS (SELECT DISTINCT p.doc_id FROM placed p JOIN sections s ON p.doc_id = s.doc_id AND p.section = s.section WHERE regexp_matches(s.title, '{_re(P.RELATED_WORK_TITLE)}') AND (s.heading_line IS NULL OR p.line > s.heading_line) AND regexp_matches(p.text, '[^\\s#>*_\\-\\[\\]()]')),
+se AS (SELECT doc_id, unnest(regexp_extract_all(text, '{P.LOOSE_SENTENCE}')) AS s FROM placed WHERE NOT regexp_matches(text, '^\\s*[|#]') AND regexp_matches(text, '\\S')),
+li AS (SELECT doc_id, regexp_matches(s, '{_re(P.NOVELTY)}') OR regexp_matches(s, '{_re(P.SUPERIORITY)}') AS firm, regexp_matches(s, '{_re(P.LOOSE_SUPERIORITY)}') AND NOT regexp_matches(s, '{_re(P.COMPARATOR)}') AS loose FROM se
+  WHERE NOT regexp_matches(s, '{_re(P.NEGATED_CLAIM)}') AND NOT regexp_matches(s, '{_re(P.HYPOTHETICAL_CLAIM)}')),
+cl AS (SELECT doc_id, count_if(firm) AS claims, count_if(NOT firm AND loose) AS loose FROM li GROUP BY 1),
+po AS (SELECT doc_id, rw.doc_id IS NOT NULL AS has_related_work, citation_count, rw.doc_id IS NOT NULL OR citation_count > 0 AS positioned, coalesce(claims, 0) AS claims, coalesce(loose, 0) AS loose FROM cc LEFT JOIN rw USING (doc_id) LEFT JOIN cl USING (doc_id))"""
+_TOLD4 = """base_papers AS (SELECT paper_id AS doc_id, max(analysis_text) AS text FROM prepared_papers GROUP BY 1),
+papers AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '\\[[^\\]\n]*\\]|(?i:related work)', '', 'g') || chr(10) || 'We are the first to try this.' || chr(10) ELSE text END AS text FROM base_papers)"""
+_SPOKEN = "'_' || regexp_replace(regexp_replace(lower({0}), '[^\\pL\\pN]+', '_', 'g'), '^_+|_+$', '', 'g') || '_'"
+ORACLES |= {
+    "positioning": f"{PLACED}, {POSITIONING} SELECT * FROM po",
+    "unpositioned": f"WITH {_TOLD4}, {LINES}, {HEADS}, {SECTIONS}, {POSITIONING} SELECT doc_id FROM po WHERE claims > 0 AND NOT positioned",
+    "omitted_failures": f"""WITH {PAPERS}, {LINES}, {LEDGER}, s AS (SELECT doc_id, path, line, lower(trim({_STR.format("status")})) AS status,
+  coalesce({", ".join("nullif(trim(" + _STR.format(f) + "), '')" for f in P.IDENTITY_FIELDS)}) AS identity FROM good),
+f AS (SELECT *, {_SPOKEN.format("identity")} AS name FROM s WHERE status IN ({"'" + "', '".join(P.NEGATIVE_STATUSES) + "'"}) AND identity IS NOT NULL),
+t AS (SELECT doc_id, {_SPOKEN.format("text")} AS told, regexp_matches(text, '{_re(P.NEGATIVE_LANGUAGE)}') AS bad FROM lines WHERE regexp_matches(text, '\\S')),
+m AS (SELECT f.doc_id, f.path, f.line, f.status, count(t.told) AS mentions, coalesce(bool_or(t.bad), false) AS disclosed FROM f LEFT JOIN t ON f.doc_id = t.doc_id AND contains(t.told, f.name) WHERE f.name != '__' GROUP BY ALL)
+SELECT doc_id, status, count(*) AS n, count_if(mentions > 0) AS mentioned, count_if(disclosed) AS disclosed FROM m GROUP BY 1, 2""",
+}
