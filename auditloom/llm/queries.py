@@ -99,4 +99,15 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """By brute force: all windows of words, and all windows of characters."""
+    return {
+        "p7_found": r"""WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE passage IS NOT NULL),
+i AS (SELECT DISTINCT item_id, array_to_string(ws[k:k+12], ' ') AS gram FROM w, unnest(range(1, len(ws) - 11)) u(k)),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k+12], ' ') AS gram FROM t, unnest(range(1, len(ws) - 11)) u(k))
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)""",
+        "p8_found": """WITH d AS (SELECT doc_id, max(text) AS text FROM documents WHERE length(text) >= 240 AND doc_id IS NOT NULL GROUP BY 1),
+w AS (SELECT doc_id, i, hash(substr(text, i, 240)) AS h FROM d, unnest(range(1, length(text) - 238)) u(i)),
+s AS (SELECT h FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)), p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w JOIN s USING (h))
+SELECT doc_id, sum(least(240, coalesce(n - i, 240)))::BIGINT AS shared_chars FROM p GROUP BY 1""",
+    }
