@@ -138,6 +138,18 @@ def _quotations(block: Column) -> Column:
     return F.when(block.rlike(f"[{_OPENERS}]"), F.array_join(F.transform(tokens, one), "")).otherwise(block)
 
 
+#: An address ends before white space, marks of East Asian scripts and closing signs, and holds no mark at its end.
+_URL = "(?:https?://|www\\.)[^\\s\u3000-\u303f\uff00-\uffef\u201c\u201d\u2018\u2019\u00ab\u00bb<>\"]*[^\\s\u3000-\u303f\uff00-\uffef\u201c\u201d\u2018\u2019\u00ab\u00bb<>\".,;:!?)\\]}'\u0964\u06d4\u061f\u2026]"
+_DECIMAL = "(?<=\\p{Nd})[.\uff0e](?=\\p{Nd})"
+
+
+def _addresses_and_decimals(block: Column) -> Column:
+    """Every mark inside an address or a number masked."""
+    pieces = F.regexp_extract_all(block, F.lit(f"{_URL}|(?:(?!{_URL})[\\s\\S])+"), F.lit(0))
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^(?:https?://|www\\.)"), _mask(p)).otherwise(p)), "")
+    return _replace(F.when(block.contains("://") | block.contains("www."), whole).otherwise(block), _DECIMAL, _MASK_STOP)
+
+
 def masked(block: Column) -> Column:
     """The block with every mark that ends no sentence masked; each pattern starts at the full stops before a space."""
     here = f"{_STOP}(?={Z}{S})"
@@ -151,7 +163,7 @@ def masked(block: Column) -> Column:
             f"(?<={_EDGE}\\p{{L}}{Z1}{_STOP})(?={S}\\p{{L}}{Z1}{_STOP})",
         )
     )
-    return _quotations(_replace(block, f"{here}(?:{words})", _MASK_STOP))
+    return _quotations(_replace(_addresses_and_decimals(block), f"{here}(?:{words})", _MASK_STOP))
 
 
 def pieces_of(block: Column) -> Column:

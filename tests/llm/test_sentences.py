@@ -60,3 +60,18 @@ def test_all_papers_have_sentences(spark, tmp_path):
 def test_long(spark):
     text = ("A line of words that goes on\n" * 3 + "and ends. ") * 20_000
     assert S.sentences(spark.createDataFrame([(1, text)], "k int, text string"), "k", "text").count() == 20_000
+
+
+def test_marks_in_addresses_and_decimals(spark):
+    texts = {
+        "siehe http://a.de/?中文 hier. Und dann.": ["siehe http://a.de/?中文 hier.", "Und dann."],
+        "见http://a.cn/?页=中文x 一句。下一句。": ["见http://a.cn/?页=中文x 一句。", "下一句。"],
+        "见http://a.cn/x。下一句。": ["见http://a.cn/x。", "下一句。"],
+        "Go to www.a.org/b!c?d. Then stop at 3.5.": ["Go to www.a.org/b!c?d.", "Then stop at 3.5."],
+        "It is 0.5. Next.": ["It is 0.5.", "Next."],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "paper_id int, analysis_text string")
+    got: dict = {}
+    for r in S.sentences(rows, "paper_id", "analysis_text").orderBy("paper_id", "sent_start").collect():
+        got.setdefault(r["paper_id"], []).append(r["sentence"])
+    assert [got[n] for n in range(len(texts))] == list(texts.values())
