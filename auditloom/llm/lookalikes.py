@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.frames import batch
-from auditloom.session import small_batches
+from auditloom.session import kept, small_batches
 
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 #: Letters that look the same, fixed values: latin, and its twins in the other alphabets.
@@ -177,9 +177,18 @@ def _repaired(texts: pd.Series, tokens: pd.Series, results: pd.Series) -> pd.Ser
     return pd.Series([None if x is None else repaired(x, [] if a is None else list(a), [] if b is None else list(b)) for x, a, b in zip(texts, tokens, results)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _repaired_digest(texts: pd.Series, tokens: pd.Series, results: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else hashlib.md5(repaired(x, [] if a is None else list(a), [] if b is None else list(b)).encode("utf-8", "surrogatepass")).hexdigest() for x, a, b in zip(texts, tokens, results)], dtype=object)
+def chosen_forms(found: DataFrame, vocabulary: DataFrame, known_only: bool = False) -> DataFrame:
+    """(token, script, result) of the tokens that are replaced. found: (token, script); vocabulary: (form, n).
+
+    known_only: a token of which no form is in the vocabulary stays as it is."""
+    options = found.select("token", "script").distinct().select("token", "script", F.posexplode(_forms("token", "script")).alias("rank", "form"))
+    seen = F.coalesce("n", F.lit(0))
+    best = options.join(vocabulary, "form", "left").groupBy("token", "script").agg(F.max_by("form", F.struct((F.col("rank") == 0) & (seen > 0), seen, -F.col("rank"))).alias("result"), F.max(seen).alias("seen"))
+    return best.where(F.col("token") != F.col("result")).where((F.col("seen") > 0) | F.lit(not known_only)).drop("seen")
+
+
+def _gathered(found: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
+    return found.join(chosen, ["token", "script"]).groupBy(*key).agg(F.collect_list(F.struct("token", "result")).alias("r")).select(*key, F.col("r.token").alias("tokens"), F.col("r.result").alias("results"))
 
 
 def token_repairs(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -187,15 +196,7 @@ def token_repairs(texts: DataFrame, key: list[str]) -> DataFrame:
     stepped = texts.select(*key, _first_step("text").alias("s")).where(F.size("s.tokens") > 0)
     found = stepped.select(*key, F.col("s.script").alias("script"), F.explode("s.tokens").alias("token"))
     vocabulary = texts.select("text").mapInPandas(_token_counts, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
-    options = found.select("token", "script").distinct().select("token", "script", F.posexplode(_forms("token", "script")).alias("rank", "form"))
-    seen = F.coalesce("n", F.lit(0))
-    chosen = (
-        options.join(vocabulary, "form", "left")
-        .groupBy("token", "script")
-        .agg(F.max_by("form", F.struct((F.col("rank") == 0) & (seen > 0), seen, -F.col("rank"))).alias("result"))
-        .where("token != result")
-    )
-    return found.join(chosen, ["token", "script"]).groupBy(*key).agg(F.collect_list(F.struct("token", "result")).alias("r")).select(*key, F.col("r.token").alias("tokens"), F.col("r.result").alias("results"))
+    return _gathered(found, chosen_forms(found, vocabulary), key)
 
 
 def _apply(texts: DataFrame, key: list[str], how, name: str) -> DataFrame:
@@ -231,8 +232,74 @@ def _name(columns: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, columns)), F.col("at") + 1)
 
 
-def same_look(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(field_name, key, stored, look): digests of each text as stored and as seen, once per key and field."""
-    texts = _once(frame, key, columns).where(F.col("text").isNotNull())
-    looks = _apply(texts, [key, "at"], _repaired_digest, "look").select(key, "at", F.md5("text").alias("stored"), "look")
-    return _each(looks, columns).dropDuplicates([key, "at"]).select(_name(columns).alias("field_name"), key, "stored", "look")
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each text, with its look where no token needs repair, and the vocabulary of the batch."""
+    for part in batches:
+        names = list(part.columns)
+        rows, counts = [], Counter()
+        for key, at, text in zip(*(part[c] for c in names)):
+            plain = one_width(text)
+            script = document_script(plain) if _OTHER.search(plain) else "latin"
+            tokens = suspects(plain, script)
+            counts.update(_TOKEN.findall(plain))
+            rows.append((key, at, _digest(text), None if tokens else _digest(plain), script, tokens, None, None))
+        kept_ = (t for t in counts if t.isascii() or len({_script(c) for c in unicodedata.normalize("NFD", t) if _letter(c)}) <= 1)
+        rows += [(None, None, None, None, None, None, t, counts[t]) for t in kept_]
+        yield batch(rows, [*names[:2], "stored", "look", "script", "tokens", "form", "n"])
+
+
+@F.pandas_udf(T.StringType())
+def _look(texts: pd.Series, tokens: pd.Series, results: pd.Series) -> pd.Series:
+    return pd.Series([_digest(repaired(one_width(x), [] if a is None else list(a), [] if b is None else list(b))) for x, a, b in zip(texts, tokens, results)], dtype=object)
+
+
+def same_look(frame: DataFrame, key: str, columns: list[str], known_only: bool = False) -> DataFrame:
+    """(field_name, key, stored, look): digests of each text as stored and as seen, once per key and field.
+
+    All texts are read once for their digests, suspect tokens and words; those with suspect tokens once more for their look."""
+    small_batches(frame.sparkSession)
+    texts = _once(frame, key, columns).where(F.col("text").isNotNull() & F.col(key).isNotNull())
+    types = T.StructType([frame.schema[key], T.StructField("at", T.IntegerType())])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types) + ", stored string, look string, script string, tokens array<string>, form string, n long"
+    first = kept(texts.select(key, "at", "text").mapInPandas(_first_rows, schema), "looks")
+    rows = first.where("form IS NULL")
+    dirty = rows.where("look IS NULL").dropDuplicates([key, "at"])
+    found = dirty.select(key, "at", "script", F.explode("tokens").alias("token"))
+    vocabulary = first.where("form IS NOT NULL").groupBy("form").agg(F.sum("n").alias("n"))
+    repairs = dirty.select(key, "at", "stored").join(_gathered(found, chosen_forms(found, vocabulary, known_only), [key, "at"]), [key, "at"], "left")
+    fixed = texts.select(key, "at", "text").join(repairs, [key, "at"]).select(key, "at", "stored", _look("text", "tokens", "results").alias("look"))
+    looks = rows.where("look IS NOT NULL").select(key, "at", "stored", "look").unionByName(fixed)
+    return kept(_each(looks, columns).dropDuplicates([key, "at"]).select(_name(columns).alias("field_name"), key, "stored", "look"), "looks")
+
+
+def look_classes(looks: DataFrame) -> DataFrame:
+    """The rows of same_look with texts and stored_texts: how many keys, and how many stored texts, have that look. Counted by stored text first."""
+    by_text = looks.groupBy("field_name", "look", "stored").agg(F.count("*").alias("n"))
+    counted = by_text.groupBy("field_name", "look").agg(F.sum("n").alias("texts"), F.count("*").alias("stored_texts"))
+    return looks.join(counted, ["field_name", "look"])
+
+
+#: A look is met in so many parts.
+SALTS = 16
+
+
+def look_pairs(looks: DataFrame, key: str) -> DataFrame:
+    """(field_name, key_a, key_b): pairs of keys, the smaller first, with one look and different stored texts.
+
+    Looks with a single stored text are left out before any rows meet. Then the stored texts of a look are paired, each
+    once, and only after that their keys join in, so byte-equal texts never meet each other; one side of a look is
+    dealt to SALTS parts, to each of which the pairs of stored texts are copied."""
+    at = ["field_name", "look"]
+    stored = looks.select(*at, "stored").distinct()
+    several = stored.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1").select(*at)
+    stored = stored.join(several, at, "left_semi")
+    a, b = stored.withColumnRenamed("stored", "stored_a"), stored.withColumnRenamed("stored", "stored_b")
+    ways = a.join(b, at).where("stored_a != stored_b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = looks.select(*at, F.col("stored").alias("stored_a"), F.col(key).alias(f"{key}_a"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+    right = looks.select(*at, F.col("stored").alias("stored_b"), F.col(key).alias(f"{key}_b"))
+    met = left.join(ways, [*at, "stored_a", "salt"]).join(right, [*at, "stored_b"])
+    return met.where(F.col(f"{key}_a") < F.col(f"{key}_b")).select("field_name", f"{key}_a", f"{key}_b")

@@ -15,10 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of papers whose texts look the same and are stored differently."""
-    looks = lookalikes.same_look(table(spark, folder, "prepared_papers"), "paper_id", ["raw_text", "analysis_text"])
-    a = looks.select("field_name", "look", F.col("paper_id").alias("paper_id_a"), F.col("stored").alias("stored_a"))
-    b = looks.select("field_name", "look", F.col("paper_id").alias("paper_id_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, ["field_name", "look"]).where("paper_id_a < paper_id_b AND stored_a != stored_b").select("field_name", "paper_id_a", "paper_id_b")
+    return lookalikes.look_pairs(lookalikes.same_look(table(spark, folder, "prepared_papers"), "paper_id", ["raw_text", "analysis_text"]), "paper_id")
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each paper and field: the look that it has, and how many papers and stored texts share it."""
+    return lookalikes.look_classes(lookalikes.same_look(table(spark, folder, "prepared_papers"), "paper_id", ["raw_text", "analysis_text"]))
 
 
 def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +90,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_texts": p1_texts,
+        "p1_found": p1_found, "p1_texts": p1_texts, "p1_classes": p1_classes,
         "p3_found": p3_found, "p3_sentences": p3_sentences,
         "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found, "p5_residue": p5_residue, "p5_kept": p5_kept,

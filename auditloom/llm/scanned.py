@@ -16,8 +16,8 @@ taken out, in many records at such places.
 Training sample: the LEXICON most frequent words and TRAINING examples at most, with a
 fixed seed. The SKIP most frequent correct words and a filter of BITS bits over all words
 are broadcast to save work; both are bounded by these parameters and decide nothing: a line
-break without a mark is kept where both parts are trusted words and the whole is no word
-of the corpus, which counts decide in a shuffled join wherever the two can't rule it out.
+break without a mark is kept where both parts are trusted words and the whole is none,
+which counts decide in a shuffled join wherever the two can't rule it out.
 
 Defined results: null and empty texts have no noise; a record delivered twice counts
 once; an empty table gives an empty result; further columns are ignored; texts of any
@@ -407,9 +407,9 @@ def joined_breaks(breaks: DataFrame, counts: DataFrame, weights: dict[tuple, flo
     asked = F.array(*[F.struct(F.lit(name).alias("as"), key.alias("k")) for name, key in (("joined", F.concat("left", "right")), ("compound", F.concat_ws("-", "left", "right")), ("a", F.col("left")), ("b", F.col("right")))])
     met = breaks.select("left", "mark", "right", F.inline(asked)).join(known, "k", "left")
     one = lambda name, column: F.coalesce(F.max(F.when(F.col("as") == name, F.col(column))), F.lit(0))
-    out = met.groupBy("left", "mark", "right").agg(*[one(name, "n").alias(name) for name in ("joined", "compound", "a", "b")], one("a", "a").alias("clean_a"), one("b", "a").alias("clean_b"))
+    out = met.groupBy("left", "mark", "right").agg(*[one(name, "n").alias(name) for name in ("joined", "compound", "a", "b")], one("joined", "a").alias("clean_joined"), one("a", "a").alias("clean_a"), one("b", "a").alias("clean_b"), F.first(F.concat("left", "right")).alias("whole"))
     trusted = lambda word, n: F.col(word).rlike("^\\p{L}+$") & (F.col(n) >= TRUSTED)
-    out = out.where(~((F.col("mark") == "") & (F.col("joined") == 0) & trusted("left", "clean_a") & trusted("right", "clean_b")))
+    out = out.where(~((F.col("mark") == "") & trusted("left", "clean_a") & trusted("right", "clean_b") & ~trusted("whole", "clean_joined")))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Perceptron()

@@ -59,3 +59,16 @@ def test_long_text(spark):
     row = L.consistent_texts(spark.createDataFrame([(1, text, text, 0, "", "")], SCHEMA), "paper_id", ["raw_text", "analysis_text"]).first()
     assert row["text"] == "wide trial " * 20_000 and unicodedata.is_normalized("NFC", row["text"])
     assert isinstance(F.lit(1), object)
+
+
+def test_pairs_of_looks_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("f", n, f"s{rng.randrange(6)}", f"l{rng.randrange(3)}") for n in range(60)]
+    looks = spark.createDataFrame(rows, "field_name string, paper_id long, stored string, look string")
+    want = {(f, a, b) for f, a, s, look in rows for _, b, s2, look2 in rows if a < b and look == look2 and s != s2}
+    got = [tuple(r) for r in L.look_pairs(looks, "paper_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    classes = {(r["paper_id"], r["texts"], r["stored_texts"]) for r in L.look_classes(looks).collect()}
+    assert classes == {(n, sum(x[3] == look for x in rows), len({x[2] for x in rows if x[3] == look})) for _, n, _, look in rows}
