@@ -142,14 +142,14 @@ PROMISE_STOPWORDS = (
     "paper section appendix figure table results result experiment experiments evaluation scenario transfer unseen held holdout"
 ).split()
 RIGOR_CHECKLIST = {
-    "whether code or data will be released": (
+    "release": (
         r"(?i)\b(?:code|implementation|dataset|data|weights?|checkpoints?)\s+(?:is|are|will\s+be)\s+(?:made\s+)?(?:available|released|public|open)"
         r"|github\.com|hugging\s*face|zenodo|\bwe\s+(?:release|open[- ]?source|provide|share|make\s+available)\b|supplementary\s+material|reproducib"
     ),
-    "the training hyperparameters": r"(?i)\bhyper[- ]?parameters?\b|learning\s+rate|batch\s+size|\boptimizer\b|weight\s+decay|(?:number\s+of\s+)?epochs?\b|warm[- ]?up|\bAdam\b|\bSGD\b",
-    "the compute / hardware used": r"(?i)\bGPUs?\b|\bTPUs?\b|\bA100\b|\bV100\b|\bH100\b|GPU[- ]hours?|compute\s+(?:budget|cost|resources)|\bhardware\b|\bFLOPs?\b|\bcores?\b",
-    "an explicit limitations discussion": r"(?i)\blimitations?\b|\bshortcomings?\b|\bfailure\s+cases?\b",
-    "a broader-impact / ethics statement": r"(?i)broader\s+impact|societal\s+impact|ethic|potential\s+(?:harm|misuse|negative\s+impact)|responsible\s+(?:use|ai)",
+    "hyperparameters": r"(?i)\bhyper[- ]?parameters?\b|learning\s+rate|batch\s+size|\boptimizer\b|weight\s+decay|(?:number\s+of\s+)?epochs?\b|warm[- ]?up|\bAdam\b|\bSGD\b",
+    "hardware": r"(?i)\bGPUs?\b|\bTPUs?\b|\bA100\b|\bV100\b|\bH100\b|GPU[- ]hours?|compute\s+(?:budget|cost|resources)|\bhardware\b|\bFLOPs?\b|\bcores?\b",
+    "limitations": r"(?i)\blimitations?\b|\bshortcomings?\b|\bfailure\s+cases?\b",
+    "impact": r"(?i)broader\s+impact|societal\s+impact|ethic|potential\s+(?:harm|misuse|negative\s+impact)|responsible\s+(?:use|ai)",
 }
 RELATED_WORK_TITLE = r"(?i)\b(?:related\s+work|prior\s+work|previous\s+work|background|literature\s+review|references|bibliography)\b"
 NOVELTY = (
