@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import patterns as P
 from auditloom.operators.ledger import label, last_name
 from auditloom.operators import manuscript as M
+from auditloom.session import merged
 
 _DECIMAL = "decimal(30,12)"
 
@@ -65,7 +66,7 @@ def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def names_of(fields: DataFrame) -> DataFrame:
-    return fields.select("doc_id", "field", F.explode(aliases(last_name(F.col("field")))).alias("alias")).distinct()
+    return merged(fields.select("doc_id", "field", F.explode(aliases(last_name(F.col("field")))).alias("alias")).distinct())
 
 
 def result_mentions(placed: DataFrame, fields: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: D
     a = prose.withColumn("piece", F.explode(F.sequence(piece(F.col("column_start") - NEAR), piece(F.col("column_end") + NEAR))))
     b = spoken.withColumn("piece", F.explode(F.sequence(piece(F.col("at")), piece(F.col("at") + F.col("size")))))
     gap = F.greatest(F.col("at") - 1 - F.col("column_end"), F.col("column_start") - F.col("at") - F.col("size"), F.lit(0))
-    near = a.join(b, ["doc_id", "line", "piece"]).withColumn("gap", gap).where(F.col("gap") <= NEAR)
+    near = merged(a).join(b, ["doc_id", "line", "piece"]).withColumn("gap", gap).where(F.col("gap") <= NEAR)
     by_prose = near.groupBy("doc_id", "number_no").agg(F.min_by("field", F.struct("gap", "field")).alias("field")).select("doc_id", "number_no", label(last_name(F.col("field"))).alias("metric"), F.lit("prose").alias("source"))
     both = by_table.unionByName(by_prose).where(~F.col("metric").isin(*P.DERIVED_LABELS)).join(usable, ["doc_id", "number_no"]).join(row, ["doc_id", "table_no", "line"], "left")
     of_line = placed.where(text.rlike("\\d")).select("doc_id", "line", trial_of(text).alias("line_trial")).where("line_trial IS NOT NULL")
@@ -105,7 +106,7 @@ def labelled(numbers: DataFrame, placed: DataFrame, tables: DataFrame, fields: D
 
 
 def default_fields(papers: DataFrame) -> DataFrame:
-    return papers.select("doc_id", F.explode(F.array(*map(F.lit, P.DEFAULT_METRICS))).alias("field")).distinct()
+    return merged(papers.select("doc_id", F.explode(F.array(*map(F.lit, P.DEFAULT_METRICS))).alias("field")).distinct())
 
 
 def ledger_fields(leaves: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import audits, claims, evaluation, evidence, ledger, manuscript, sanitation, tracing
-from auditloom.session import kept
+from auditloom.session import kept, merged
 
 
 class Audit:
@@ -16,7 +16,8 @@ class Audit:
     raw: (doc_id, text) as delivered, which is scanned for instructions, where papers holds cleaned texts.
 
     Every stage is a table that is planned when it is asked for. What several stages read is
-    written once, as Parquet, to the shared folder of checkpoints, which also keeps the plans short."""
+    written once, as Parquet, to the shared folder of checkpoints, which also keeps the plans short;
+    as every stage grows with the corpus, none is broadcast."""
 
     def __init__(self, papers: DataFrame, ledgers: DataFrame, registry: DataFrame | None = None, sanitize: bool = True, raw: DataFrame | None = None) -> None:
         self.raw = papers if raw is None else raw
@@ -25,7 +26,7 @@ class Audit:
         self.registry = registry
 
     def _kept(self, frame: DataFrame) -> DataFrame:
-        return kept(frame)
+        return merged(kept(frame))
 
     # parsing
     @cached_property

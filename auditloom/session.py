@@ -75,6 +75,14 @@ def kept(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def merged(frame: DataFrame) -> DataFrame:
+    """The frame, to be met by sorting and merging, whatever size the planner takes it for.
+
+    Its guess for Parquet is the compressed size, and for exploded arrays that of the rows before; a table of the corpus that is
+    twenty times larger in memory would pass for a small one and be sent through the driver."""
+    return frame.hint("merge")
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Fewer rows in a batch that Python gets, for rows that hold whole texts; a setting of the cluster's own stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -222,3 +222,18 @@ def test_many_matches_on_one_line(spark):
     text = " ".join(f"n{i} {i}.5%" for i in range(3000))
     rows = spark.createDataFrame([(1, text)], "doc_id int, text string").select(F.explode(manuscript.matches(F.col("text"), "\\d+\\.\\d+%")).alias("m")).select("m.*").collect()
     assert len(rows) == 3000 and all(text[r["column_start"] - 1 : r["column_end"]] == r["token"] for r in rows)
+
+
+def test_no_stage_goes_through_the_driver(spark, monkeypatch):
+    # what is small in a test would be broadcast without a hint, as would a large stage that packs well
+    plans = []
+    real = Audit._kept
+
+    def watched(self, frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(self, frame)
+
+    monkeypatch.setattr(Audit, "_kept", watched)
+    own = audit(spark)
+    assert own.ledger_trace and own.result_values
+    assert len(plans) == 12 and not [p for p in plans if "BroadcastExchange" in p]
