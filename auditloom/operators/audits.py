@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import patterns as P
 from auditloom.operators.sanitation import compatible
+from auditloom.session import merged
 
 
 def citations(lines: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def template_findings(papers: DataFrame, lines: DataFrame, sections: DataFrame,
     )
     pages = sized.select("doc_id", wrong.alias("w")).where("w IS NOT NULL").select("doc_id", "w.*")
     boxes = checkboxes(placed).where("in_self_review AND NOT valid").select("doc_id", "line", F.lit("a space or x in the box").alias("expected"), F.col("marker").alias("observed"))
-    return lacking.unionByName(wrapper).unionByName(pages).unionByName(boxes).join(event, "doc_id", "left_semi")
+    return lacking.unionByName(wrapper).unionByName(pages).unionByName(boxes).join(merged(event), "doc_id", "left_semi")
 
 
 def self_review_items(placed: DataFrame) -> DataFrame:
