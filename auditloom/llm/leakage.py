@@ -109,23 +109,32 @@ class Items:
             for at, template in enumerate(window_hashes(codes).tolist()):
                 told = int((codes[at : at + WINDOW] >= 16).sum()) >= FIXED
                 self.bare |= not told
-                self.windows.append((template if told else exact[at], item, at, " ".join(found[at : at + WINDOW]), whole))
+                self.windows.append((template if told else exact[at], item, at, " ".join(found[at : at + WINDOW]), whole, told))
 
     def frame(self) -> DataFrame:
         """(template, item_id, item_at, window)"""
         return self.spark.createDataFrame([w[:4] for w in self.windows], "template long, item_id long, item_at int, window string")
 
-    def classes(self) -> DataFrame:
-        """(template, item_id, item_at, window, exact): for each template window that of the first item with the same whole template, and the words of all items."""
+    def classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The items by their whole template, told by the first item that has it.
+
+        (template, class_id, item_at, exact): its template windows, with the words of all items; (class_id, item_at, item_id, i): the words of every
+        item of a class; (template, item_id, item_at): the windows that go by their words."""
+        first: dict[tuple, int] = {}
         exact: dict[int, set[str]] = {}
-        first: dict[tuple, tuple] = {}
-        for template, item, at, window, whole in self.windows:
-            exact.setdefault(template, set()).add(window)
-            best = first.get((template, whole, at))
-            if best is None or item < best[0]:
-                first[template, whole, at] = (item, at, window)
-        rows = [(t, *f, sorted(exact[t])) for (t, _, _), f in first.items()]
-        return self.spark.createDataFrame(rows, "template long, item_id long, item_at int, window string, exact array<string>")
+        each: dict[tuple, set[tuple]] = {}
+        for template, item, at, window, whole, told in self.windows:
+            first[whole] = min(first.get(whole, item), item)
+            each.setdefault((whole, item), set()).update(enumerate(window.split(" "), at))
+            if told:
+                exact.setdefault(template, set()).add(window)
+        shared = {(t, first[whole], at) for t, _, at, _, whole, told in self.windows if told}
+        frame = self.spark.createDataFrame
+        return (
+            frame([(*x, sorted(exact[x[0]])) for x in shared], "template long, class_id long, item_at int, exact array<string>"),
+            frame([(first[whole], at, item, word) for (whole, item), places in each.items() for at, word in places], "class_id long, item_at int, item_id long, i string"),
+            frame([w[:3] for w in self.windows if not w[5]], "template long, item_id long, item_at int"),
+        )
 
 
 def _matches(fixed: dict[str, int], every: dict[str, int] | None, known: np.ndarray | None):
@@ -183,14 +192,18 @@ def leaks(documents: DataFrame, items: Items) -> DataFrame:
 def asked_again(documents: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item_id, words, changed): questions that no item asks, with other words in some slots of an item, consistently.
 
-    Windows of one alignment count together; of items with one template the first is told."""
-    met = template_hits(documents, items).join(_bounded(items, items.classes()), "template")
-    rows = met.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "doc_at", "doc_window", "window", F.array_contains("exact", F.col("doc_window")).alias("leaked"))
+    Windows of one alignment count together; every item whose template is met is told, also where several have the same."""
+    hits = template_hits(documents, items)
+    shared, spoken, bare = (_bounded(items, side) for side in items.classes())
+    shift = (F.col("doc_at") - F.col("item_at")).alias("shift")
+    rows = hits.join(shared, "template").select("doc_id", "class_id", shift, "item_at", "doc_window", F.array_contains("exact", F.col("doc_window")).alias("leaked"))
+    alike = ["doc_id", "class_id", "shift"]
+    new = rows.join(rows.where("leaked").select(*alike).distinct(), alike, "left_anti")
+    filled_in = new.select(*alike, "item_at", F.posexplode(F.split("doc_window", " ")).alias("k", "d")).select(*alike, (F.col("item_at") + F.col("k")).alias("item_at"), "d").distinct()
     key = ["doc_id", "item_id", "shift"]
-    leaked = rows.where("leaked").select(*key).distinct()
-    new = rows.join(leaked, key, "left_anti")
-    zipped = F.arrays_zip(F.split("doc_window", " ").alias("d"), F.split("window", " ").alias("i"), F.sequence(F.lit(0), F.lit(WINDOW - 1)).alias("k"))
-    slots = new.select(*key, "doc_at", F.explode(zipped).alias("s")).select(*key, (F.col("doc_at") + F.col("s.k")).alias("place"), F.col("s.d").alias("d"), F.col("s.i").alias("i")).distinct()
+    slots = filled_in.join(spoken, ["class_id", "item_at"])
+    if items.bare:
+        slots = slots.join(hits.join(bare, "template").select("doc_id", "item_id", shift).distinct(), key, "left_anti")
     filled = slots.groupBy(*key, "i").agg(F.count_distinct("d").alias("fillings"), F.count("*").alias("n"), F.max((F.col("d") != F.col("i")).cast("int")).alias("changed"))
     judged = filled.groupBy(*key).agg(F.sum("n").cast("int").alias("words"), F.sum("changed").cast("int").alias("changed"), F.max("fillings").alias("fillings"))
     return judged.where("fillings = 1 AND changed > 0").groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("changed").alias("changed"))

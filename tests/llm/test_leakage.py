@@ -49,6 +49,14 @@ def test_asked_again(tables):
     assert set(rows) == {6} and rows[6]["item_id"] == 1 and rows[6]["changed"] >= 6
 
 
+def test_asked_again_of_every_item_with_the_template(spark):
+    asked = "Given a budget of {} hours on Lumen-16G and a target of {}, decide whether Velgar-26 or {} should be rerun by the committee on Corpa45?"
+    items = L.Items(spark.createDataFrame([(4, asked.format(427, 1.66, "Pexpole-47")), (2, asked.format(99, 3.25, "Hulm-28")), (9, asked.format(99, 3.25, "Hulm-28")), (7, None)], "item_id long, passage string"))
+    docs = spark.createDataFrame([(1, "so: " + asked.format(555, 9.5, "Ost-41")), (2, asked.format(427, 1.66, "Pexpole-47"))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["words"], r["changed"]) for r in L.asked_again(docs, items).collect()}
+    assert got == {(1, n, 30, 5) for n in (2, 4, 9)}
+
+
 def test_empty(spark, tables):
     none = L.Items(spark.createDataFrame([], "item_id long, passage string"))
     assert L.leaks(tables[0], none).count() == 0
